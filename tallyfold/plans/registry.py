@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import finance
+from . import documents, finance
 
-MODULES = (finance,)
+MODULES = (finance, documents)
 
 
 def queries() -> dict[str, Callable]:
