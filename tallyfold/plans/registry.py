@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import documents, finance
+from . import answers, documents, finance
 
-MODULES = (finance, documents)
+MODULES = (finance, documents, answers)
 
 
 def queries() -> dict[str, Callable]:
