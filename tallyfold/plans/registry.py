@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import answers, documents, finance
+from . import answers, documents, feeds, finance
 
-MODULES = (finance, documents, answers)
+MODULES = (finance, documents, answers, feeds)
 
 
 def queries() -> dict[str, Callable]:
