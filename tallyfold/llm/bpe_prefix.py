@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Entries that a worker remembers of encoded words and chunks, in each of two generations.
-MEMORY = 300_000
+MEMORY = 250_000
 #: White space as the normaliser's regular expressions know it.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -118,6 +118,7 @@ class WordBpe:
         self.fits: dict[int, bool] = {}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"], regex.V0)
+        self.line_word = regex.compile("\n|" + split["pattern"]["Regex"], regex.V0)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.library = Tokenizer.from_file(path)
@@ -238,8 +239,47 @@ class Remembered(dict):
         return out
 
 
+class ChunkCache:
+    """Values of chunks, made from their words' values; chunks that are new in a batch are cut into words together."""
+
+    def __init__(self, bpe: WordBpe, piece: Callable[[list[int]], object], join: Callable[[list], object], room: int = MEMORY) -> None:
+        self.bpe, self.piece, self.join, self.room = bpe, piece, join, room
+        self.seen, self.old = {}, {}
+        self.known = Remembered(lambda w: piece([bpe.ids[t] for t in bpe.encode_word(w.encode())]), 2 * room)
+
+    def of(self, texts: list[list[str]]) -> dict[str, object]:
+        """A table that has all chunks of these texts."""
+        need = set().union(*texts).difference(self.seen)
+        if len(self.seen) + len(need) > self.room:
+            self.old, self.seen = self.seen, {}
+            need = set().union(*texts)
+        seen, old, plain = self.seen, self.old, []
+        for c in need:
+            value = old.get(c)
+            if value is not None:
+                seen[c] = value
+            elif "<" in c or (not c.isascii() and max(c) > "\u024f"):
+                seen[c] = self.piece(self.bpe.chunk_ids(c))
+            else:
+                plain.append(c)
+        text, known, at, own = "\n".join(plain), self.known, 0, []
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        for w in self.bpe.line_word.findall(text.lower()):
+            if w == "\n":
+                seen[plain[at]] = self.join(own)
+                at, own = at + 1, []
+            else:
+                own.append(known[w])
+        if plain:
+            seen[plain[at]] = self.join(own)
+        return seen
+
+
 _loaded: dict[str, WordBpe] = {}
-_views: dict[str, Remembered] = {}
+_caches: dict[tuple[str, str], ChunkCache] = {}
+#: Texts whose chunks are looked up together.
+TOGETHER = 128
 
 
 def encoder(path: str) -> WordBpe:
@@ -249,24 +289,30 @@ def encoder(path: str) -> WordBpe:
     return _loaded[path]
 
 
+def cache(path: str, name: str, piece: Callable, join: Callable) -> ChunkCache:
+    """One per Python worker, file and name."""
+    if (path, name) not in _caches:
+        _caches[path, name] = ChunkCache(encoder(path), piece, join)
+    return _caches[path, name]
+
+
 def _digests(path: str):
     def run(batches):
         bpe = encoder(path)
-
-        def view(chunk: str) -> tuple[str, str]:
-            ids = bpe.chunk_ids(chunk)
-            return " ".join(map(str, ids)), bpe.decode(ids)
-
-        seen = _views.setdefault(path, Remembered(view))
+        shown = cache(path, "digests", lambda ids: (" ".join(map(str, ids)), bpe.decode(ids)), lambda ps: (" ".join([p[0] for p in ps]), " ".join([p[1] for p in ps])))
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                pieces = [p for p in [seen[c] for c in chunks(text)] if p[0]]
-                ids = " ".join([p[0] for p in pieces])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(hashlib.sha256(ids.encode()).hexdigest())
-                b.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = batch.column(1).to_pylist()
+            for lo in range(0, len(texts), TOGETHER):
+                cut = [chunks(t) for t in texts[lo : lo + TOGETHER]]
+                seen = shown.of(cut)
+                for cs in cut:
+                    pieces = [p for p in [seen[c] for c in cs] if p[0]]
+                    ids = " ".join([p[0] for p in pieces])
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    a.append(hashlib.sha256(ids.encode()).hexdigest())
+                    b.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
