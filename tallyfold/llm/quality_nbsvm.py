@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .words import text_blocks, words
 
-BITS, ORDERS, MAX_TRAIN, THRESHOLD = 18, (2, 3, 4), 6000, 0.3
+BITS, ORDERS, MAX_TRAIN, THRESHOLD = 18, (2, 3, 4), 4000, 0.3
 #: Longest n-gram of one repeated word.
 REPEATS = 16
 COST, ROUNDS, SHRINK = 0.1, 12, 1.0
@@ -81,8 +81,26 @@ class NbSvm:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(cols) + self.shift, -60, 60))))
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise |w|^2 / 2 + sum of cost * hinge loss; rows: columns and values."""
+class _Scaled:
+    """Rows (columns, values): indicators by log-count ratio, to unit length, made when asked for."""
+
+    def __init__(self, cols: list[np.ndarray], ratio: np.ndarray) -> None:
+        self.cols, self.ratio = cols, ratio
+
+    def __len__(self) -> int:
+        return len(self.cols)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        v = self.ratio[self.cols[i]]
+        norm = np.sqrt(v @ v)
+        return self.cols[i], v / norm if norm > 0 else v
+
+    def __iter__(self):
+        return (self[i] for i in range(len(self)))
+
+
+def dual_coordinate_descent(rows, y: np.ndarray, size: int, cost: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise |w|^2 / 2 + sum of cost * hinge loss; rows: a sequence of (columns, values)."""
     w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(42)
     diagonal = np.array([float(v @ v) + 1 for _, v in rows])
@@ -115,16 +133,12 @@ def fit(cols: list[np.ndarray], labels: np.ndarray, odds: float = 1.0) -> NbSvm:
     for c, s in zip(cols, y, strict=True):
         count[s][c] += 1
     ratio = np.log(count[1.0] / (SHRINK * (y > 0).sum() + 1)) - np.log(count[-1.0] / (SHRINK * (y < 0).sum() + 1))
-    rows = []
-    for c in cols:
-        v = ratio[c]
-        norm = np.sqrt(v @ v)
-        rows.append((c, v / norm if norm > 0 else v))
+    rows = _Scaled(cols, ratio)
     back = np.arange(len(y)) % 5 == 4  # held back for the curve
     cost = COST * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
     fold = np.flatnonzero(~back)
-    w, bias = dual_coordinate_descent([rows[i] for i in fold], y[fold], size, cost[fold])
-    m = np.array([bias + w[rows[i][0]] @ rows[i][1] for i in np.flatnonzero(back)])
+    w, bias = dual_coordinate_descent(_Scaled([cols[i] for i in fold], ratio), y[fold], size, cost[fold])
+    m = np.array([bias + w[c] @ v for c, v in _Scaled([cols[i] for i in np.flatnonzero(back)], ratio)])
     slope, shift = logistic(m, (y[back] > 0).astype(float))
     shift += float(np.log(odds * (y < 0).sum() / (y > 0).sum()))
     w, bias = dual_coordinate_descent(rows, y, size, cost)
@@ -169,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, use: str = "true", max_train: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "text", "quality")
     got = rows.mapInArrow(_training, "doc_id long, quality int, cols binary").dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: (hash((r[0], 42)) & 0xFFFF, r[0]))
-    return fit([np.frombuffer(r[2], "<i4").astype(np.int64) for r in got], np.array([r[1] for r in got]), share.get(1, 1) / share.get(0, 1))
+    return fit([np.frombuffer(r[2], "<i4") for r in got], np.array([r[1] for r in got]), share.get(1, 1) / share.get(0, 1))
 
 
 def score(docs: DataFrame, model: NbSvm, threshold: float = THRESHOLD) -> DataFrame:
