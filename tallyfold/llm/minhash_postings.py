@@ -35,7 +35,7 @@ from .components import connected_components
 from .scratch import drop, materialize
 from .words import U64, mix, seeds, shingle_sets, text_blocks, words
 
-K, MATCH, ROUNDS = 64, 34, 1
+K, MATCH, ROUNDS = 64, 34, 2
 #: Coordinates, and those that must agree, of the longer signatures that only what leaders leave over is tried with.
 LONG, LONG_MATCH = 384, 252
 _XOR, _MUL, _PLACE = seeds(K + LONG, 100), seeds(K + LONG, 1300) | U64(1), seeds(K + LONG, 2900)
