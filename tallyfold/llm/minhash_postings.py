@@ -17,8 +17,8 @@ LONG_MATCH of LONG more coordinates agree. So a large group of copies costs a fe
 each, and components that touch are found.
 
 What signatures lose is the method's only loss: a pair at the threshold of 0.75 agrees in
-fewer than 34 of 64 coordinates with probability 4e-05, in fewer than 252 of 384 with
-2e-05; both are below 1e-6 at 0.8.
+fewer than 34 of 64 coordinates with probability 4e-05, in fewer than 76 of 128 with
+5e-05; both are below 1e-6 at 0.8.
 
 Null and empty texts have an empty set and are linked with nothing. Repeated rows
 are copies of each other. An empty table gives no rows.
@@ -37,7 +37,7 @@ from .words import U64, mix, seeds, shingle_sets, text_blocks, words
 
 K, MATCH, ROUNDS = 64, 34, 2
 #: Coordinates, and those that must agree, of the longer signatures that only what leaders leave over is tried with.
-LONG, LONG_MATCH = 384, 252
+LONG, LONG_MATCH = 128, 76
 _XOR, _MUL, _PLACE = seeds(K + LONG, 100), seeds(K + LONG, 1300) | U64(1), seeds(K + LONG, 2900)
 
 
