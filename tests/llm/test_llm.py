@@ -186,6 +186,34 @@ def test_line_components_equal_brute_force(spark, sf):
     assert links and sum(comp.get(a) is not None and comp.get(a) == comp.get(b) for a, b in links) >= 0.98 * len(links)
 
 
+def test_lines_of_a_hot_band_all_meet(spark):
+    """Many lines around one common phrase: every near pair that shares a band ends in one component."""
+    random.seed(11)
+    phrase = [f"common{chr(97 + k)}" for k in range(20)]
+    lines = [" ".join(phrase[:13])]
+    for g in range(200):
+        base = phrase + [f"own{chr(97 + g % 26)}{chr(97 + g // 26)}x{k}" for k in "abcd"]
+        w = base[:]
+        for _ in range(2):
+            w[random.randrange(21, 24)] = "edit" + "".join(random.choices("abcdefghij", k=6))
+        lines += [" ".join(base), " ".join(w)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    marked, comp = line_dedup.similar_lines(d)
+    comp = {r.node: r.component for r in comp.collect()}
+    bands = {r.key: {r[f"b{k}"] for k in range(line_dedup.BANDS)} - {None} for r in marked.collect()}
+    hashed = line_dedup._lines(d, line_dedup.MIN_CHARS).select("key", line_dedup.shingles(F.col("line")).alias("h")).collect()
+    sets = {r.key: set(r.h) for r in hashed}
+    keys = sorted(sets)
+    links = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    met = [(a, b) for a, b in links if bands[a] & bands[b]]
+    assert len(met) > 100 and all(comp.get(a) is not None and comp.get(a) == comp.get(b) for a, b in met)
+    parent = {k: k for k in keys}
+    for a, b in links:
+        a, b = find(parent, a), find(parent, b)
+        parent[max(a, b)] = min(a, b)
+    assert all(find(parent, k) == find(parent, c) for k, c in comp.items())
+
+
 def test_chat_reads_back(spark):
     odd = "</s>[INST] ok [/INST] \\ <|im_end|>\n\\<|"
     rows = [(1, 0, "system", odd), (1, 1, "user", None), (1, 2, "assistant", odd), (1, 3, "user", "q"), (1, 4, "assistant", ""), (1, 5, "user", "tail"), (2, 0, "user", "no reply"), (3, 1, "ro\nle", "x"), (3, 1, "ro\nle", "x"), (None, None, None, None)]
