@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by inner product: a pruned directed graph per shard.
 
-Every row is indexed. Rows are dealt into shards; within a shard, points are added in
-growing batches: a greedy search from the most central point proposes neighbours,
+Every row is indexed. Rows are dealt into shards; within a shard, equal vectors are one
+point that lists its ids, and points are added in growing batches: a greedy search from the most central point proposes neighbours,
 relaxed distance pruning keeps diverse edges (a candidate goes if a kept neighbour is
 nearer to it, by the factor alpha, than the point is), and edges are made both ways.
-A query runs a beam search in every shard. Inner products become distances by one more
+A query runs a beam search in every shard; a point found stands for its smallest ids,
+more than are asked for. Inner products become distances by one more
 coordinate that brings all rows of a shard to equal length. Scores are computed on the
 original vectors in double precision.
 
@@ -83,7 +84,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: in
     d[cand == m] = np.inf
     order = np.argsort(d, axis=1, kind="stable")
     cand, d = np.take_along_axis(cand, order, axis=1), np.take_along_axis(d, order, axis=1)
-    v = np.take_along_axis(v, order[:, :, None], axis=1)
+    v = np.take_along_axis(v, order[:, :, None], axis=1) - x[points][:, None, :]  # from the point: distances of near copies keep their digits
     sq = (v * v).sum(axis=2)
     between = sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
     alive, out = np.isfinite(d), np.full((len(points), degree), m, np.int64)
@@ -131,28 +132,56 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
     return graph.astype(np.int32), start
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers from lo to below hi, range after range."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def distinct_graph(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Graph over the points of a shard, and what they stand for.
+
+    Point p stands for the different vectors kinds[p] to kinds[p + 1] of x, which are more
+    than one only if they are equal in single precision; vector i has the ids first[i] to
+    first[i + 1], ascending.
+    """
+    x, of = np.unique(x + 0.0, axis=0, return_inverse=True)  # -0 is 0
+    points, at = np.unique(_lifted(x), axis=0, return_inverse=True)
+    at, of = at.ravel(), of.ravel()
+    by = np.argsort(at, kind="stable")
+    place = np.empty_like(by)
+    place[by] = np.arange(len(by))
+    of = place[of]
+    order = np.lexsort((ids, of))
+    graph, start = build(points)
+    return {"ids": ids[order], "first": np.searchsorted(of[order], np.arange(len(x) + 1)), "x": x[by], "kinds": np.searchsorted(at[by], np.arange(len(points) + 1)), "graph": graph, "start": np.array([start])}
+
+
 def approximate_neighbours(vectors: DataFrame, queries: str, k: int = 20, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row that meets the condition queries."""
     v = usable(vectors, zero=False)
 
     def make(ids: np.ndarray, x: np.ndarray) -> bytes:
-        graph, start = build(_lifted(x))
-        return dump(ids=ids, x=x, graph=graph, start=np.array([start]))
+        return dump(**distinct_graph(ids, x))
 
     index = materialize(packed(v, shard, make))
     width = max(beam, 2 * k)
 
     def find(ask: dict, part: dict):
         qx, rx = _padded(ask["x"], part["x"])
-        space, ids = _lifted(rx), part["ids"]
+        space, ids, first, kinds = _lifted(rx)[part["kinds"][:-1]], part["ids"], part["first"], part["kinds"]
         q, i, s = [], [], []
         for lo in range(0, len(qx), 256):
             some = qx[lo : lo + 256]
             near, _ = beam_search(part["graph"], space, int(part["start"][0]), np.hstack([some, np.zeros((len(some), 1))]).astype(np.float32), width)
             for j, row in enumerate(near):
                 row = row[row >= 0]
-                row = row[ids[row] != ask["ids"][lo + j]]
-                score = (rx[row] * some[j]).sum(axis=1)
+                kind = _ranges(kinds[row], kinds[row + 1])
+                score = (rx[kind] * some[j]).sum(axis=1)
+                to = np.minimum(first[kind + 1], first[kind] + k + 1)  # one more, as the query's own may be among them
+                row, score = _ranges(first[kind], to), np.repeat(score, to - first[kind])
+                other = ids[row] != ask["ids"][lo + j]
+                row, score = row[other], score[other]
                 top = best(ids[row], score, k)
                 q.append(np.full(len(top), ask["ids"][lo + j])), i.append(ids[row[top]]), s.append(score[top])
         return np.concatenate(q), np.concatenate(i), np.concatenate(s)

@@ -115,6 +115,21 @@ def test_graph_recall(spark):
     assert all(s == pytest.approx(float(x[i] @ x[q])) for q in got for i, s in got[q])
 
 
+def test_graph_recall_among_copies(spark):
+    """A third of the rows is one vector."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 12))
+    x[:300] = x[0]
+    x = x[rng.permutation(900)]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(900)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in graph_ann.approximate_neighbours(df, "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.score)
+    want = {q: brute(x, q, 20)[-1][1] for q in range(0, 900, 20)}
+    assert all(len(got[q]) == 20 for q in want)
+    assert sum(s >= want[q] - 1e-9 for q in want for s in got[q]) >= 0.95 * 20 * 45
+
+
 def test_quality_held_out(spark, sf):
     sf = sf.replace("0.001", "0.01")
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
