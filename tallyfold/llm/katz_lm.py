@@ -297,7 +297,10 @@ def buckets_for(docs: DataFrame, tokens: int = TOKENS) -> int:
 
 
 def learn_and_score(docs: DataFrame, learn: str) -> DataFrame:
-    """score() of all docs by a model of those that meet the condition learn, with train_tokens."""
+    """score() of all docs by a model of those that meet the condition learn, with train_tokens.
+
+    All counted pairs are kept, those counted once discounted like the others.
+    """
     buckets = buckets_for(docs)
-    model = train(docs.where(learn), buckets)
+    model = train(docs.where(learn), buckets, min_count=1)
     return score(docs, model).withColumn("train_tokens", F.lit(model.n).cast("long"))

@@ -356,6 +356,30 @@ def test_katz_equals_brute_force(spark, docs, none, buckets):
     assert katz_lm.score(docs.limit(3), katz_lm.train(none, 1)).count() == 3
 
 
+def test_katz_keeps_pairs_counted_once(spark):
+    texts = ["a b c", "a b d", "b c a", "x y", "x z", "x y c d", "q r", "r q d"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "q r", "r z"])], "doc_id long, text string")
+    uni, big = Counter(), Counter()
+    for t in texts:
+        tk = [*t.split(), "END"]
+        uni.update(tk)
+        big.update(zip(["BOS", *tk[:-1]], tk, strict=True))
+    n, v, c1 = sum(uni.values()), len(uni), katz_lm.discounts(Counter(big.values()))
+    ctx = Counter(uni) + Counter({"BOS": uni["END"]})
+    p1 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+    mass, known = Counter(), Counter()
+    for (a, w), c in big.items():
+        mass[a] += c1.get(c, 1) * c
+        known[a] += p1(w)
+    over = {a: ctx[a] + (mass[a] > ctx[a] * (1 - 1e-9)) for a in mass}
+    weight = {a: (1 - mass[a] / over[a]) / (1 - known[a]) for a in mass}
+    p = lambda a, w: c1.get(big[a, w], 1) * big[a, w] / over[a] if big[a, w] else weight[a] * p1(w)
+    got = {r.doc_id: r.score for r in katz_lm.learn_and_score(d, "doc_id < 8").collect()}
+    for i, t in enumerate([*texts, "q r", "r z"]):
+        tk = [*t.split(), "END"]
+        assert got[i] == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip(["BOS", *tk[:-1]], tk, strict=True)))
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10
