@@ -427,3 +427,12 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf):
     lens = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in hidden.collect()}
     got = P.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in got} == lens
+
+
+def test_pipeline_keeps_rows_without_id_and_one_of_equal_rows(spark):
+    import corpus_pipeline as P
+
+    same, other = " ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))
+    rows = [(1, same, 1, "k"), (1, same, 1, "k"), (2, same, 1, "k"), (3, other, 1, "k"), (None, "a text of its own", 1, "k"), (None, same, 1, "k"), (5, None, 1, "k"), (5, None, 1, "k"), (6, "one", 1, "k"), (6, "two", 1, "k")]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, DOC), "").select("doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter([(1, same), (3, other), (None, "a text of its own"), (None, same), (5, None), (6, "one"), (6, "two")])
