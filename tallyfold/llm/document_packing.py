@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_prefix import TOGETHER, cache, chunks
+from .bpe_prefix import block_encoder
 from .scratch import materialize
 
 CAPACITY, END = 4096, 1
@@ -28,19 +28,14 @@ CAPACITY, END = 4096, 1
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches):
-        raw_of = cache(path, "raw", lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
-        last = np.array([end], "<u4").tobytes()
+        blocks, last = block_encoder(path), np.array([end], "<u4")
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), TOGETHER):
-                cut = [chunks(t) for t in texts[lo : lo + TOGETHER]]
-                seen = raw_of.of(cut)
-                for i, cs in zip(ids[lo : lo + TOGETHER], cut, strict=True):
-                    raw = b"".join([seen[c] for c in cs]) + last
-                    for k in range(0, len(raw) // 4, capacity):
-                        part = raw[4 * k : 4 * (k + capacity)]
-                        doc.append(i), piece.append(k // capacity), start.append(k), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+            for i, ids in zip(batch.column(0).to_pylist(), blocks.texts(batch.column(1)), strict=True):
+                ids = np.concatenate([ids, last]).astype("<u4")
+                for k in range(0, len(ids), capacity):
+                    part = ids[k : k + capacity]
+                    doc.append(i), piece.append(k // capacity), start.append(k), length.append(len(part)), crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run

@@ -70,6 +70,15 @@ def text_blocks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, i
         lo = hi
 
 
+def hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes body[start:end]."""
+    n = len(body)
+    power, inverse = _powers(n + 1)
+    acc = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[body] * power[:n], out=acc[1:])
+    return mix((acc[end] - acc[start]) * inverse[start] + (end - start).astype(np.uint64) * U64(_STEP))
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each text the place where its words begin."""
     n = len(buf)
@@ -83,11 +92,7 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start[1:] &= ~inside[:-1] | edge[1:n]
     end[:-1] &= ~inside[1:] | edge[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    power, inverse = _powers(n + 1)
-    acc = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[low] * power[:n], out=acc[1:])
-    h = mix((acc[e] - acc[s]) * inverse[s] + (e - s).astype(np.uint64) * U64(_STEP))
-    return h, np.searchsorted(s, offs)
+    return hashes(low, s, e), np.searchsorted(s, offs)
 
 
 _PLACE = seeds(64, 5000) | U64(1)
