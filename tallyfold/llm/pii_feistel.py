@@ -9,13 +9,18 @@ it back. Kept: lengths, separators, check digits and validity.
 - IBANs (mod 97): the digits of the account part, check digits renewed
 - US social security numbers (valid area, group, serial)
 - telephone numbers with a country code or in North American writing: all after the code
-- IPv4 addresses
-- dates from 1900-01-01 to 2100-05-01, written y-m-d, d.m.y or m/d/y
+- IPv4 addresses, but not dotted numbers after "version", "release", "section" or "build"
+- dates from 1900-01-01 to 2100-05-01, written y-m-d, y/m/d, d.m.y or m/d/y, or d/m/y where
+  the first number is over 12 (its pseudonym's is, too); a time may follow after T
 
 What has no such format gets a keyed one-way name of the same kind: the local part of an
-e-mail address, and access keys (AKIA..., hexadecimal tokens, password=...).
-Numbers that fail validation stay. Null and empty texts stay as they are, all other
-columns too; an empty table gives no rows.
+e-mail address, and secrets (AKIA..., hexadecimal tokens of 32 characters or more, whatever
+follows password= or "password: ", at its whole length).
+
+One pass of one expression marks every value together with the kind that matched; the kind
+decides what becomes of it. Numbers that fail validation stay. Null and empty texts stay as
+they are, all other columns too, whatever their names; an empty table gives no rows. There is no
+default key: an empty or null one is refused.
 """
 
 from __future__ import annotations
@@ -28,21 +33,24 @@ ROUNDS = 8
 DAYS = (270, 271)
 _WORD, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _IP = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_HEX = rf"{_WORD}[0-9a-f]{{32,}}+{_END}|{_WORD}[0-9A-F]{{32,}}+{_END}"
 KINDS = {
+    "secret": rf"{_WORD}AKIA[0-9A-Z]{{16}}{_END}|{_HEX}|(?i:(?<=password=)|(?<=password: ))[^\s\"'&;]{{6,}}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}" + _END,
-    "secret": rf"{_WORD}AKIA[0-9A-Z]{{16}}{_END}|{_WORD}[0-9a-f]{{32,64}}{_END}|{_WORD}[0-9A-F]{{32,64}}{_END}|(?i:(?<=password=)|(?<=password: ))[^\s\"'&;]{{6,64}}",
     "iban": rf"{_WORD}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?{_END}",
-    "ip": rf"(?<![0-9A-Za-z.]){_IP}(?:\.{_IP}){{3}}(?![0-9A-Za-z]|\.[0-9])",
+    "ip": rf"(?<![0-9A-Za-z.])(?<!(?i:version|release|section|build) ){_IP}(?:\.{_IP}){{3}}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?:(?=T[0-9]{2}:)|(?![0-9A-Za-z]|[./-][0-9]))",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?[0-9]{2,4}|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}(?:\1)[0-9]{4}(?:\1)[0-9]{1,7}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?<sep>[ -])[0-9]{4}(?:\k<sep>)[0-9]{4}(?:\k<sep>)[0-9]{1,7}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
+#: Characters that no text has (Unicode non-characters): around a value, between kinds, and before either in texts that have them after all.
+_AROUND, _BETWEEN, _ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
-def _pattern() -> str:
-    """All kinds in one expression; of groups only the card's separator has a number."""
-    return "|".join(f"(?:{x})" for x in KINDS.values())
+def pattern() -> str:
+    """All kinds in one expression, the kth as group k + 1."""
+    return "|".join(f"({x})" for x in KINDS.values())
 
 
 def _digits(s: Column) -> Column:
@@ -137,19 +145,29 @@ def _ssn(m: Column, key: Column) -> Column:
 def _date(m: Column, key: Column) -> Column:
     """Parts keep their order and separators; days and months their zero, if they had one."""
     p = F.transform(F.split(m, "[./-]"), lambda t: t.cast("int"))
-    iso, dot = m.contains("-"), m.contains(".")
-    y, mo, d = F.when(iso, p[0]).otherwise(p[2]), F.when(iso | dot, p[1]).otherwise(p[0]), F.when(iso, p[2]).when(dot, p[0]).otherwise(p[1])
+    dash, dot = m.contains("-"), m.contains(".")
+    ymd = m.rlike("^[0-9]{4}")
+    dmy = ~ymd & (dot | (p[0] > 12))
+    y, mo, d = F.when(ymd, p[0]).otherwise(p[2]), F.when(ymd | dmy, p[1]).otherwise(p[0]), F.when(ymd, p[2]).when(dmy, p[0]).otherwise(p[1])
     day = F.to_date(F.when((mo.between(1, 12)) & (d.between(1, 31)), F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")))
     n = F.date_diff(day, F.lit("1900-01-01").cast("date"))
-    padded = m.rlike("(^|[./])0") | iso | (F.length(m) == 10)
+    padded = m.rlike("(^|[./])0") | (F.length(m) == 10)
     two = lambda t: F.when(padded, F.lpad(t.cast("string"), 2, "0")).otherwise(t.cast("string"))
+    mark = F.when(dash, "-").when(dot, ".").otherwise("/")
+    again = lambda r: _feistel(r["x"], r["y"], F.lit(DAYS[0]), F.lit(DAYS[1]), "date", key)
+    date = lambda r: F.date_add(F.lit("1900-01-01").cast("date"), (r["x"] * DAYS[1] + r["y"]).cast("int"))
+    walked = lambda r: F.when(dmy & ~dot, F.aggregate(F.sequence(F.lit(1), F.lit(99)), r, lambda s, _: F.when(F.day(date(s)) > 12, s).otherwise(again(s)))).otherwise(r)
 
     def text(r: Column) -> Column:
-        new = F.date_add(F.lit("1900-01-01").cast("date"), (r["x"] * DAYS[1] + r["y"]).cast("int"))
-        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(dot, F.concat_ws(".", two(F.day(new)), two(F.month(new)), F.year(new).cast("string"))).otherwise(F.concat_ws("/", two(F.month(new)), two(F.day(new)), F.year(new).cast("string")))
+        def written(new: Column) -> Column:
+            yy, mm, dd = F.year(new).cast("string"), two(F.month(new)), two(F.day(new))
+            return F.when(ymd, F.concat(yy, mark, mm, mark, dd)).when(dmy, F.concat(dd, mark, mm, mark, yy)).otherwise(F.concat(mm, mark, dd, mark, yy))
+
+        return _let(date(r), written)
 
     ok = n.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1)
-    return F.when(ok, _let(_feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), "date", key), text)).otherwise(m)
+    start = F.struct(F.floor(n / DAYS[1]).cast("long").alias("x"), (n % DAYS[1]).cast("long").alias("y"))
+    return F.when(ok, _let(_let(again(start), walked), text)).otherwise(m)
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -165,45 +183,50 @@ def _email(m: Column, key: Column) -> Column:
 
 def _secret(m: Column, key: Column) -> Column:
     name = F.sha2(F.concat_ws("|", key, F.lit("secret"), m), 256)
-    named = F.substr(name, F.lit(1), F.length(m))
+    named = F.substr(F.repeat(name, F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m))
     return F.when(m.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(F.substr(name, F.lit(1), F.lit(16))))).when(m.rlike("^[0-9A-Z]+$"), F.upper(named)).otherwise(named)
 
 
-def pseudonym(m: Column, key: Column) -> Column:
-    """The pseudonym of one matched value; the value itself if it fails validation."""
-    f = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "ssn": _ssn, "date": _date, "phone": _phone, "card": _card}
-    order = {
-        "email": m.contains("@"),
-        "ip": m.rlike(rf"^{_IP}(\.{_IP}){{3}}$"),
-        "ssn": m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
-        "date": m.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4})$"),
-        "iban": m.rlike("^[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?$"),
-        "card": m.rlike("^[0-9 -]+$") & (F.length(_digits(m)) >= 13) & ~m.rlike(r"^\("),
-        "phone": m.rlike(r"^[+(]|^[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}$"),
-    }
-    out = None
-    for kind, is_it in order.items():
-        out = F.when(is_it, f[kind](m, key)) if out is None else out.when(is_it, f[kind](m, key))
-    return out.otherwise(_secret(m, key))
+_OF = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "ssn": _ssn, "date": _date, "phone": _phone, "card": _card}
+#: Texts without any of these hold nothing that is looked for.
+_HINT = "(?i)[0-9@]|password|akia"
 
 
-#: Texts without any of these hold nothing that is looked for.
-_HINT = "[0-9@]|password"
+def _value(groups: Column, key: Column) -> Column:
+    """struct<text, n> for one match: its pseudonym, or the value itself if it fails validation, and whether it changed."""
+    compared = lambda was: lambda t: F.struct(t.alias("text"), (t != was).cast("int").alias("n"))
+    out = F
+    for k, kind in enumerate(KINDS):
+        out = out.when(groups[k] != "", _let(_OF[kind](groups[k], key), compared(groups[k])))
+    return out
+
+
+def masked(text: Column, key: str) -> Column:
+    """struct<text, n>: text with pseudonyms, and how many values were replaced; null where nothing is looked for."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    odd = text.rlike(f"[{_AROUND}{_BETWEEN}{_ESCAPE}]")
+    safe = text
+    for c, name in ((_ESCAPE, "e"), (_AROUND, "a"), (_BETWEEN, "b")):
+        safe = F.replace(safe, F.lit(c), F.lit(_ESCAPE + name))
+    marked = F.regexp_replace(F.when(odd, safe).otherwise(text), pattern(), _AROUND + _BETWEEN.join(f"${k + 1}" for k in range(len(KINDS))) + _AROUND)
+    whole = lambda p: F.struct(p.alias("text"), F.lit(0).alias("n"))
+    parts = F.transform(F.split(marked, _AROUND, -1), lambda p, i: F.when(i % 2 == 1, _let(F.split(p, _BETWEEN, -1), lambda g: _value(g, F.lit(key)))).otherwise(whole(p)))
 
+    def joined(ps: Column) -> Column:
+        back = F.array_join(F.transform(ps, lambda p: p["text"]), "")
+        plain = back
+        for c, name in ((_BETWEEN, "b"), (_AROUND, "a"), (_ESCAPE, "e")):
+            plain = F.replace(plain, F.lit(_ESCAPE + name), F.lit(c))
+        return F.struct(F.when(odd, plain).otherwise(back).alias("text"), F.aggregate(ps, F.lit(0), lambda s, p: s + p["n"]).alias("n"))
 
-def _replaced(docs: DataFrame, key: str) -> DataFrame:
-    """docs with the new text and __n, the number of values replaced."""
-    out = docs.withColumn("__was", F.when(F.col("text").rlike(_HINT), F.regexp_extract_all("text", F.lit(_pattern()), F.lit(0))))
-    out = out.withColumn("__now", F.transform("__was", lambda m: pseudonym(m, F.lit(key))))
-    gaps = F.split("text", _pattern(), -1)
-    text = F.array_join(F.flatten(F.zip_with(gaps, "__now", lambda g, p: F.array(g, F.coalesce(p, F.lit(""))))), "")
-    out = out.withColumn("__n", F.size(F.filter(F.zip_with("__was", "__now", lambda a, b: a != b), lambda x: x)))
-    return out.withColumn("text", F.when(F.size("__was") > 0, text).otherwise(F.col("text"))).withColumn("__n", F.greatest("__n", F.lit(0)))
+    return F.when(text.rlike(_HINT), _let(parts, joined))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with all its columns, personal data in text replaced; n_chars, where there is one, follows the text."""
-    out = _replaced(docs, key).select(*docs.columns)
+    text = F.col("text")
+    out = docs.withColumn("text", F.coalesce(masked(text, key)["text"], text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
@@ -211,4 +234,5 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
 def counted(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (pseudonymised), n_found: how many values were replaced."""
-    return _replaced(docs.select("doc_id", "text"), key).select("doc_id", "text", F.col("__n").cast("long").alias("n_found"))
+    found = docs.select("doc_id", "text", masked(F.col("text"), key).alias("found"))
+    return found.select("doc_id", F.coalesce("found.text", "text").alias("text"), F.coalesce("found.n", F.lit(0)).cast("long").alias("n_found"))

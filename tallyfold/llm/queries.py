@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe_prefix, chat_prefixes, cover_tree_topk, document_packing, graph_ann, katz_lm, line_dedup, minhash_postings, pii_feistel, quality_nbsvm
 
 VOCABULARY = "word_bpe_49k.json"
-#: A job sets its own key; pseudonyms are only as secret as it is.
+#: A job that wants the same pseudonyms as another sets its key; pseudonyms are only as secret as it is.
 PII_KEY = "tallyfold.pii.key"
 
 
@@ -22,7 +24,10 @@ def vocabulary() -> str:
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get(PII_KEY, "change-me")
+    """The key that is set; else a random one, which this session keeps."""
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, secrets.token_hex(32))
+    return spark.conf.get(PII_KEY)
 
 
 def fold(remainder: int) -> str:
