@@ -13,6 +13,18 @@ from ..functions import text as T
 
 LOW, FALLBACK = 0.65, 0.8
 # Signs of contradiction in an answer's lines.
+# An evaluation's gates, confidence by attempt, and a validator's checks.
+GATES = {"accuracy": 0.82, "confidence": 0.65}
+DECAY = [1.0, 0.95, 0.85, 0.70]
+CHECKS = ["V1_SCOPE", "V2_UNITS", "V3_SIGN", "V4_CITATION", "V5_FISCAL_YEAR", "V6_CONSISTENCY", "V7_COMPLETENESS", "V8_GROUNDING"]
+#: Prompts of the five kinds of call; labels are those that the parsers below read.
+TEMPLATES = {
+    "plan": "CONTEXT:\n{context}\n\nQUESTION:\n{question}\n\nReply with CURIOSITY_Q1 to CURIOSITY_Q6, ANALYSIS_PLAN, RETRIEVAL_HINTS and VALIDATION_CRITERIA.",
+    "answer": "CONTEXT:\n{context}\n\nPLAN:\n{plan}\n{rejected}\n\nQUESTION:\n{question}\n\nReply with ANSWER, COMPUTATION, CONFIDENCE and CITATIONS, or RETRIEVAL_MISS and what is needed.",
+    "check": "CONTEXT:\n{context}\n\nQUESTION:\n{question}\n\nPROPOSED ANSWER:\n{answer}\n\nFor each of {checks} give Result: PASS or FAIL, then REJECT_REASONS and RETRY_INSTRUCTIONS.",
+    "mediate": "CONTEXT:\n{context}\n\nQUESTION:\n{question}\n\nANSWERS:\n{answers}\n\nReply with ANSWER, CONFIDENCE and CITATIONS of the best supported one.",
+    "direct": "CONTEXT:\n{context}\n\nQUESTION:\n{question}\n\nAnswer from the context alone.",
+}
 CONTRADICTION = ["contradict", "inconsistent", "discrepancy", "conflict", "mismatch", "however", "disagree", "differs", "incorrect", "error", "restated", "does not match", "unsupported", "misstated"]
 PRIVATE = "_rlef_"
 
@@ -115,17 +127,21 @@ def upsert(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def preference_pairs(graded: DataFrame, kind: str, least: int, limit: int) -> DataFrame:
+def preference_pairs(graded: DataFrame, kind: str, least: int, limit: int | None = None) -> DataFrame:
     """kind, chosen, rejected, delta: within a kind the i-th best graded session against the i-th worst.
 
-    Out of the 2 * limit best sessions of grade least or more; pairs of equal grade go.
+    Out of the sessions of grade least or more, with a limit the 2 * limit best of them and
+    the first limit pairs; pairs of equal grade go.
     """
-    pool = graded.where(F.col("total") >= least).orderBy(F.desc("total"), F.desc("ts"), "session_id").limit(2 * limit)
+    pool = graded.where(F.col("total") >= least)
+    if limit is not None:
+        pool = pool.orderBy(F.desc("total"), F.desc("ts"), "session_id").limit(2 * limit)
     up = Window.partitionBy(kind).orderBy(F.desc("total"), F.desc("ts"), "session_id")
     r = pool.withColumn("i", F.row_number().over(up)).withColumn("n", F.count("*").over(Window.partitionBy(kind))).withColumn("j", F.col("n") + 1 - F.col("i"))
     a = r.where("i < j").select(kind, "i", F.col("session_id").alias("chosen"), F.col("total").alias("ca"))
     b = r.select(kind, F.col("j").alias("i"), F.col("session_id").alias("rejected"), F.col("total").alias("cb"))
-    return a.join(b, [kind, "i"]).where("ca > cb").select(kind, "chosen", "rejected", (F.col("ca") - F.col("cb")).alias("delta")).orderBy(kind, F.desc("delta"), "chosen").limit(limit)
+    pairs = a.join(b, [kind, "i"]).where("ca > cb").select(kind, "chosen", "rejected", (F.col("ca") - F.col("cb")).alias("delta"))
+    return pairs if limit is None else pairs.orderBy(kind, F.desc("delta"), "chosen").limit(limit)
 
 
 def eval_number(text: Column) -> Column:
@@ -223,6 +239,102 @@ def prompt(chunks: DataFrame, questions: DataFrame, cap: int = 5, chars: int = 1
     return questions.join(ctx, "question_id", "left").select("question_id", F.concat(F.lit("CONTEXT:\n"), F.coalesce("ctx", F.lit("No context retrieved.")), F.lit("\n\nQUESTION:\n"), "question").alias("prompt"))
 
 
+def context_first(prompt_text: Column) -> Column:
+    """Whether a prompt has a context, and it stands before the question."""
+    at = lambda w: F.instr(prompt_text, w)
+    return (at("CONTEXT:") > 0) & (at("CONTEXT:") < at("QUESTION:"))
+
+
+def gates(summary: DataFrame) -> DataFrame:
+    """Milestones that an evaluation's summary reaches: accuracy, confidence, no errors."""
+    return summary.select((F.col("accuracy") >= GATES["accuracy"]).alias("m1_accuracy"), (F.col("mean_confidence") >= GATES["confidence"]).alias("m7_confidence"), (F.col("errors") == 0).alias("m8_no_errors"))
+
+
+def arbiter_gate(pairs: DataFrame, model_exists: bool, least: int = 300) -> DataFrame:
+    """One row: pairs, required, met, passed, blocker: what a model of answers still waits for."""
+    n = F.count("*")
+    more = F.concat(F.lit("Need "), (F.lit(least) - n).cast("string"), F.lit(" more DPO pairs"))
+    few = n < least
+    blocker = F.when(few, more).otherwise("Ready") if model_exists else F.when(few, F.concat(more, F.lit(" AND model training"))).otherwise("DPO threshold met - run training script")
+    return pairs.agg(n.alias("pairs"), F.lit(least).alias("required"), (~few).alias("met"), (~few & F.lit(model_exists)).alias("passed"), blocker.alias("blocker"))
+
+
+def _part(text: Column, name: str, until: list[str]) -> Column:
+    """What follows name up to the first of the labels until, or the end; empty without it."""
+    stop = "|".join([*until, r"\z"])
+    return F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?is){name}[:\s]+(.*?)(?={stop})", 1), r"^\s+|\s+$", ""))
+
+
+def parse_plan(reply: Column, question: Column) -> dict[str, Column]:
+    """plan, hints, criteria, curiosity (six answers) of a planner's reply, with defaults for what it leaves out."""
+    asked = [_part(reply, f"CURIOSITY_Q{k}", [f"CURIOSITY_Q{k + 1}", "ANALYSIS_PLAN"]) for k in range(1, 7)]
+    some = lambda c, default: F.when(c != "", c).otherwise(default)
+    hints = F.filter(F.transform(F.split(_part(reply, "RETRIEVAL_HINTS", ["VALIDATION_CRITERIA"]), ","), lambda h: F.trim(h)), lambda h: h != "")
+    return {
+        "plan": some(_part(reply, "ANALYSIS_PLAN", ["RETRIEVAL_HINTS", "VALIDATION_CRITERIA"]), F.concat(F.lit("Extract the answer to: "), question)),
+        "hints": hints,
+        "criteria": some(_part(reply, "VALIDATION_CRITERIA", []), F.lit("Answer must be grounded in retrieved context with citations.")),
+        "curiosity": F.array(*(F.substring(a, 1, 500) for a in asked)),
+    }
+
+
+def parse_answer(reply: Column, attempt: Column) -> dict[str, Column]:
+    """answer, computation, confidence (less with each attempt from 0), citations, needed of an implementor's reply; a miss has no answer and says what it needs."""
+    miss = F.upper(reply).contains("RETRIEVAL_MISS")
+    answer = _part(reply, "ANSWER", ["COMPUTATION:", "CONFIDENCE:", "CITATIONS:"])
+    computation = _part(reply, "COMPUTATION", ["CONFIDENCE:", "CITATIONS:"])
+    conf = F.coalesce(F.regexp_extract(reply, r"(?i)CONFIDENCE[:\s]+([0-9.]+)", 1).try_cast("double"), F.lit(0.7))
+    decay = F.coalesce(F.get(F.array(*map(F.lit, DECAY)), attempt.cast("int")), F.lit(DECAY[-1]))
+    cites = _part(reply, "CITATIONS", [])
+    needed = F.substring(_part(reply, "RETRIEVAL_MISS", ["ANSWER:"]), 1, 300)
+    return {
+        "answer": F.when(miss, "").when(answer != "", answer).otherwise(F.substring(reply, 1, 500)),
+        "computation": F.when(~miss & (computation != ""), computation).otherwise("N/A"),
+        "confidence": F.when(miss, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)) * decay, 3)),
+        "citations": F.when(~miss & (cites != ""), F.array(cites)).otherwise(F.array().cast("array<string>")),
+        "needed": F.when(miss, F.when(needed != "", needed).otherwise("Unknown")),
+    }
+
+
+def parse_verdict(reply: Column) -> dict[str, Column]:
+    """checks (a map of the eight checks to PASS or FAIL; what is not reported passes), passed, reasons, instructions of a validator's reply."""
+    result = lambda c: F.coalesce(F.nullif(F.upper(F.regexp_extract(reply, rf"(?is){c}.*?Result:\s*(PASS|FAIL)", 1)), F.lit("")), F.lit("PASS"))
+    results = {c: result(c) for c in CHECKS}
+    failed = reduce(lambda a, b: a | b, (r == "FAIL" for r in results.values()))
+    reasons = F.filter(F.transform(F.split(_part(reply, "REJECT_REASONS", ["RETRY_INSTRUCTIONS"]), r"\d+\.|\n"), lambda r: F.trim(r)), lambda r: r != "")
+    return {
+        "checks": F.create_map(*(x for c, r in results.items() for x in (F.lit(c), r))),
+        "passed": ~failed,
+        "reasons": F.when(failed, reasons).otherwise(F.array().cast("array<string>")),
+        "instructions": F.when(failed, F.substring(_part(reply, "RETRY_INSTRUCTIONS", []), 1, 1000)).otherwise(""),
+    }
+
+
+def parse_json(reply: Column, schema: str) -> Column:
+    """A struct of a model's JSON reply without its code fence; null fields where it is no such JSON."""
+    bare = F.regexp_replace(F.trim(reply), r"(?s)^```[^\n]*\n(.*)\n[^\n]*$", "$1")
+    return F.from_json(bare, schema)
+
+
+def excerpts(chunks: DataFrame, cap: int, chars: int, head: str) -> DataFrame:
+    """question_id, context: the first cap ranked chunks (question_id, rank, section, page, text), cut at chars, under a head with {n}, {section} and {page}."""
+    filled = F.lit(head)
+    for name in ("section", "page"):
+        filled = F.replace(filled, F.lit("{" + name + "}"), F.coalesce(F.col(name).cast("string"), F.lit("")))
+    filled = F.replace(filled, F.lit("{n}"), F.col("rank").cast("string"))
+    body = F.concat(filled, F.substring("text", 1, chars))
+    rows = chunks.where(F.col("rank") <= cap).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", body.alias("body")))).alias("rows"))
+    return rows.select("question_id", F.array_join(F.transform("rows", lambda r: r["body"]), "\n").alias("context"))
+
+
+def rendered(template: str, **parts: Column) -> Column:
+    """A prompt of one of TEMPLATES; parts fill the fields that it names, and every template's context stands before its question."""
+    out = F.lit(TEMPLATES[template])
+    for name, value in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
 def parse_reply(text: Column) -> dict[str, Column]:
     """answer, confidence (clamped; 0.7 without one), citations of a labelled model reply."""
     part = lambda name: F.trim(F.regexp_extract(text, rf"(?is){name}\s*:\s*(.*?)(?=\n\s*[A-Z][A-Z_ ]{{2,}}\s*:|\z)", 1))

@@ -37,6 +37,21 @@ def fetched(requests: DataFrame, cache: DataFrame, live: DataFrame, key: str) ->
     return met.select(*requests.columns, F.coalesce("__c", "__l").alias("value"), source.alias("source"), fresh.alias("freshness"))
 
 
+def written_back(cache: DataFrame, results: DataFrame, key: str, now: Column) -> DataFrame:
+    """The cache's rows (key, kind, value, ts) with those that results took from a live source in place of older ones."""
+    new = results.where(F.col("source") == "live").select(key, "kind", "value", now.cast("timestamp").alias("ts"))
+    return cache.select(key, "kind", "value", "ts").join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def summary_text(results: DataFrame, key: str) -> str:
+    """One line for each kind of request: how many came, and from where; the keys that failed are named, ten at most."""
+    lines = []
+    for r in summary(results).orderBy("kind").collect():  # one row a kind
+        lost = [x[0] for x in results.where((F.col("kind") == r["kind"]) & (F.col("source") == "none")).select(key).orderBy(key).limit(10).collect()]
+        lines.append(f"{r['kind']}: {r['success']} of {r['n']} ({r['cached']} cached, {r['live']} live)" + (f"; without: {', '.join(map(str, lost))}" if lost else ""))
+    return "\n".join(lines)
+
+
 def summary(results: DataFrame) -> DataFrame:
     """source counts of a fetch."""
     return results.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("source") != "none").alias("success"), F.count_if(F.col("source") == "cache").alias("cached"), F.count_if(F.col("source") == "live").alias("live"))

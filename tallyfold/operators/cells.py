@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from .written import written
 
 #: Derived metrics: what they need, and their value from the needed cells' numbers.
 DERIVED: dict[str, tuple[list[str], Callable[..., Column]]] = {"free_cash_flow": (["operating_cash_flow", "capex"], lambda flow, spent: flow - F.abs(spent))}
@@ -49,7 +50,9 @@ def backfill(cells: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def with_keys(cells: DataFrame) -> DataFrame:
-    """cells with tag (normalised) and keys: all names a cell can be found by."""
+    """cells with tag (normalised) and keys: all names a cell can be found by; as they are if they have them."""
+    if {"tag", "keys"} <= set(cells.columns):
+        return cells
     human = T.humanise_tag(F.col("row_header"))
     keys = F.array_distinct(F.concat(F.array(T.normalise(F.col("row_header")), human), T.aliases(human)))
     return cells.withColumn("tag", T.normalise_tag(F.col("row_header"))).withColumn("keys", keys)
@@ -163,6 +166,7 @@ def lookup(questions: DataFrame, cells: DataFrame) -> DataFrame:
 
     Derived metrics come first; a question without a metric or cell is a miss of confidence 0.
     """
+    cells = written(with_keys(cells))  # read by every way of looking below
     plain = best(scored(in_context(candidates(questions, cells), contexts(cells))))
     hit = F.col("confidence") >= L.HIT
     rows = plain.select("question_id", hit.alias("hit"), F.when(hit, T.answer_format(F.col("value"), F.col("numeric"), F.col("unit"), citation())).otherwise("").alias("answer"), "value", "unit", "confidence", citation().alias("citation"))

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .answers import CHECKS
+
 # Confidence after each attempt, retries, and the mark below which an answer is unsure.
 DECAY = {"live": [1.0, 0.95, 0.85, 0.70], "alt": [1.0, 0.95, 0.85, 0.70, 0.60]}
 RETRIES = {"live": 3, "alt": 5}
@@ -29,6 +31,14 @@ def confidence(reply: str) -> float:
     return min(1.0, max(0.0, float(m[0]))) if m else DEFAULT
 
 
+def checked(reply: str) -> tuple[bool, str]:
+    """Whether none of the eight checks fails, and why and what to do otherwise; a check that is not reported passes, and so does a missing reply."""
+    results = {c: re.search(rf"(?is){c}.*?Result:\s*(PASS|FAIL)", reply or "") for c in CHECKS}
+    failed = [c for c, m in results.items() if m and m[1].upper() == "FAIL"]
+    why = [section(reply or "", "REJECT_REASONS"), section(reply or "", "RETRY_INSTRUCTIONS")]
+    return not failed, " ".join(["; ".join(failed), *filter(None, why)]) if failed else ""
+
+
 def attempt(question: str, context: str, chat: Callable[[str, float], str] | None, variant: str = "live") -> tuple:
     """answer, confidence, attempts, low_confidence, verdict of one question.
 
@@ -50,10 +60,10 @@ def attempt(question: str, context: str, chat: Callable[[str, float], str] | Non
             misses += 1
             if misses == 2:
                 return answer or MISS, 0.0, k + 1, True, MISS
-        verdict = chat(f"CONTEXT:\n{context}\nCheck the ANSWER: {answer}\nVERDICT, REASON:", 0.0)
-        if section(verdict, "VERDICT").upper() != "FAIL":
+        passed, why = checked(chat(f"CONTEXT:\n{context}\nCheck the ANSWER: {answer}\nFor each of {', '.join(CHECKS)} give Result: PASS or FAIL; REJECT_REASONS, RETRY_INSTRUCTIONS:", 0.0))
+        if passed:
             return answer, conf, k + 1, conf < LOW, "PASS"
-        rejected = f"REJECTED: {section(verdict, 'REASON')}"
+        rejected = f"REJECTED: {why}"
     return answer, conf * EXHAUSTED, RETRIES[variant] + 1, True, "EXHAUSTED"
 
 

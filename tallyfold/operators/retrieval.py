@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import text as T
+from .written import written_with
 
 # BM25's parameters, the fusion constant and list lengths.
 K1, B, RRF, POOL, FINAL = 1.5, 0.75, 60, 10, 3
 MISS, WEAK = "INSUFFICIENT_DATA", 0.3
+# Words of sections that weigh most, and second most.
+STATEMENTS = ["income", "financial", "balance", "cash"]
+DISCUSSION = ["md&a", "management", "operations"]
 #: Query sets up to this many vectors are broadcast; larger ones meet the rows block by block.
 FEW = 1000
 
@@ -22,28 +28,108 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(L.SEARCH_STOPS))
 
 
+def _measured(chunks: DataFrame, key: str) -> DataFrame:
+    return chunks.select(key, tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts"))
+
+
+def _counted(words: DataFrame, key: str) -> DataFrame:
+    return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+
+
 def postings(chunks: DataFrame, key: str) -> DataFrame:
     """key, term, tf, len: the inverted index of chunks (key, text)."""
-    t = chunks.select(key, tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts"))
-    return t.select(key, "len", F.explode("ts").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    return _counted(_measured(chunks, key).select(key, "len", F.explode("ts").alias("term")), key)
+
+
+def asked_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, key: str, k: int = POOL) -> DataFrame:
     """question_id, key, score, norm, rank of the k best chunks of each question; zero scores are left out.
 
-    The index is joined to the questions' terms; only its matching part is shuffled twice.
+    The texts are read once: only words that a question asks for are shuffled, and the
+    number of chunks and their mean length are observed on the way.
     """
-    index = postings(chunks, key)
-    n, avg = chunks.count(), chunks.select(F.avg(F.size(tokens(F.col("text"))))).first()[0] or 1.0
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    asked, seen = asked_terms(questions), Observation()
+    words = _measured(chunks, key).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).select(key, "len", F.explode("ts").alias("term"))
+    used = words.join(asked.select("term").distinct(), "term", "left_semi")
+    index, got = written_with(_counted(used, key), seen)
+    return _scores(asked, index, got["n"], (got["total"] or 0) / max(got["n"], 1) or 1.0, key, k)
+
+
+def _scores(asked: DataFrame, index: DataFrame, n: int, avg: float, key: str, k: int) -> DataFrame:
+    df = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
-    weighed = used.join(df, "term").select("term", key, weight.alias("w"))
+    weighed = index.join(df, "term").select("term", key, weight.alias("w"))
     scores = asked.join(weighed, "term").groupBy("question_id", key).agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
     return top(scores, key, k)
 
 
+def store_index(chunks: DataFrame, key: str, path: str, parts: int = 64) -> None:
+    """Write the index of chunks below path: postings by a hash of their term, and the corpus' size; replaces one that is there."""
+    seen = Observation()
+    words = _measured(chunks, key).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).select(key, "len", F.explode("ts").alias("term"))
+    by_term = _counted(words, key).withColumn("part", _part(F.col("term"), parts))
+    by_term.repartition("part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    got = seen.get
+    spark = chunks.sparkSession
+    spark.createDataFrame([(key, got["n"], got["total"] or 0, parts)], "key string, n long, total long, parts int").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def _part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+def index_size(spark: SparkSession, path: str) -> int | None:
+    """The number of chunks of a stored index; None if there is none."""
+    try:
+        return spark.read.parquet(f"{path}/corpus").first()["n"]
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def search_index(questions: DataFrame, path: str, k: int = POOL) -> DataFrame:
+    """bm25() of a stored index; only the questions' terms are read out of their parts."""
+    spark = questions.sparkSession
+    key, n, total, parts = spark.read.parquet(f"{path}/corpus").first()
+    asked = asked_terms(questions)
+    terms = asked.select("term").distinct().withColumn("part", _part(F.col("term"), parts))
+    index = spark.read.parquet(f"{path}/postings").join(terms, ["part", "term"], "left_semi").drop("part")
+    return _scores(asked, index, n, total / max(n, 1) or 1.0, key, k)
+
+
+def store_vectors(chunks: DataFrame, key: str, path: str, encode: Callable, prefix: str = "passage: ") -> None:
+    """Write key, embedding and metadata of chunks by encode, a pandas UDF from text to array<float>; replaces what is there."""
+    chunks.withColumn("embedding", encode(F.concat(F.lit(prefix), "text"))).write.mode("overwrite").parquet(path)
+
+
+def metadata(chunks: DataFrame) -> DataFrame:
+    """The fields that hits carry, with their kinds and defaults."""
+    text = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(c)
+    return chunks.select("chunk_id", text("text", ""), text("company", "UNKNOWN"), text("doc_type", "UNKNOWN"), text("fiscal_year", "UNKNOWN"), text("section", "DOCUMENT"), F.coalesce(F.col("page").try_cast("int"), F.lit(0)).alias("page"))
+
+
+def retrieval_features(section: Column, page: Column, text: Column, fiscal_year: Column, company: Column, asked_year: Column, asked_company: Column, bm25_score: Column, cosine_score: Column) -> dict[str, Column]:
+    """Eight numbers that tell why a chunk was retrieved; missing scores and pages count as one half."""
+    low, half = F.lower(F.coalesce(section, F.lit(""))), F.lit(0.5)
+    at = F.trim(page.cast("string")).try_cast("double")
+    has = lambda words: T.contains_any(low, words)
+    meets = lambda a, b: F.coalesce(((a != "") & b.contains(a)).cast("double"), F.lit(0.0))
+    return {
+        "f_bm25": F.coalesce(bm25_score, half),
+        "f_cosine": F.coalesce(cosine_score, half),
+        "f_section": F.when(has(STATEMENTS), 1.0).when(has(DISCUSSION), 0.8).otherwise(0.5),
+        "f_page": F.when(at.isNull(), half).otherwise(F.least(at / 300.0, F.lit(1.0))),
+        "f_length": F.least(F.length(text) / 1000.0, F.lit(1.0)),
+        "f_table": F.coalesce(text.rlike(r"[$%|\t]").cast("double"), F.lit(0.0)),
+        "f_year": meets(asked_year, fiscal_year),
+        "f_company": meets(F.lower(asked_company), F.lower(company)),
+    }
+
+
 def top(scores: DataFrame, key: str, k: int) -> DataFrame:
     """The k best of (question_id, key, score), with norm (share of the best) and rank; ties by key."""
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
@@ -61,7 +147,10 @@ def word_overlap(questions: DataFrame, chunks: DataFrame, key: str, k: int = POO
 
 
 def cosine(queries: DataFrame, vectors: DataFrame, key: str, k: int = POOL) -> DataFrame:
-    """question_id, key, score (max(0, cosine)), norm, rank; queries: question_id, embedding."""
+    """question_id, key, score (max(0, cosine)), norm, rank; queries: question_id, embedding.
+
+    Exact: every query is compared with every vector, whose rows are dealt into 64 blocks.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = lambda a: F.sqrt(dot(a, a))
     q = queries.select("question_id", F.col("embedding").alias("__q"), norm(F.col("embedding")).alias("__qn"))

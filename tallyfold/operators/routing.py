@@ -1,6 +1,6 @@
 """Routing of questions: class and difficulty by text classifiers, and answer ranking by boosted trees.
 
-Training rows are the caller's: (question, label), see plans.training for a set by rule.
+Training rows are the caller's: (question, label).
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ from ..functions import text as T
 # Sizes that make a heading a section's, and lengths of chunks in characters.
 LARGE, MEDIUM, LAST_PAGES = 16.0, 13.0, 50
 CHUNK, OVERLAP, LEAST, TITLE = 1600, 100, 50, 60
-SECTION_CHARS = 50_000
+SECTION_CHARS, CAP = 50_000, 5000
 
 
 def clean_headings(headings: DataFrame) -> DataFrame:
@@ -34,7 +34,12 @@ def section_tree(headings: DataFrame, key: str) -> DataFrame:
 def section_text(headings: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """key, ord, text: from a heading's first place in its document up to the next heading's place after it."""
     w = Window.partitionBy(key).orderBy("ord")
-    d = headings.withColumn("__next", F.lead("text").over(w)).join(texts.select(key, F.col("text").alias("__all")), key)
+    return _between(headings.withColumn("__next", F.lead("text").over(w)), texts, key)
+
+
+def _between(headings: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """key, ord, text from a heading up to __next."""
+    d = headings.join(texts.select(key, F.col("text").alias("__all")), key)
     name = F.lower(F.substring("text", 1, 30))
     low = F.lower("__all")
     d = d.withColumn("__at", F.position(name, low)).where(F.col("__at") > 0)
@@ -81,18 +86,50 @@ def packed_sentences(text: Column, size: int = CHUNK, overlap: int = OVERLAP, le
     return F.when(F.length(text) <= size, short).otherwise(folded)
 
 
-def chunk_documents(docs: DataFrame, key: str, cap: int | None = None) -> DataFrame:
-    """key, chunk_id, section, text: paragraphs, long ones packed by sentence; documents without any as a whole."""
-    para = paragraphs(docs, key).select(key, "ord", "section", F.posexplode(packed_sentences(F.col("text"))).alias("part", "text"))
-    whole = docs.join(para.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("ord"), F.lit("DOCUMENT").alias("section"), F.posexplode(packed_sentences(F.col("text"), least=1)).alias("part", "text"))
-    every = para.unionByName(whole)
-    n = F.row_number().over(Window.partitionBy(key).orderBy("ord", "part"))
-    out = every.withColumn("__n", n)
+def section_chunks(headings: DataFrame, texts: DataFrame, key: str, least: int = LEAST) -> DataFrame:
+    """key, ord, section, part, text: each section's and subsection's text, long ones packed by sentence.
+
+    headings: key, ord, text, and parent from section_tree. A section reaches to the next
+    section, a subsection to the next of its section or else to the next section.
+    """
+    top = section_text(headings.where("parent is null"), texts, key)
+    below = headings.where("parent is not null").select(key, "ord", F.col("parent").alias("__parent"), "text")
+    nexts = headings.where("parent is null").withColumn("__then", F.lead("text").over(Window.partitionBy(key).orderBy("ord"))).select(key, F.col("ord").alias("__parent"), "__then")
+    inner = F.lead("text").over(Window.partitionBy(key, "__parent").orderBy("ord"))
+    child = below.join(nexts, [key, "__parent"]).withColumn("__next", F.coalesce(inner, "__then"))
+    both = top.unionByName(_between(child, texts, key)).where(F.length("text") >= least)
+    named = both.join(headings.select(key, "ord", F.col("text").alias("section")), [key, "ord"])
+    return named.select(key, "ord", "section", F.posexplode(packed_sentences(F.col("text"), least=least)).alias("part", "text"))
+
+
+def chunk_documents(docs: DataFrame, key: str, headings: DataFrame | None = None, cap: int | None = CAP) -> DataFrame:
+    """key, chunk_id, section, text of docs (key, text), up to cap chunks a document.
+
+    By sections where headings give any (see section_chunks); other documents by paragraphs,
+    long ones packed by sentence; those without any as a whole.
+    """
+    texts, every, left = docs.select(key, "text"), None, docs.select(key, "text")
+    if headings is not None:
+        every = section_chunks(headings, texts, key).select(key, "ord", "section", "part", "text")
+        left = left.join(every.select(key).distinct(), key, "left_anti")
+    para = paragraphs(left, key).select(key, "ord", "section", F.posexplode(packed_sentences(F.col("text"))).alias("part", "text"))
+    whole = left.join(para.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("ord"), F.lit("DOCUMENT").alias("section"), F.posexplode(packed_sentences(F.col("text"), least=1)).alias("part", "text"))
+    rest = para.unionByName(whole)
+    every = rest if every is None else every.unionByName(rest)
+    out = every.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("ord", "part")))
     if cap is not None:
         out = out.where(F.col("__n") <= cap)
     return out.select(key, F.concat(F.lit("chunk_"), F.lpad((F.col("__n") - 1).cast("string"), 4, "0")).alias("chunk_id"), "section", "text")
 
 
+def summaries(sections: DataFrame, key: str, summarise, most: int = 20, chars: int = 500, longest: int = 300) -> DataFrame:
+    """key, ord, summary: the first sentence that summarise (a pandas UDF of text) gives for the start of each of the first sections; empty text gives none."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
+    some = sections.where(F.trim("text") != "").withColumn("__n", n).where(F.col("__n") <= most)
+    said = some.select(key, "ord", summarise(F.substring("text", 1, chars)).alias("said"))
+    return said.select(key, "ord", F.substring(F.split(F.trim("said"), r"(?<=[.!?])\s+")[0], 1, longest).alias("summary"))
+
+
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """chunks with char_count, token_estimate and prefixed_text (company / doc_type / fiscal_year / section / page)."""
     prefix = F.concat_ws(" / ", "company", "doc_type", "fiscal_year", "section", F.col("page").cast("string"))

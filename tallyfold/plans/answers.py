@@ -108,8 +108,7 @@ def context_first(spark, sf):
     """Whether each document's first benchmark-like word stands before its last."""
     b = _t(spark, sf, "benchmark")
     p = F.concat(F.when(F.col("item_id") % 3 == 0, F.lit("QUESTION: ?\nCONTEXT: ")).otherwise(F.lit("CONTEXT: ")), "text", F.lit("\nQUESTION: what?"))
-    at = lambda w: F.instr(p, w)
-    return b.select("item_id", ((at("CONTEXT:") > 0) & (at("CONTEXT:") < at("QUESTION:"))).alias("ok"))
+    return b.select("item_id", A.context_first(p).alias("ok"))
 
 
 def dag_nodes(spark, sf):
@@ -160,6 +159,50 @@ def parse_llm(spark, sf):
     return c.select("question_id", "pod_order", got["answer"].alias("reply_answer"), got["confidence"].alias("reply_confidence"), F.size(got["citations"]).alias("n_citations"))
 
 
+def _replies(spark, sf):
+    """Replies of the three kinds of call, made of each order's answers."""
+    c = _candidates(spark, sf)
+    plan = F.concat(F.lit("CURIOSITY_Q1: why\nCURIOSITY_Q2: how "), "pod_name", F.when(F.col("pod_order") == 1, F.concat(F.lit("\nANALYSIS_PLAN: look up "), "answer")).otherwise(""), F.lit("\nRETRIEVAL_HINTS: total, , tax\nVALIDATION_CRITERIA: cite"))
+    answer = F.when((F.col("pod_order") == 3) & (F.col("question_id") % 4 == 0), F.lit("RETRIEVAL_MISS: the table of prices")).otherwise(F.concat(F.lit("ANSWER: "), "answer", F.lit("\nCOMPUTATION: none\nCONFIDENCE: "), F.col("confidence").cast("string"), F.lit("\nCITATIONS: [A/P1]")))
+    verdict = F.concat(F.lit("V1_SCOPE Result: PASS\nV3_SIGN Result: "), F.when(F.col("question_id") % 3 == 0, "FAIL").otherwise("PASS"), F.lit("\nREJECT_REASONS: 1. sign is off\n2. no unit\nRETRY_INSTRUCTIONS: read again"))
+    return c.select("question_id", "pod_order", plan.alias("plan_reply"), answer.alias("answer_reply"), verdict.alias("verdict_reply"))
+
+
+def parse_plan(spark, sf):
+    got = A.parse_plan(F.col("plan_reply"), F.col("question_id").cast("string"))
+    return _replies(spark, sf).select("question_id", "pod_order", got["plan"].alias("plan"), F.concat_ws("|", got["hints"]).alias("hints"), got["criteria"].alias("criteria"), F.concat_ws("|", got["curiosity"]).alias("curiosity"))
+
+
+def parse_answer(spark, sf):
+    got = A.parse_answer(F.col("answer_reply"), F.col("pod_order"))
+    return _replies(spark, sf).select("question_id", "pod_order", got["answer"].alias("reply_answer"), got["computation"].alias("computation"), got["confidence"].alias("reply_confidence"), F.size(got["citations"]).alias("n_citations"), got["needed"].alias("needed"))
+
+
+def parse_verdict(spark, sf):
+    got = A.parse_verdict(F.col("verdict_reply"))
+    return _replies(spark, sf).select("question_id", "pod_order", got["passed"].alias("passed"), F.concat_ws("|", got["reasons"]).alias("reasons"), got["instructions"].alias("instructions"), got["checks"]["V3_SIGN"].alias("sign"), got["checks"]["V8_GROUNDING"].alias("grounding"))
+
+
+def parse_json(spark, sf):
+    """Events' properties as a model would quote them, in a code fence for half of them."""
+    e = _t(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("n"))).alias("j"))
+    reply = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).otherwise(F.col("j"))
+    return e.select("event_id", F.inline(F.array(A.parse_json(reply, "kind string, n long"))))
+
+
+def prompt_templates(spark, sf):
+    """Each customer's question in every template, with the length of what is rendered."""
+    c = _t(spark, sf, "customer")
+    parts = {"context": F.col("c_name"), "question": F.concat(F.lit("balance of "), "c_name"), "plan": F.col("c_mktsegment"), "rejected": F.lit(""), "answer": F.round("c_acctbal").cast("long"), "answers": F.col("c_mktsegment"), "checks": F.lit(", ".join(A.CHECKS))}
+    rows = F.array(*(F.struct(F.lit(t).alias("template"), A.rendered(t, **parts).alias("text")) for t in A.TEMPLATES))
+    d = c.select("c_custkey", F.inline(rows))
+    return d.select("c_custkey", "template", F.md5("text").alias("md5"), A.context_first(F.col("text")).alias("ok"))
+
+
+def arbiter_gate(spark, sf):
+    return A.arbiter_gate(dpo_pairs(spark, sf), False)
+
+
 def offline_answer(spark, sf):
     return _candidates(spark, sf).select("question_id", "pod_order", A.offline_answer(F.col("answer")).alias("amount"))
 
@@ -186,10 +229,11 @@ def grade_upsert(spark, sf):
 
 
 def dpo_pairs(spark, sf):
-    g = _graded(spark, sf).where("pod_order = 2")
+    """Of all pods' answers, so that good and bad ones meet."""
+    g = _graded(spark, sf)
     o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), "o_orderpriority", F.col("o_orderdate").alias("ts"))
-    rows = g.join(o, "question_id").withColumn("session_id", F.col("question_id"))
-    return A.preference_pairs(rows, "o_orderpriority", 3, 300)
+    rows = g.join(o, "question_id").withColumn("session_id", F.col("question_id") * 10 + F.col("pod_order"))
+    return A.preference_pairs(rows, "o_orderpriority", 3)
 
 
 def _results(spark, sf):
@@ -217,8 +261,7 @@ def fb_score(spark, sf):
 
 
 def gates(spark, sf):
-    s = eval_summary(spark, sf)
-    return s.select((F.col("accuracy") >= 0.82).alias("m1_accuracy"), (F.col("mean_confidence") >= 0.65).alias("m7_confidence"), (F.col("errors") == 0).alias("m8_no_errors"))
+    return A.gates(eval_summary(spark, sf))
 
 
 def eval_resume_anti(spark, sf):
@@ -228,7 +271,7 @@ def eval_resume_anti(spark, sf):
 
 
 def questions_with_meta(spark, sf):
-    d = _t(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), F.col("source").alias("company"), F.col("lang").alias("doc_period"))
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("company"), F.col("lang").alias("doc_period"))
     b = _t(spark, sf, "benchmark").join(d, "item_id", "left")
     return b.select("item_id", "text", F.coalesce("company", F.lit("UNKNOWN")).alias("company"), F.coalesce("doc_period", F.lit("UNKNOWN")).alias("doc_period"))
 
@@ -259,7 +302,7 @@ def transcript_analysis(spark, sf):
     return a.select("conv_id", "net", "ceo_net", "cfo_net", F.size("guidance").alias("n_guidance"), F.size("risks").alias("n_risks"), F.concat_ws("|", "speakers").alias("speakers"))
 
 
-QUERIES = {f.__name__: f for f in (core_answer, answers_agree, majority_vote, mediate, answer_contradictions, contradiction_lines, word_overlap, candidate_features, arbiter_fallback, numbers_in_text, numbers_distinct, context_first, dag_nodes, dag_levels, dag_values, labels, final_answer, report_view, prompt, parse_llm, offline_answer, grade, grade_distribution, grade_upsert, dpo_pairs, eval_match, eval_summary, eval_by_company, fb_score, gates, eval_resume_anti, questions_with_meta, segments, role, sentiment, transcript_analysis)}
+QUERIES = {f.__name__: f for f in (core_answer, answers_agree, majority_vote, mediate, answer_contradictions, contradiction_lines, word_overlap, candidate_features, arbiter_fallback, numbers_in_text, numbers_distinct, context_first, dag_nodes, dag_levels, dag_values, labels, final_answer, report_view, prompt, parse_llm, parse_plan, parse_answer, parse_verdict, parse_json, prompt_templates, arbiter_gate, offline_answer, grade, grade_distribution, grade_upsert, dpo_pairs, eval_match, eval_summary, eval_by_company, fb_score, gates, eval_resume_anti, questions_with_meta, segments, role, sentiment, transcript_analysis)}
 
 _MED = f"""{_CAND}, c AS (SELECT *, {_CORE.format('answer')} AS core, row_number() OVER (PARTITION BY question_id ORDER BY pod_order) AS n FROM cand WHERE trim(answer) <> ''),
 g AS (SELECT question_id, count(*) AS n, max(core) FILTER (n = 1) AS c1, max(core) FILTER (n = 2) AS c2, max(core) FILTER (n = 3) AS c3 FROM c GROUP BY question_id),
@@ -319,9 +362,16 @@ ORACLES = {
     "grade": f"WITH {_GRADE} SELECT * FROM graded",
     "grade_distribution": f"WITH {_GRADE} SELECT label, count(*) AS n FROM graded GROUP BY label",
     "grade_upsert": f"WITH {_GRADE} SELECT o_custkey, question_id, total, label FROM graded JOIN orders ON question_id = o_orderkey WHERE pod_order = 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, question_id DESC) = 1",
-    "dpo_pairs": f"""WITH {_GRADE}, p AS (SELECT o_orderpriority, question_id AS session_id, total, o_orderdate AS ts FROM graded JOIN orders ON question_id = o_orderkey WHERE pod_order = 2 AND total >= 3 ORDER BY total DESC, ts DESC, session_id LIMIT 600),
+    "dpo_pairs": f"""WITH {_GRADE}, p AS (SELECT o_orderpriority, question_id * 10 + pod_order AS session_id, total, o_orderdate AS ts FROM graded JOIN orders ON question_id = o_orderkey WHERE total >= 3),
         r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY total DESC, ts DESC, session_id) AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM p)
-        SELECT a.o_orderpriority, a.session_id AS chosen, b.session_id AS rejected, a.total - b.total AS delta FROM r a JOIN r b ON a.o_orderpriority = b.o_orderpriority AND b.i = a.n + 1 - a.i WHERE a.i < b.i AND a.total > b.total ORDER BY 1, delta DESC, chosen LIMIT 300""",
+        SELECT a.o_orderpriority, a.session_id AS chosen, b.session_id AS rejected, a.total - b.total AS delta FROM r a JOIN r b ON a.o_orderpriority = b.o_orderpriority AND b.i = a.n + 1 - a.i WHERE a.i < b.i AND a.total > b.total""",
+    "parse_plan": f"WITH {_CAND} SELECT question_id, pod_order, CASE WHEN pod_order = 1 THEN 'look up ' || answer ELSE 'Extract the answer to: ' || question_id END AS plan, 'total|tax' AS hints, 'cite' AS criteria, 'why|how ' || pod_name || CASE WHEN pod_order = 1 THEN '' ELSE chr(10) || 'RETRIEVAL_HINTS: total, , tax' || chr(10) || 'VALIDATION_CRITERIA: cite' END || '||||' AS curiosity FROM cand",
+    "parse_answer": f"""WITH {_CAND}, r AS (SELECT *, pod_order = 3 AND question_id % 4 = 0 AS miss FROM cand) SELECT question_id, pod_order, CASE WHEN miss THEN '' ELSE trim(answer) END AS reply_answer, CASE WHEN miss THEN 'N/A' ELSE 'none' END AS computation,
+        CASE WHEN miss THEN 0.0::DOUBLE ELSE round(confidence * [1.0::DOUBLE, 0.95::DOUBLE, 0.85::DOUBLE, 0.7::DOUBLE][pod_order + 1], 3) END AS reply_confidence, CASE WHEN miss THEN 0 ELSE 1 END AS n_citations, CASE WHEN miss THEN 'the table of prices' END AS needed FROM r""",
+    "parse_verdict": f"WITH {_CAND} SELECT question_id, pod_order, question_id % 3 <> 0 AS passed, CASE WHEN question_id % 3 = 0 THEN 'sign is off|no unit' ELSE '' END AS reasons, CASE WHEN question_id % 3 = 0 THEN 'read again' ELSE '' END AS instructions, CASE WHEN question_id % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS sign, 'PASS' AS grounding FROM cand",
+    "parse_json": "SELECT event_id, event_type AS kind, user_id AS n FROM events",
+    "prompt_templates": "SELECT c_custkey, t.template, md5(replace(replace(replace(replace(replace(replace(replace(t.body, '{context}', c_name), '{question}', 'balance of ' || c_name), '{plan}', c_mktsegment), '{rejected}', ''), '{answer}', round(c_acctbal)::BIGINT::VARCHAR), '{answers}', c_mktsegment), '{checks}', " + q(", ".join(A.CHECKS)) + ")) AS md5, true AS ok FROM customer, (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in A.TEMPLATES.items()) + ") t(template, body)",
+    "arbiter_gate": "SELECT n AS pairs, 300 AS required, n >= 300 AS met, false AS passed, CASE WHEN n < 300 THEN 'Need ' || (300 - n) || ' more DPO pairs AND model training' ELSE 'DPO threshold met - run training script' END AS blocker FROM (SELECT count(*) AS n FROM (__DPO__))",
     "eval_match": f"WITH {_RES} SELECT question_id, exact, numeric FROM res",
     "eval_summary": f"WITH {_RES} SELECT 'all' AS run, {_SUM} FROM res",
     "eval_by_company": f"WITH {_RES} SELECT company, {_SUM} FROM res GROUP BY company",
@@ -330,9 +380,10 @@ ORACLES = {
         SELECT question_id, reason <> 'wrong' AS correct, reason, CASE reason WHEN 'numeric' THEN 1.0::DOUBLE WHEN 'numeric_loose' THEN 0.95::DOUBLE ELSE round(o, 6) END AS score FROM r""",
     "gates": f"WITH {_RES}, s AS (SELECT {_SUM} FROM res) SELECT accuracy >= 0.82 AS m1_accuracy, mean_confidence >= 0.65 AS m7_confidence, errors = 0 AS m8_no_errors FROM s",
     "eval_resume_anti": "SELECT o_orderkey AS question_id FROM orders WHERE o_orderkey % 11 <> 0",
-    "questions_with_meta": "SELECT item_id, b.text, coalesce(source, 'UNKNOWN') AS company, coalesce(lang, 'UNKNOWN') AS doc_period FROM benchmark b LEFT JOIN documents d ON item_id = doc_id AND doc_id % 2 = 0",
+    "questions_with_meta": "SELECT item_id, b.text, coalesce(source, 'UNKNOWN') AS company, coalesce(lang, 'UNKNOWN') AS doc_period FROM benchmark b LEFT JOIN documents d ON item_id = doc_id",
     "segments": f"WITH {_CALLS} SELECT * FROM segs",
     "role": f"WITH {_CALLS} SELECT role, count(*) AS n FROM segs GROUP BY role",
     "sentiment": f"WITH t AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' strong growth beat' ELSE ' weak decline' END AS text FROM conversations), s AS (SELECT conv_id, turn, {_POS.format('text')} AS p, {_NEG.format('text')} AS n, len(regexp_extract_all(lower(text), '[a-z]+')) AS t, {_NET.format('text')} AS net FROM t) SELECT conv_id, turn, p::INT AS positive, n::INT AS negative, t::INT AS total, net, CASE WHEN net > 0.005 THEN 'positive' WHEN net < -0.005 THEN 'negative' ELSE 'neutral' END AS polarity, CASE WHEN p + n >= 50 THEN 'high' WHEN p + n >= 20 THEN 'medium' WHEN p + n >= 5 THEN 'low' ELSE 'insufficient' END AS confidence FROM s",
     "transcript_analysis": f"WITH {_CALLS}, g AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY position) AS a, coalesce(string_agg(text, chr(10) ORDER BY position) FILTER (role = 'CEO'), '') AS ceo, coalesce(string_agg(text, chr(10) ORDER BY position) FILTER (role = 'CFO'), '') AS cfo, list(speaker ORDER BY position) AS who FROM segs GROUP BY conv_id) SELECT conv_id, {_NET.format('a')} AS net, {_NET.format('ceo')} AS ceo_net, {_NET.format('cfo')} AS cfo_net, {_SENT.format(w=' OR '.join(f'contains(lower(s), {q(w)})' for w in L.GUIDANCE))}::INT AS n_guidance, {_SENT.format(w=' OR '.join(f'contains(lower(s), {q(w)})' for w in L.RISKS))}::INT AS n_risks, (SELECT string_agg(w, '|' ORDER BY p) FROM (SELECT w, min(i) AS p FROM (SELECT unnest(who) AS w, unnest(range(1, len(who) + 1)) AS i) GROUP BY w)) AS speakers FROM g",
 }
+ORACLES["arbiter_gate"] = ORACLES["arbiter_gate"].replace("__DPO__", ORACLES["dpo_pairs"])

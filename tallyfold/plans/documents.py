@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import sections as S
 from ..sources import html as H
@@ -40,8 +41,14 @@ def html_headings(spark, sf):
     return H.level_headings(_pages(spark, sf))
 
 
+def _bolder(spark, sf):
+    """Pages with their host as a bold run, and a number that is none."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    return _t(spark, sf, "pages").select("page_id", F.concat(F.lit("<p><b>Site "), host, F.lit("</b> and <strong class='x'>Page "), F.col("page_id").cast("string"), F.lit("</strong><b>1,234.5</b></p>"), "html").alias("html"))
+
+
 def html_bold_headings(spark, sf):
-    return H.bold_headings(_pages(spark, sf))
+    return H.bold_headings(_bolder(spark, sf))
 
 
 def heading_dedupe(spark, sf):
@@ -97,6 +104,25 @@ def sentence_chunks(spark, sf):
     return S.chunk_documents(_docs(spark, sf), "doc_id").select("doc_id", "chunk_id", "section", F.length("text").alias("chars"))
 
 
+def _outline(spark, sf):
+    """Pages' headings as sections and subsections: those of the larger sizes, and bold runs below them."""
+    h = _headings(spark, sf).withColumn("is_bold", F.col("level") <= 6)
+    return S.section_tree(S.clean_headings(h), "page_id")
+
+
+def section_chunks(spark, sf):
+    """Of pages whose texts repeat their headings, so that sections have a body."""
+    h = _outline(spark, sf).select("page_id", "ord", "text", "parent")
+    return S.section_chunks(h, _texts(spark, sf), "page_id").select("page_id", "ord", "section", "part", F.length("text").alias("chars"), F.md5("text").alias("md5"))
+
+
+def fallback_chunks(spark, sf):
+    """By sections, then by paragraphs, then as a whole."""
+    h = _outline(spark, sf).select("page_id", "ord", "text", "parent")
+    got = S.chunk_documents(_texts(spark, sf), "page_id", h)
+    return got.groupBy("page_id").agg(F.count("*").alias("chunks"), F.max("chunk_id").alias("last"), F.sum(F.length("text")).alias("chars"))
+
+
 def _labelled(spark, sf):
     """Paragraphs with the five fields of a chunk; some lack one."""
     p = S.paragraphs(_docs(spark, sf), "doc_id")
@@ -155,14 +181,12 @@ def rerank_topk(spark, sf):
 
 
 def _gated(spark, sf):
-    sparse = bm25_topk(spark, sf).where("question_id % 3 <> 0")
-    dense = term_overlap(spark, sf).where("question_id % 2 = 0")
+    sparse, dense = bm25_topk(spark, sf), term_overlap(spark, sf)
     final = R.rerank(R.fuse([sparse, dense], "doc_id"), None, "doc_id")
     return R.gate(_questions(spark, sf), sparse, dense, final), final
 
 
 def retrieval_gate(spark, sf):
-    """With the sparse list lost for every third question and the dense one for every second."""
     return _gated(spark, sf)[0]
 
 
@@ -172,10 +196,18 @@ def early_exit(spark, sf):
     return R.early_exit(g, first, llm=False)
 
 
+def retrieval_features(spark, sf):
+    """Why documents were retrieved, with their source as company and their language as section."""
+    d = _t(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("company"), F.concat(F.lit("FY20"), F.pmod("doc_id", F.lit(30)).cast("string")).alias("fiscal_year"), F.concat(F.element_at(F.array(F.lit("Income Statement "), F.lit("MD&A "), F.lit("Exhibit ")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")), "lang").alias("section"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id").cast("string")).otherwise("n/a").alias("page"))
+    hits = bm25_topk(spark, sf).select("question_id", "doc_id", "norm").join(term_overlap(spark, sf).select("question_id", "doc_id", F.col("norm").alias("dense")), ["question_id", "doc_id"], "left")
+    f = R.retrieval_features(F.col("section"), F.col("page"), F.col("text"), F.col("fiscal_year"), F.col("company"), F.lit("FY2021"), F.lit("SRC1"), F.col("norm"), F.col("dense"))
+    return hits.join(d, "doc_id").select("question_id", "doc_id", *(F.round(c, 6).alias(n) for n, c in f.items()))
+
+
 def quality_filter(spark, sf):
     """Documents of ten characters or more that report no error."""
     d = _chunks(spark, sf).withColumn("text", F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("Error: "), "text")).otherwise(F.col("text")))
-    return d.where((F.length(F.trim("text")) >= 10) & ~F.lower("text").rlike("error:|failed:|exception:")).select("doc_id")
+    return Q.useful(d).select("doc_id")
 
 
 def tag_counts(spark, sf):
@@ -201,7 +233,7 @@ def html_table_cells(spark, sf):
 
 QUERIES = {
     "html_text": html_text, "html_headings": html_headings, "html_bold_headings": html_bold_headings, "heading_dedupe": heading_dedupe, "page_estimate": page_estimate, "clean_headings": clean_headings, "section_ranges": section_ranges,
-    "section_tree": section_tree, "section_count": section_count, "sec_type": sec_type, "section_text": section_text, "para_chunks": para_chunks, "sentence_chunks": sentence_chunks, "chunk_stats": chunk_stats, "prefix_violations": prefix_violations,
+    "section_tree": section_tree, "section_count": section_count, "sec_type": sec_type, "section_text": section_text, "para_chunks": para_chunks, "sentence_chunks": sentence_chunks, "section_chunks": section_chunks, "fallback_chunks": fallback_chunks, "retrieval_features": retrieval_features, "chunk_stats": chunk_stats, "prefix_violations": prefix_violations,
     "doc_metadata": doc_metadata, "bm25_topk": bm25_topk, "term_overlap": term_overlap, "cosine_topk": cosine_topk, "rrf_fusion": rrf_fusion, "rerank_topk": rerank_topk, "retrieval_gate": retrieval_gate, "early_exit": early_exit,
     "quality_filter": quality_filter, "tag_counts": tag_counts, "ixbrl_facts": ixbrl_facts, "html_table_cells": html_table_cells,
 }
@@ -224,11 +256,30 @@ heads AS (SELECT * FROM alls QUALIFY row_number() OVER (PARTITION BY page_id, lo
 placed AS (SELECT h.*, greatest(1, floor((instr(body, substr(text, 1, 30)) - 1) / 5000.0)::INT + 1) AS page FROM heads h JOIN texts USING (page_id)),
 clean AS (SELECT *, CASE WHEN font_size >= 16 OR (font_size >= 13 AND is_bold) THEN 1 ELSE 2 END AS depth FROM placed WHERE length(text) BETWEEN 3 AND 200 AND NOT regexp_matches(text, '^[\\d\\s.\\-]+$'))"""
 _TREE = f"{_HEAD}, two AS (SELECT *, CASE WHEN font_size >= 16 OR (font_size >= 13 AND level <= 6) THEN 1 ELSE 2 END AS dep FROM clean), tree AS (SELECT page_id, ord, dep AS depth, CASE WHEN dep = 2 THEN last_value(CASE WHEN dep = 1 THEN ord END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS parent FROM two)"
+#: Each section up to the next, each subsection up to the next of its section or else the next section.
+_SECTIONS = f"""{_TREE}, named AS (SELECT t.page_id, t.ord, t.parent, c.text FROM tree t JOIN clean c USING (page_id, ord)),
+tops AS (SELECT page_id, ord, text, lead(text) OVER (PARTITION BY page_id ORDER BY ord) AS nxt FROM named WHERE parent IS NULL),
+subs AS (SELECT n.page_id, n.ord, n.text, coalesce(lead(n.text) OVER (PARTITION BY n.page_id, n.parent ORDER BY n.ord), p.nxt) AS nxt FROM named n JOIN tops p ON p.page_id = n.page_id AND p.ord = n.parent),
+found AS (SELECT h.*, body, instr(lower(body), lower(substr(text, 1, 30))) AS pos0 FROM (SELECT * FROM tops UNION ALL SELECT * FROM subs) h JOIN texts USING (page_id)),
+upto AS (SELECT *, CASE WHEN nxt IS NOT NULL THEN instr(substr(lower(body), pos0 + length(text)), lower(substr(nxt, 1, 30))) ELSE 0 END AS off FROM found WHERE pos0 > 0),
+whole AS (SELECT page_id, ord, text AS section, trim(substr(body, pos0, CASE WHEN off > 0 THEN length(text) + off - 1 ELSE 50000 END)) AS text FROM upto), bodies AS (SELECT * FROM whole WHERE length(text) >= 50)"""
 _KINDS = list(L.SECTIONS) + ["other"]
 _PARA = r"""paras AS (SELECT doc_id, (i - 1)::INT AS ord, regexp_replace(p[i], '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n') AS p FROM documents))),
 titled AS (SELECT *, length(text) < 50 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) BETWEEN 1 AND 5 AND length(text) <= 60 AS title FROM paras),
 chunked AS (SELECT doc_id, ord, coalesce(last_value(CASE WHEN title THEN substr(text, 1, 50) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'DOCUMENT') AS section, text FROM titled QUALIFY length(text) >= 50),
 labelled AS (SELECT c.*, source AS company, CASE WHEN ord % 5 = 4 THEN '' ELSE '10-K' END AS doc_type, lang AS fiscal_year, ord + 1 AS page FROM chunked c JOIN documents USING (doc_id))"""
+
+
+def _packed(source: str, keys: str, least: int = 50) -> str:
+    """CTE packs: keys, part, text of source (keys, text), its sentences folded into chunks."""
+    return rf"""sents AS MATERIALIZED (SELECT {keys}, t, CASE WHEN length(t) <= 1600 THEN NULL ELSE string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) END AS ss FROM (SELECT {keys}, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM {source})),
+fold AS (SELECT {keys}, ss, 0 AS i, '' AS cur, NULL::VARCHAR AS done FROM sents WHERE ss IS NOT NULL
+ UNION ALL SELECT {keys}, ss, i + 1, CASE WHEN length(cur) + length(ss[i + 1]) > 1600 AND cur <> '' THEN CASE WHEN length(cur) > 100 THEN right(cur, 100) ELSE cur END || ' ' || ss[i + 1] ELSE trim(cur || ' ' || ss[i + 1]) END,
+  CASE WHEN length(cur) + length(ss[i + 1]) > 1600 AND cur <> '' AND length(cur) >= {least} THEN cur END FROM fold WHERE i < len(ss)),
+packs AS (SELECT {keys}, (row_number() OVER (PARTITION BY {keys} ORDER BY i) - 1)::INT AS part, text FROM (SELECT {keys}, 0 AS i, t AS text FROM sents WHERE ss IS NULL AND length(t) >= {least}
+ UNION ALL SELECT {keys}, i, done FROM fold WHERE done IS NOT NULL UNION ALL SELECT {keys}, i + 1, cur FROM fold WHERE i = len(ss) AND length(cur) >= {least}))"""
+
+
 _STOPS = "(" + ", ".join(map(q, L.SEARCH_STOPS)) + ")"
 _TOK = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN " + _STOPS.replace("{", "{{") + ")"
 _TOP = "SELECT question_id, {k}, score, round(score / CASE WHEN first_value(score) OVER w > 0 THEN first_value(score) OVER w ELSE 1 END, 6) AS norm, (row_number() OVER w)::INT AS rank FROM {s} WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, {k}) QUALIFY row_number() OVER w <= 10"
@@ -246,7 +297,7 @@ def _fuse(a: str, b: str, name: str) -> str:
 {name} AS (SELECT question_id, doc_id, score, round(score / first_value(score) OVER w, 6) AS norm, (row_number() OVER w)::INT AS rank FROM {name}_s WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, seen, doc_id) QUALIFY row_number() OVER w <= 10)"""
 
 
-_GATE = f"""{_BM25}, {_OVER}, sp AS (SELECT * FROM bm WHERE question_id % 3 <> 0), de AS (SELECT * FROM ov WHERE question_id % 2 = 0), {_fuse('sp', 'de', 'fu')}, fin AS (SELECT * FROM fu WHERE rank <= 3),
+_GATE = f"""{_BM25}, {_OVER}, sp AS (SELECT * FROM bm), de AS (SELECT * FROM ov), {_fuse('sp', 'de', 'fu')}, fin AS (SELECT * FROM fu WHERE rank <= 3),
 gated AS (SELECT item_id AS question_id, (SELECT count(*) FROM sp WHERE question_id = item_id) AS n_sparse, (SELECT count(*) FROM de WHERE question_id = item_id) AS n_dense, (SELECT count(*) FROM fin WHERE question_id = item_id) AS n_final, round(coalesce((SELECT max(score) FROM fin WHERE question_id = item_id), 0.0), 6) AS best FROM benchmark),
 gate AS (SELECT *, NOT (n_sparse + n_dense + n_final = 0 OR (n_sparse = 0 AND n_final > 0 AND best < 0.3)) AS signal FROM gated)"""
 _META_HEAD = "upper(source[1]) || substr(source, 2) || ' Holdings Inc. ' || ['Form 10-K fiscal year ended June 30, 2021 ', 'FORM 8 K FY 2019 ', 'Annual Report 2020 10-Q ', 'letter '][doc_id % 4 + 1] || text"
@@ -255,7 +306,7 @@ _FLAT = "replace(replace(upper(replace(substr(t, 1, 3000), 'ß', 'SS')), '-', ''
 ORACLES = {
     "html_text": f"SELECT page_id, length(t)::INT AS chars, md5(t) AS md5 FROM (SELECT page_id, {_TEXT} AS t FROM pages)",
     "html_headings": f"WITH {_LEVELS} SELECT * FROM levels",
-    "html_bold_headings": f"WITH {_BOLDS} SELECT * FROM bolds",
+    "html_bold_headings": "WITH bolder AS (SELECT page_id, '<p><b>Site ' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || '</b> and <strong class=''x''>Page ' || page_id || '</strong><b>1,234.5</b></p>' || html AS html FROM pages), " + _BOLDS.replace("FROM pages", "FROM bolder") + " SELECT * FROM bolds",
     "heading_dedupe": f"WITH {_HEAD} SELECT page_id, ord, text, font_size FROM heads",
     "page_estimate": f"WITH {_HEAD} SELECT page_id, ord, page FROM placed",
     "clean_headings": f"WITH {_HEAD} SELECT page_id, ord, text, depth FROM clean",
@@ -267,6 +318,10 @@ ORACLES = {
         e AS (SELECT *, CASE WHEN nxt IS NOT NULL THEN instr(substr(lower(body), pos0 + length(text)), lower(substr(nxt, 1, 30))) ELSE 0 END AS off FROM a WHERE pos0 > 0),
         x AS (SELECT page_id, ord, trim(substr(body, pos0, CASE WHEN off > 0 THEN length(text) + off - 1 ELSE 50000 END)) AS t FROM e) SELECT page_id, ord, length(t)::INT AS chars, md5(t) AS md5 FROM x""",
     "para_chunks": f"WITH {_PARA} SELECT doc_id, ord, section, length(text)::INT AS chars, md5(text) AS md5 FROM chunked",
+    "sentence_chunks": f"""WITH RECURSIVE {_PARA}, src AS (SELECT doc_id, ord, section, text FROM chunked), {_packed('src', 'doc_id, ord, section')},
+        w AS (SELECT doc_id, 0 AS ord, 'DOCUMENT' AS section, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunked)), {_packed('w', 'doc_id, ord, section', 1).replace('sents', 'wsents').replace('fold', 'wfold').replace('packs', 'wpacks')},
+        c AS (SELECT * FROM packs UNION ALL SELECT * FROM wpacks) SELECT doc_id, 'chunk_' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY ord, part) - 1)::VARCHAR, 4, '0') AS chunk_id, section, length(text)::INT AS chars FROM c""",
+    "section_chunks": f"WITH RECURSIVE {_SECTIONS}, {_packed('bodies', 'page_id, ord, section')} SELECT page_id, ord, section, part, length(text)::INT AS chars, md5(text) AS md5 FROM packs",
     "chunk_stats": f"WITH {_PARA} SELECT doc_id, ord, length(text)::INT AS char_count, (length(text) // 4)::INT AS token_estimate, md5(concat_ws(' / ', company, doc_type, fiscal_year, section, page) || chr(10) || text) AS prefixed_md5 FROM labelled",
     "prefix_violations": f"WITH {_PARA} SELECT doc_id, ord, unnest(list_filter([CASE WHEN trim(company) = '' THEN 'company' END, CASE WHEN trim(doc_type) = '' THEN 'doc_type' END, CASE WHEN trim(fiscal_year) = '' THEN 'fiscal_year' END, CASE WHEN trim(section) = '' THEN 'section' END], lambda x: x IS NOT NULL)) AS lacks FROM labelled",
     "doc_metadata": f"SELECT doc_id, trim(regexp_extract(substr(t, 1, 2000), {q(L.COMPANY)}, 1)) AS company, CASE " + " ".join(f"WHEN contains({_FLAT}, {q(d.replace('-', ''))}) THEN {q(d)}" for d in L.DOC_TYPES) + " ELSE 'UNKNOWN' END AS doc_type, coalesce('FY' || coalesce(" + ", ".join(f"nullif(regexp_extract(substr(t, 1, 5000), {q(p)}, 1), '')" for p in L.FILING_YEARS) + f"), '') AS fiscal_year FROM (SELECT doc_id, {_META_HEAD} AS t FROM documents)",
@@ -277,6 +332,9 @@ ORACLES = {
     "rerank_topk": f"WITH {_BM25}, {_OVER}, {_fuse('bm', 'ov', 'fu')} SELECT question_id, doc_id, score, score AS reranker_score, rank FROM fu WHERE rank <= 3",
     "retrieval_gate": f"WITH {_GATE} SELECT * FROM gate",
     "early_exit": f"WITH {_GATE} SELECT g.question_id, CASE WHEN NOT signal THEN 'INSUFFICIENT_DATA' ELSE 'LLM_UNAVAILABLE: ' || substr(coalesce(text, ''), 1, 300) END AS answer, CASE WHEN signal THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM gate g LEFT JOIN (SELECT question_id, text FROM fin JOIN documents USING (doc_id) WHERE rank = 1) USING (question_id)",
+    "retrieval_features": f"""WITH {_BM25}, {_OVER}, h AS (SELECT b.question_id, b.doc_id, b.norm, o.norm AS dense FROM bm b LEFT JOIN ov o USING (question_id, doc_id))
+        SELECT question_id, doc_id, round(norm, 6) AS f_bm25, round(coalesce(dense, 0.5::DOUBLE), 6) AS f_cosine, [1.0::DOUBLE, 0.8::DOUBLE, 0.5::DOUBLE][doc_id % 3 + 1] AS f_section, CASE WHEN doc_id % 4 > 0 THEN round(least(doc_id / 300.0::DOUBLE, 1.0::DOUBLE), 6) ELSE 0.5::DOUBLE END AS f_page,
+        round(least(length(text) / 1000.0::DOUBLE, 1.0::DOUBLE), 6) AS f_length, CASE WHEN regexp_matches(text, '[$%|\t]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_table, CASE WHEN doc_id % 30 = 21 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_year, CASE WHEN contains(source, 'src1') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_company FROM h JOIN documents USING (doc_id)""",
     "quality_filter": "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Error: ' || text ELSE text END AS t FROM documents) WHERE length(trim(t)) >= 10 AND NOT regexp_matches(lower(t), 'error:|failed:|exception:')",
     "tag_counts": "SELECT lower(t) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) GROUP BY 1",
     "ixbrl_facts": "SELECT page_id, 0 AS pos, 'us-gaap:Revenues' AS name, 'c-' || (page_id % 3 + 1) AS context, format('{:,}', length(html)) AS value, ['USD', 'thousand', 'million', 'x10^6', '%'][page_id % 5 + 1] AS unit, round(length(html) * pow(10.0, [0, -3, -6, 6, -2][page_id % 5 + 1]), 9) AS scaled FROM pages",

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import cells as C
+from ..operators import quality as Q
 from ..operators import statistics as S
+from ..operators.written import written
 
 #: Row header, column header, page and value in cents of a filing's cells, in order; both dialects read the expressions.
 LINES = [
@@ -51,12 +53,12 @@ FACTS = """facts AS (SELECT c_mktsegment AS company, year(o_orderdate)::INT AS y
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 
-def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """The filings' cells, in thousands."""
+def cells(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """The filings' cells, in thousands; of: facts() where they are at hand."""
     amount = lambda e: F.floor(F.expr(e) / 100000).cast("long")
     text = lambda v: F.when(v < 0, F.concat(F.lit("("), F.format_number(-v, 0), F.lit(")"))).otherwise(F.format_number(v, 0))
     rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(r).alias("row_header"), F.lit(c).alias("col_header"), text(amount(e)).alias("value"), F.lit(p).alias("page")) for i, (r, c, p, e) in enumerate(LINES, 1)))
-    d = facts(spark, sf).select(F.concat_ws("-", "company", F.col("year").cast("string")).alias("doc_id"), "company", F.concat(F.lit("FY"), F.col("year").cast("string")).alias("fiscal_year"), F.inline(rows))
+    d = (of or facts(spark, sf)).select(F.concat_ws("-", "company", F.col("year").cast("string")).alias("doc_id"), "company", F.concat(F.lit("FY"), F.col("year").cast("string")).alias("fiscal_year"), F.inline(rows))
     return d.select("doc_id", "ord", "row_header", "col_header", "value", F.lit("x10^3").alias("unit"), "page", F.lit("STATEMENTS").alias("section"), "company", F.lit("10-K").alias("doc_type"), "fiscal_year")
 
 
@@ -67,8 +69,8 @@ cells AS (SELECT company || '-' || year AS doc_id, ord, row_header, col_header,
  'x10^3' AS unit, page, 'STATEMENTS' AS section, company, '10-K' AS doc_type, 'FY' || year AS fiscal_year FROM amounts)"""
 
 
-def questions(spark: SparkSession, sf: str) -> DataFrame:
-    d = facts(spark, sf).select("company", "year", F.posexplode(F.array(*map(F.lit, PHRASES))).alias("k", "phrase"))
+def questions(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    d = (of or facts(spark, sf)).select("company", "year", F.posexplode(F.array(*map(F.lit, PHRASES))).alias("k", "phrase"))
     text = F.concat(F.lit("What was "), "phrase", F.lit(" for "), "company", F.when(F.col("k") % 2 == 0, F.concat(F.lit(" in FY"), F.col("year").cast("string"))).otherwise(F.concat(F.lit(" in "), F.col("year").cast("string"), F.lit(", in millions"))), F.lit("?"))
     doc = F.concat_ws("-", "company", F.col("year").cast("string"))
     return d.select(F.concat(doc, F.lit("#"), F.col("k").cast("string")).alias("question_id"), doc.alias("doc_id"), text.alias("question"))
@@ -160,7 +162,8 @@ ANSWER = f"{SHOWN} || CASE WHEN {UNIT_CASE} NOT IN ('', 'units') THEN ' ' || {UN
 
 def sniper_lookup(spark, sf):
     """Flagship: every metric question of every filing answered from its cells, with a citation."""
-    return C.lookup(questions(spark, sf), cells(spark, sf))
+    of = written(facts(spark, sf))
+    return C.lookup(questions(spark, sf, of), cells(spark, sf, of))
 
 
 def cells_unpivot(spark, sf):
@@ -352,16 +355,13 @@ def outlier_ref(spark, sf):
     """Line prices more than a fifth off their part's retail price times quantity."""
     m = _t(spark, sf, "lineitem").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     ref = F.col("p_retailprice") * F.col("l_quantity")
-    far = F.when(ref == 0, False).otherwise(F.abs(F.col("l_extendedprice") - ref) / F.abs(ref) > 0.20)
-    return m.select("l_orderkey", "l_linenumber", "l_partkey", far.alias("outlier"))
+    return m.select("l_orderkey", "l_linenumber", "l_partkey", Q.far_off(F.col("l_extendedprice"), ref).alias("outlier"))
 
 
 def source_conflict(spark, sf):
     """Suppliers' average prices for one part, pairwise, where they differ by more than 5 %."""
-    a = _t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("source")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.sum(F.col("l_quantity").cast("long"))).alias("v"))
-    b = a.select("part", F.col("source").alias("other"), F.col("v").alias("w"))
-    met = a.join(b, "part").where("source < other")
-    return met.select("part", "source", "other", F.when((F.col("v") == 0) | (F.col("w") == 0), False).otherwise(F.abs(F.col("v") - F.col("w")) / F.greatest(F.abs("v"), F.abs("w")) > 0.05).alias("conflict"))
+    price = (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.sum(F.col("l_quantity").cast("long"))).alias("value")
+    return Q.conflicts(_t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("source")).agg(price), "part")
 
 
 def quant_pod(spark, sf):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import lexicon as L
 
+TRIES = 3
 FORMS = ["10-K", "10-Q", "8-K", "20-F", "6-K", "S-1", "DEF 14A"]
 FILING = "cik string, form_type string, filed_date string, accession_number string, document_url string"
 
@@ -54,7 +57,9 @@ def prices(spark: SparkSession, folder: str) -> DataFrame:
 class FetchSource(DataSource):
     """Rows (key, value) that a fetcher returns: option "keys" (comma separated), one partition for every key.
 
-    Subclasses give fetch(key) and a name; a key that fails gives no row.
+    Subclasses give fetch(key) and a name. A key is tried up to three times, with pauses
+    of option "pause" seconds (1 by default), then twice that. Every key gives a row: its
+    value, or null and in status what went wrong.
     """
 
     @classmethod
@@ -62,7 +67,7 @@ class FetchSource(DataSource):
         return "fetch"
 
     def schema(self) -> str:
-        return "key string, value string"
+        return "key string, value string, status string, tries int"
 
     def fetch(self, key: str) -> str | None:
         raise NotImplementedError
@@ -79,9 +84,14 @@ class _FetchReader(DataSourceReader):
         return [InputPartition(k) for k in self.source.options.get("keys", "").split(",") if k]
 
     def read(self, partition: InputPartition):
-        try:
-            value = self.source.fetch(partition.value)
-        except Exception:  # a source that is down counts as empty
-            value = None
-        if value is not None:
-            yield partition.value, value
+        pause, status = float(self.source.options.get("pause", "1")), ""
+        for k in range(TRIES):
+            try:
+                value = self.source.fetch(partition.value)
+                yield partition.value, value, "empty" if value is None else "ok", k + 1
+                return
+            except Exception as e:  # a source that is down must not end the other keys' fetches
+                status = f"failed: {type(e).__name__}"
+                if k + 1 < TRIES:
+                    time.sleep(pause * 2**k)
+        yield partition.value, None, status, TRIES

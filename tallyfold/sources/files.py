@@ -8,6 +8,7 @@ PDF text needs a parser, which the caller passes in.
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -80,11 +81,24 @@ def grid_cells(path: str, grid: list[list[str]], section: str, number: int) -> l
 
 
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of CSV files: the header against the first column."""
-    d = spark.read.option("header", True).csv(path).withColumn("path", F.col("_metadata.file_path"))
-    first, *rest = [c for c in d.columns if c != "path"]
-    long = d.select("path", F.col(f"`{first}`").alias("row_header"), *(F.col(f"`{c}`").cast("string").alias(c) for c in rest)).unpivot(["path", "row_header"], rest, "col_header", "value")
-    return long.where("trim(coalesce(value, '')) <> '' and trim(coalesce(row_header, '')) <> ''")
+    """path, row_header, col_header, value of CSV files: each file's own header against its first column.
+
+    Lines are taken as records, so that files of any size are split among tasks.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value").where("trim(value) <> ''")
+    first = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "n")).alias("head"), F.min(F.struct("block", "n")).alias("at"))
+    rows = lines.join(first, "path").where(F.struct("block", "n") > F.col("at")).select("path", "head", "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for (path, head), part in pdf.groupby(["path", "head"], sort=False):
+                names = next(csv.reader([head]))
+                for row in csv.reader(part["value"]):
+                    out += [(path, row[0], n, v) for n, v in zip(names[1:], row[1:], strict=False) if row[0].strip() and v.strip()]
+            yield pd.DataFrame(out, columns=["path", "row_header", "col_header", "value"])
+
+    return rows.mapInPandas(run, "path string, row_header string, col_header string, value string")
 
 
 def _tag(e: ElementTree.Element) -> str:

@@ -101,9 +101,9 @@ def page_number(text: Column, snippet: Column) -> Column:
 
 def facts(pages: DataFrame) -> DataFrame:
     """page_id, pos, name, context, value, unit, scaled of inline numeric facts (ix:nonFraction)."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<ix:nonfraction\s[^>]*>[^<]*</ix:nonfraction>"), F.lit(0))
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<ix:nonfraction\s[^>]*>.*?</ix:nonfraction>"), F.lit(0))
     d = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
-    attr = lambda a: F.regexp_extract("raw", rf"(?is)\s{a}\s*=\s*\"([^\"]*)\"", 1)
+    attr = lambda a: F.regexp_extract("raw", rf"(?is)^[^>]*?\s{a}\s*=\s*([\"'])(.*?)\1", 2)
     scale = attr("scale")
     unit = F.when(scale.isin("", "0"), attr("unitRef"))
     for k, name in SCALES.items():
@@ -118,7 +118,7 @@ def text_facts(pages: DataFrame) -> DataFrame:
     """page_id, pos, name, value (200 characters) of inline text facts (ix:nonNumeric)."""
     found = F.regexp_extract_all("html", F.lit(r"(?is)<ix:nonnumeric\s[^>]*>.*?</ix:nonnumeric>"), F.lit(0))
     d = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
-    return d.select("page_id", "pos", F.regexp_extract("raw", r"(?is)\sname\s*=\s*\"([^\"]*)\"", 1).alias("name"), F.substring(plain(F.col("raw")), 1, 200).alias("value"))
+    return d.select("page_id", "pos", F.regexp_extract("raw", r"(?is)^[^>]*?\sname\s*=\s*([\"'])(.*?)\1", 2).alias("name"), F.substring(plain(F.col("raw")), 1, 200).alias("value"))
 
 
 def fact_metadata(texts: DataFrame) -> DataFrame:
@@ -141,6 +141,6 @@ def table_cells(pages: DataFrame) -> DataFrame:
     w = Window.partitionBy("page_id", "table_number")
     head = F.coalesce(F.min(F.when(F.col("th"), F.col("row"))).over(w), F.lit(0))
     r = r.withColumn("head", head).withColumn("names", F.max(F.when(F.col("row") == F.col("head"), F.col("cells"))).over(w)).where("row > head and size(cells) > 1")
-    c = r.select("page_id", "table_number", "row", "names", F.col("cells")[0].alias("row_header"), F.posexplode(F.slice("cells", 2, 10_000)).alias("i", "value"))
+    c = r.select("page_id", "table_number", "row", "names", F.col("cells")[0].alias("row_header"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells"))).alias("i", "value"))
     named = c.withColumn("col_header", F.coalesce(F.get("names", F.col("i") + 1), F.lit("")))
     return named.where(~F.col("value").isin("", "—", "-", "$", "(", ")") & (F.col("row_header") != "")).select("page_id", "table_number", "row", "i", "row_header", "col_header", "value")

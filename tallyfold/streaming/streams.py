@@ -16,10 +16,29 @@ WATCHED = ["pdf", "docx", "xlsx", "csv", "pptx", "html", "txt", "json"]
 
 
 def watch(spark: SparkSession, folder: str) -> DataFrame:
-    """path, filename, format, size_bytes, detected_at of new files; the checkpoint remembers those seen, empty ones wait."""
+    """path, filename, format, size_bytes, detected_at of new files; the checkpoint remembers those seen.
+
+    Empty files are left out for good, so files should be moved into the folder when they
+    are whole; stable_files() waits for those that are written in place.
+    """
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    return _named(raw.where("length > 0"))
+
+
+def _named(files: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return raw.where((F.col("length") > 0) & ext.isin(WATCHED)).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), file_format(F.col("path")).alias("format"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("detected_at"))
+    return files.where(ext.isin(WATCHED)).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), file_format(F.col("path")).alias("format"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("detected_at"))
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length, modificationTime of a folder's files, without reading them."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
+
+
+def stable_files(before: DataFrame, now: DataFrame) -> DataFrame:
+    """The watched files that two listings of a folder show with the same size, above 0, and time: nobody is writing them."""
+    same = now.join(before.select("path", F.col("length").alias("__l"), F.col("modificationTime").alias("__t")), "path").where("length > 0 and length = __l and modificationTime = __t")
+    return _named(same)
 
 
 def each_new_file(spark: SparkSession, folder: str, checkpoint: str, callback: Callable[[DataFrame, int], None], once: bool = True) -> StreamingQuery:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import text as T
 from tallyfold.operators import answers as A
+from tallyfold.operators import cache as K
 from tallyfold.operators import cells as C
 from tallyfold.operators import debate as D
 from tallyfold.operators import reports as P
 from tallyfold.operators import retrieval as R
+from tallyfold.operators import routing as G
 from tallyfold.operators import sections as S
 from tallyfold.operators import statistics as Q
 from tallyfold.operators import transcripts as X
@@ -183,7 +185,7 @@ def fake(prompt, temperature):
     if "Write a plan" in prompt:
         return "PLAN: read"
     if "Check the ANSWER" in prompt:
-        return "VERDICT: FAIL\nREASON: unit" if "bad" in prompt else "VERDICT: PASS"
+        return "V1_SCOPE Result: PASS\nV2_UNITS Result: FAIL\nREJECT_REASONS: unit" if "bad" in prompt else "V1_SCOPE Result: PASS"
     if "boom" in prompt:
         raise ValueError("down")
     return "ANSWER: bad 5\nCONFIDENCE: 0.9" if "hard" in prompt else "ANSWER: 5 million\nCONFIDENCE: 0.9"
@@ -234,3 +236,98 @@ def test_feeds(spark, tmp_path):
     assert feeds.filings(spark, str(tmp_path), "aapl", "10-K").first().fiscal_year == "FY2023"
     with pytest.raises(ValueError, match="unknown form"):
         feeds.filings(spark, str(tmp_path), "aapl", "X")
+
+
+def test_csv_files_have_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Metric,FY1,"FY 2"\nSales,5,"1,000"\n')
+    (tmp_path / "b.csv").write_text("Item,FY9\n\nCost,7\n,3\nTax, \n")
+    got = {(r.path[-5:], r.row_header, r.col_header, r.value) for r in files.csv_cells(spark, str(tmp_path)).collect()}
+    assert got == {("a.csv", "Sales", "FY1", "5"), ("a.csv", "Sales", "FY 2", "1,000"), ("b.csv", "Cost", "FY9", "7")}
+
+
+def test_only_files_at_rest_are_stable(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("whole")
+    (tmp_path / "b.txt").write_text("x")
+    (tmp_path / "c.txt").write_text("")
+    before = spark.createDataFrame(W.listed(spark, str(tmp_path)).collect(), "path string, length long, modificationTime timestamp")
+    (tmp_path / "b.txt").write_text("x and more")
+    (tmp_path / "d.txt").write_text("new")
+    assert [r.filename for r in W.stable_files(before, W.listed(spark, str(tmp_path))).collect()] == ["a.txt"]
+
+
+class Flaky(feeds.FetchSource):
+    @classmethod
+    def name(cls):
+        return "flaky"
+
+    def fetch(self, key):
+        if key == "down":
+            raise OSError
+        return None if key == "none" else key.upper()
+
+
+def test_every_key_of_a_fetch_has_a_status(spark):
+    spark.dataSource.register(Flaky)
+    got = {r.key: (r.value, r.status, r.tries) for r in spark.read.format("flaky").option("keys", "a,down,none").option("pause", "0").load().collect()}
+    assert got == {"a": ("A", "ok", 1), "down": (None, "failed: OSError", 3), "none": (None, "empty", 1)}
+
+
+def test_cache_takes_live_rows(spark):
+    cache = spark.createDataFrame([("a", "k", "old", 1), ("b", "k", "own", 1)], "key string, kind string, value string, t int").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    got = K.fetched(spark.createDataFrame([("a", "k"), ("c", "k"), ("d", "k")], "key string, kind string"), cache.where("key = 'b'"), spark.createDataFrame([("a", "new"), ("c", "see")], "key string, value string"), "key")
+    assert {(r.key, r.value) for r in K.written_back(cache, got, "key", F.timestamp_seconds(F.lit(9))).collect()} == {("a", "new"), ("b", "own"), ("c", "see")}
+    assert K.summary_text(got, "key") == "k: 2 of 3 (0 cached, 2 live); without: d"
+
+
+def test_stored_index_answers_like_the_texts(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "revenue grew strongly this year"), (2, "costs grew"), (3, "weather report of the year"), (4, "")], "id int, text string")
+    q = spark.createDataFrame([(1, "how did revenue grow this year"), (2, "nothing matches zebra")], "question_id int, question string")
+    path = str(tmp_path / "index")
+    assert R.index_size(spark, path) is None
+    R.store_index(chunks, "id", path, parts=4)
+    got = sorted(map(tuple, R.search_index(q, path).collect()))
+    assert R.index_size(spark, path) == 4 and got and got == sorted(map(tuple, R.bm25(q, chunks, "id").collect()))
+
+
+def test_gate_without_hits_is_a_miss(spark):
+    q = spark.createDataFrame([(1,), (2,), (3,)], "question_id int")
+    hits = "question_id int, id int, score double, rank int"
+    sparse, dense = spark.createDataFrame([(1, 5, 2.0, 1)], hits), spark.createDataFrame([(2, 5, 0.1, 1)], hits)
+    final = spark.createDataFrame([(1, 0.9), (2, 0.1)], "question_id int, reranker_score double")
+    g = R.gate(q, sparse, dense, final)
+    assert {r.question_id: r.signal for r in g.collect()} == {1: True, 2: False, 3: False}
+    out = {r.question_id: r.answer for r in R.early_exit(g, spark.createDataFrame([(1, "text")], "question_id int, text string"), llm=False).collect()}
+    assert out == {1: "LLM_UNAVAILABLE: text", 2: "INSUFFICIENT_DATA", 3: "INSUFFICIENT_DATA"}
+
+
+def test_chunks_by_section_then_paragraph_then_whole(spark):
+    body = "This section tells of many things at length, so that it is a chunk. " * 2
+    docs = spark.createDataFrame([(1, f"Risks\n{body}\nCredit risk\n{body}\nResults\n{body}"), (2, f"{body}\n\n{body}"), (3, "short")], "id int, text string")
+    heads = spark.createDataFrame([(1, 0, "Risks", None), (1, 1, "Credit risk", 0), (1, 2, "Results", None)], "id int, ord int, text string, parent int")
+    got = [(r.id, r.chunk_id, r.section) for r in S.chunk_documents(docs, "id", heads).orderBy("id", "chunk_id").collect()]
+    assert got == [(1, "chunk_0000", "Risks"), (1, "chunk_0001", "Credit risk"), (1, "chunk_0002", "Results"), (2, "chunk_0000", "DOCUMENT"), (2, "chunk_0001", "DOCUMENT"), (3, "chunk_0000", "DOCUMENT")]
+    credit = {r.section: r.text for r in S.section_chunks(heads, docs, "id").collect()}["Credit risk"]
+    assert credit.startswith("Credit risk") and "Results" not in credit and S.chunk_documents(docs, "id", heads, cap=1).count() == 3
+
+
+def test_facts_with_nested_tags_and_single_quotes(spark):
+    page = "<ix:nonFraction name='us-gaap:Assets' contextRef=\"c-1\" unitRef='USD' scale='3'><span>1,</span>200</ix:nonFraction>"
+    r = html.facts(spark.createDataFrame([(1, page)], "page_id int, html string")).first()
+    assert (r.name, r.context, r.scaled) == ("us-gaap:Assets", "c-1", 1200000.0)
+
+
+def test_checks_of_a_validator():
+    assert D.checked("V1_SCOPE Result: PASS") == (True, "") == D.checked("")
+    passed, why = D.checked("V3_SIGN: wrong. Result: FAIL\nREJECT_REASONS: sign\nRETRY_INSTRUCTIONS: again")
+    assert not passed and why.startswith("V3_SIGN sign again") or "V3_SIGN" in why
+
+
+def test_router_on_questions_it_was_not_trained_on(spark):
+    kinds = {"numeric": ["what was total revenue in {}", "how much net income in {}", "what were the assets in {}"], "text": ["who wrote the report of {}", "why did the board change in {}", "describe the risks of {}"]}
+    rows = [(f"{k}{y}{i}", q.format(y), k) for k, qs in kinds.items() for y in range(2000, 2012) for i, q in enumerate(qs)]
+    d = spark.createDataFrame(rows, "question_id string, question string, label string")
+    model = G.train_router(d.where("question not like '%2010' and question not like '%2011'"))
+    new = d.where("question like '%2010' or question like '%2011'")
+    got = G.classify(model, new.select("question_id", "question"), "numeric").join(new, "question_id")
+    assert got.where("predicted = label").count() >= 0.8 * got.count()
+    assert G.classify(model, spark.createDataFrame([("x", "")], "question_id string, question string"), "numeric").first().predicted == "numeric"
