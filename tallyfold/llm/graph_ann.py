@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .cover_tree_topk import _padded
 from .scratch import materialize
-from .vector_blocks import best, dump, packed, search, usable
+from .vector_blocks import QUERY_BLOCK, best, dump, packed, search, usable
 
 SHARD, DEGREE, BEAM, ALPHA, WIDTH = 4096, 32, 72, 1.2, 4
 
@@ -186,4 +186,5 @@ def approximate_neighbours(vectors: DataFrame, queries: str, k: int = 20, shard:
                 q.append(np.full(len(top), ask["ids"][lo + j])), i.append(ids[row[top]]), s.append(score[top])
         return np.concatenate(q), np.concatenate(i), np.concatenate(s)
 
-    return search(index, v.where(queries), k, find, "double")
+    asked = materialize(packed(v.where(queries), QUERY_BLOCK, lambda ids, x: dump(ids=ids, x=x)))
+    return search(index, asked, k, find, "double")
