@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: list[str] = []
-
+from ..operators.written import shared_folder
 
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="spark-"))
-    return _own[0]
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -42,7 +32,7 @@ def materialize(df: DataFrame) -> DataFrame:
     later reads cheap. The table has a fresh name, so retries never meet.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/tallyfold-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tallyfold-{uuid.uuid4().hex}"
     with shuffle_files_dropped(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
