@@ -14,7 +14,7 @@ weight times the word's. In logarithms that is, for every token, the word's and
 context's parts, and for kept pairs one correction. The tables (words with count and
 weight, kept pairs with correction) are written partitioned by hash; texts send each
 partition the words and pairs that belong to it as packed arrays and get sums back per
-text. Words and pairs with more than 1/HOT of all tokens, which are at most HOT, are
+text, some slices of the partitions after others, each with its own pass over the texts. Words and pairs with more than 1/HOT of all tokens, which are at most HOT, are
 broadcast and answered in place, so that no partition gets a frequent one.
 
 Null texts count as empty: one end. Repeated rows are texts of their own. Without
@@ -25,6 +25,8 @@ null are in no fold: they are scored, not learned from. An empty table gives no
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,10 +38,13 @@ from pyspark.sql import functions as F
 from .scratch import drop, materialize
 from .words import U64, mix, text_blocks, words
 
-MIN_COUNT, DISCOUNTED, HOT = 2, 5, 65536
+MIN_COUNT, DISCOUNTED, HOT = 1, 5, 65536
 #: Tokens that one partition of the tables sees.
-TOKENS = 3_000_000
-BLOCK = 1 << 22
+TOKENS = 2_000_000
+#: Counting, joining and scoring take the tables in so many slices, each with a pass over what it reads, as whole shuffles would fill the disk.
+COUNT_SLICES, JOIN_SLICES, SCORE_SLICES = 2, 4, 4
+#: Bytes that are cut into words at a time, and tokens whose counts or requests are sent together.
+BLOCK, TOGETHER = 1 << 20, 1_000_000
 END, BOS = (mix(np.array([k], np.uint64))[0] for k in (0xE0D, 0xB05))
 
 
@@ -54,8 +59,50 @@ def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tok, ctx, at
 
 
+def _together(batches, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Tokens, contexts, numbers of tokens and doc_ids (where there is such a column) of runs of texts of about TOGETHER tokens."""
+    parts, size = [], 0
+    for batch in batches:
+        for lo, hi, buf, offs in text_blocks(batch.column(column), BLOCK):
+            tok, ctx, at = _tokens(buf, offs)
+            parts.append((tok, ctx, np.diff(at), batch.column(0).slice(lo, hi - lo).cast(pa.int64()) if column else None))
+            size += len(tok)
+            if size >= TOGETHER:
+                yield _joined(parts)
+                parts, size = [], 0
+    if parts:
+        yield _joined(parts)
+
+
+def _joined(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    tok, ctx, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    return tok, ctx, n, pa.concat_arrays([p[3] for p in parts]) if parts[0][3] is not None else None
+
+
+_P1, _P2, _P3, _P4, _P5 = (U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << U64(r)) | (x >> U64(64 - r))
+
+
+def _hashed(v: np.ndarray, seed) -> np.ndarray:
+    h = (seed + _P5 + U64(8)) ^ (_turned(v * _P2, 31) * _P1)
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> U64(33))) * _P2
+    h = (h ^ (h >> U64(29))) * _P3
+    return h ^ (h >> U64(32))
+
+
 def _pair(ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    return mix(ctx * U64(0x9E3779B97F4A7C15) + tok)
+    """What xxhash64(ctx, tok) gives in Spark."""
+    return _hashed(tok, _hashed(ctx, U64(42)))
+
+
+def _slices(buckets: int, n: int) -> list[tuple[int, int]]:
+    """Up to n ranges of buckets, the first from 0."""
+    ends = [buckets * k // n for k in range(n + 1)]
+    return [(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True) if a < b]
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -67,27 +114,25 @@ def _parts(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _counted(buckets: int):
-    """Words and pairs of each block with their counts, by bucket."""
+def _counted(buckets: int, first: int, end: int):
+    """Words and pairs of each block with their counts, by bucket, of the buckets from first to below end."""
 
     def run(batches):
-        for batch in batches:
-            for _, _, buf, offs in text_blocks(batch.column(0), BLOCK):
-                tok, ctx, _ = _tokens(buf, offs)
-                rows: dict[int, list] = {b: [b, b"", b"", b"", b"", b""] for b in range(buckets)}
-                w, n = np.unique(tok, return_counts=True)
-                order, cut = _parts(_bucket(w, buckets), buckets)
-                for b in range(buckets):
-                    o = order[cut[b] : cut[b + 1]]
-                    rows[b][1:3] = w[o].tobytes(), n[o].astype(np.uint32).tobytes()
-                p, first, n = np.unique(_pair(ctx, tok), return_index=True, return_counts=True)
-                order, cut = _parts(_bucket(p, buckets), buckets)
-                for b in range(buckets):
-                    o = order[cut[b] : cut[b + 1]]
-                    rows[b][3:6] = ctx[first[o]].tobytes(), tok[first[o]].tobytes(), n[o].astype(np.uint32).tobytes()
-                cols = list(zip(*(r for r in rows.values() if r[1] or r[3]), strict=True))
-                if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "w", "wn", "ctx", "tok", "pn"])
+        for tok, ctx, _, _ in _together(batches, 0):
+            rows: dict[int, list] = {b: [b, b"", b"", b"", b"", b""] for b in range(first, end)}
+            w, n = np.unique(tok, return_counts=True)
+            order, cut = _parts(_bucket(w, buckets), buckets)
+            for b in range(first, end):
+                o = order[cut[b] : cut[b + 1]]
+                rows[b][1:3] = w[o].tobytes(), n[o].astype(np.uint32).tobytes()
+            p, place, n = np.unique(_pair(ctx, tok), return_index=True, return_counts=True)
+            order, cut = _parts(_bucket(p, buckets), buckets)
+            for b in range(first, end):
+                o = order[cut[b] : cut[b + 1]]
+                rows[b][3:6] = ctx[place[o]].tobytes(), tok[place[o]].tobytes(), n[o].astype(np.uint32).tobytes()
+            cols = list(zip(*(r for r in rows.values() if r[1] or r[3]), strict=True))
+            if cols:
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "w", "wn", "ctx", "tok", "pn"])
 
     return run
 
@@ -109,9 +154,9 @@ def _summed(min_count: int):
         kept = m >= min_count
         some = np.bincount(np.minimum(m, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
         frames = [
-            pd.DataFrame({"kind": 0, "a": w.view(np.int64), "b": np.int64(0), "h": w.view(np.int64), "n": n}),
-            pd.DataFrame({"kind": 1, "a": ctx[at[kept]].view(np.int64), "b": tok[at[kept]].view(np.int64), "h": p[kept].view(np.int64), "n": m[kept]}),
-            pd.DataFrame({"kind": 2, "a": np.arange(1, DISCOUNTED + 2), "b": np.int64(0), "h": np.int64(0), "n": some}),
+            pd.DataFrame({"a": w.view(np.int64), "b": np.int64(0), "n": n, "kind": 0}),
+            pd.DataFrame({"a": ctx[at[kept]].view(np.int64), "b": tok[at[kept]].view(np.int64), "n": m[kept], "kind": 1}),
+            pd.DataFrame({"a": np.arange(1, DISCOUNTED + 2), "b": np.int64(0), "n": some, "kind": 2}),
         ]
         return pd.concat(frames, ignore_index=True)
 
@@ -142,31 +187,42 @@ class KatzModel:
 def train(docs: DataFrame, buckets: int, min_count: int = MIN_COUNT) -> KatzModel:
     """Count all of docs (text) and derive the model's tables."""
     spark = docs.sparkSession
-    packed = docs.select(F.col("text").cast("string")).mapInArrow(_counted(buckets), "bucket int, w binary, wn binary, ctx binary, tok binary, pn binary")
-    counts = materialize(packed.groupBy("bucket").applyInPandas(_summed(min_count), "kind int, a long, b long, h long, n long"))
-    uni = counts.where("kind = 0").select("h", F.col("n").alias("c"))
+    text, shape = docs.select(F.col("text").cast("string")), "bucket int, w binary, wn binary, ctx binary, tok binary, pn binary"
+    counts = []
+    for first, end in _slices(buckets, COUNT_SLICES):
+        got = text.mapInArrow(_counted(buckets, first, end), shape).groupBy("bucket").applyInPandas(_summed(min_count), "a long, b long, n long, kind int")
+        counts.append(materialize(got.withColumn("slice", F.pmod("a", F.lit(JOIN_SLICES)).cast("int")), ["kind", "slice"]))
+    every = reduce(DataFrame.unionByName, counts)
+    uni = every.where("kind = 0").select(F.col("a").alias("h"), F.col("n").alias("c"))
     total, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    d = discounts({r[0]: r[1] for r in counts.where("kind = 2").groupBy("a").agg(F.sum("n")).collect()})
+    d = discounts({r[0]: r[1] for r in every.where("kind = 2").groupBy("a").agg(F.sum("n")).collect()})
     ends = uni.where(F.col("h") == int(END.view(np.int64))).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]  # one end and one start a text
     start = spark.createDataFrame([(int(BOS.view(np.int64)), ends)], "a long, cc long")
     norm = total + 0.5 * (v + 1)
     factor = F.lit(1.0)
     for r, x in d.items():
         factor = F.when(F.col("n") == r, x).otherwise(factor)
-    kept = counts.where("kind = 1").select("a", "b", "h", "n")
+    dn, p1 = factor * F.col("n"), (F.col("cw") + 0.5) / norm
     of_ctx = uni.select(F.col("h").alias("a"), F.col("c").alias("cc")).union(start)
-    pairs = kept.join(of_ctx, "a").join(uni.select(F.col("h").alias("b"), F.col("c").alias("cw")), "b")
-    pairs = materialize(pairs.select("a", "h", "n", "cc", (factor * F.col("n")).alias("dn"), ((F.col("cw") + 0.5) / norm).alias("p1")))
-    sums = pairs.groupBy("a").agg(F.sum("dn").alias("dn"), F.sum("p1").alias("p1"), F.max("cc").alias("cc"))
-    over = F.when(F.col("dn") > F.col("cc") - 1e-9 * F.col("cc"), F.col("cc") + 1).otherwise(F.col("cc"))
-    weights = materialize(sums.select("a", over.alias("over"), F.log10((1 - F.col("dn") / over) / (1 - F.col("p1"))).alias("alpha")))
     bucket = lambda h: F.expr(f"cast(shiftrightunsigned(shiftrightunsigned({h}, 32) * {buckets}L, 32) as int)")
-    words_ = uni.unionByName(spark.createDataFrame([(int(BOS.view(np.int64)), 0)], "h long, c long")).join(weights.withColumnRenamed("a", "h"), "h", "left")
+    over = F.when(F.col("dn") > F.col("cc") - 1e-9 * F.col("cc"), F.col("cc") + 1).otherwise(F.col("cc"))
+    weights, pairs_ = [], []
+    for k in range(JOIN_SLICES):  # a context's pairs are in one slice; a slice's counts go once it is joined
+        kept = every.where(f"kind = 1 and slice = {k}").select("a", "b", "n")
+        pairs = materialize(kept.join(uni.select(F.col("h").alias("b"), F.col("c").alias("cw")), "b").select("a", "b", "n", "cw"))
+        sums = pairs.groupBy("a").agg(F.sum(dn).alias("dn"), F.sum(p1).alias("p1")).join(of_ctx, "a")
+        weights.append(materialize(sums.select("a", over.alias("over"), F.log10((1 - F.col("dn") / over) / (1 - F.col("p1"))).alias("alpha"))))
+        for c in counts:
+            drop(c, f"kind=1/slice={k}")
+        delta = F.log10(dn / F.col("over")) - F.log10(p1) - F.col("alpha")
+        pairs_.append(materialize(pairs.join(weights[-1], "a").select(F.xxhash64("a", "b").alias("h"), "n", delta.alias("delta")).select(bucket("h").alias("bucket"), "h", "n", "delta")))
+        drop(pairs)
+    weight = reduce(DataFrame.unionByName, weights).select(F.col("a").alias("h"), "alpha")
+    words_ = uni.unionByName(spark.createDataFrame([(int(BOS.view(np.int64)), 0)], "h long, c long")).join(weight, "h", "left")
     words_ = materialize(words_.select(bucket("h").alias("bucket"), "h", "c", F.coalesce("alpha", F.lit(0.0)).alias("alpha")))
-    delta = F.log10(F.col("dn") / F.col("over")) - F.log10("p1") - F.col("alpha")
-    pairs_ = materialize(pairs.join(weights, "a").select(bucket("h").alias("bucket"), "h", "n", delta.alias("delta")))
-    drop(counts), drop(pairs), drop(weights)
-    return KatzModel(words_, pairs_, total, v, buckets)
+    for t in [*counts, *weights]:
+        drop(t)
+    return KatzModel(words_, reduce(DataFrame.unionByName, pairs_), total, v, buckets)
 
 
 def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,54 +233,47 @@ def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return table[at] == keys, at
 
 
-def _seven(h: np.ndarray) -> bytes:
-    """The low seven bytes of each hash; the bucket tells most of the eighth."""
-    return h.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-
-
-def _whole(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-    return out.view(np.uint64).ravel()
+def _by_text(of: np.ndarray) -> bytes:
+    """Ascending numbers of texts as different numbers, then how often each stands."""
+    text, n = np.unique(of, return_counts=True)
+    return np.concatenate([text, n]).astype(np.uint32).tobytes()
 
 
-LOW = U64((1 << 56) - 1)
+def _texts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(raw, np.uint32).reshape(2, -1)
 
 
-def _asked(buckets: int, hot, base, unknown: float):
-    """Rows for each bucket (words and pairs with their number in each text) and one of a block's own sums."""
+def _asked(buckets: int, first: int, end: int, hot):
+    """Rows for each bucket from first to below end that a block of texts asks (words and pairs by text); from 0 on, one of the block's own sums, too."""
 
     def run(batches):
         hw, hw_p, hw_a, hp, hp_d, bos = hot.value
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for lo, hi, buf, offs in text_blocks(batch.column(1), BLOCK):
-                tok, ctx, at = _tokens(buf, offs)
-                n = hi - lo
-                text = np.repeat(np.arange(n), np.diff(at))
-                sums = np.zeros((n, 3))  # model, base, known
-                rows = {b: [block, b, b"", b"", b"", b""] for b in range(buckets)}
-                is_hot, k = _found(tok, hw)
-                own = hw_p[k[is_hot]]
-                sums[:, 1] = np.bincount(text[is_hot], own, n)
-                sums[:, 0] = sums[:, 1] + np.bincount(text[is_hot], hw_a[k[is_hot]], n) + bos
-                sums[:, 2] = np.bincount(text[is_hot], minlength=n)
-                pair = _pair(ctx, tok)
-                pair_hot, k = _found(pair, hp)
-                sums[:, 0] += np.bincount(text[pair_hot], hp_d[k[pair_hot]], n)
-                for keys, mask, col in ((tok, ~is_hot, 2), (pair, ~pair_hot, 4)):
-                    key, of = keys[mask], text[mask]
-                    order, cut = _parts(_bucket(key, buckets), buckets)
-                    key, of = key[order], of[order]
-                    for b in range(buckets):
-                        part = slice(cut[b], cut[b + 1])
-                        rows[b][col : col + 2] = _seven(key[part]), np.bincount(of[part], minlength=n).astype(np.uint32).tobytes()
-                ids = batch.column(0).slice(lo, n).cast(pa.int64())
-                own_row = [block, int(np.bitwise_and(block, 0x7FFFFFFF) % buckets), np.asarray(ids.fill_null(0)).tobytes(), np.asarray(ids.is_null().cast(pa.uint8())).tobytes(), np.diff(at).astype(np.int64).tobytes(), sums.tobytes()]
-                cols = list(zip(*[*rows.values(), own_row], strict=True))
-                kind = [1] * buckets + [0]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(kind, pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["block", "bucket", "own", "x1", "x2", "x3", "x4"])
-                block += 1
+        for tok, ctx, size, ids in _together(batches, 1):
+            n = len(size)
+            text = np.repeat(np.arange(n), size)
+            sums = np.zeros((n, 3))  # model, base, known
+            rows: dict[int, list] = {}
+            is_hot, k = _found(tok, hw)
+            own = hw_p[k[is_hot]]
+            sums[:, 1] = np.bincount(text[is_hot], own, n)
+            sums[:, 0] = sums[:, 1] + np.bincount(text[is_hot], hw_a[k[is_hot]], n) + bos
+            sums[:, 2] = np.bincount(text[is_hot], minlength=n)
+            pair = _pair(ctx, tok)
+            pair_hot, k = _found(pair, hp)
+            sums[:, 0] += np.bincount(text[pair_hot], hp_d[k[pair_hot]], n)
+            for keys, mask, col in ((tok, ~is_hot, 3), (pair, ~pair_hot, 5)):
+                key, of = keys[mask], text[mask]
+                order, cut = _parts(_bucket(key, buckets), buckets)
+                key, of = key[order], of[order]
+                for b in (first + np.flatnonzero(np.diff(cut[first : end + 1]))).tolist():
+                    part = slice(cut[b], cut[b + 1])
+                    rows.setdefault(b, [block, b, 1, b"", b"", b"", b""])[col : col + 2] = key[part].tobytes(), _by_text(of[part])
+            own_row = [block, int(np.bitwise_and(block, 0x7FFFFFFF) % buckets), 0, np.asarray(ids.fill_null(0)).tobytes(), np.asarray(ids.is_null().cast(pa.uint8())).tobytes(), size.astype(np.int64).tobytes(), sums.tobytes()]
+            some = [*rows.values(), *([] if first else [own_row])]
+            cols = list(zip(*some, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:])], names=["block", "bucket", "own", "x1", "x2", "x3", "x4"])
+            block += 1
 
     return run
 
@@ -236,7 +285,7 @@ def _answered(norm: float):
     def run(ask: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         def table(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             m = model[model.kind == kind]
-            h = m.h.to_numpy(np.int64).view(np.uint64) & LOW
+            h = m.h.to_numpy(np.int64).view(np.uint64)
             o = np.argsort(h, kind="stable")
             return h[o], m.c.to_numpy(np.float64)[o], m.v.to_numpy(np.float64)[o]
 
@@ -246,18 +295,19 @@ def _answered(norm: float):
         for r in ask.itertuples(index=False):
             if not r.own:
                 continue
-            tn, pn = np.frombuffer(r.x2, np.uint32), np.frombuffer(r.x4, np.uint32)
-            sums, n = np.zeros((len(tn), 3)), len(tn)
-            of = np.repeat(np.arange(n), tn)
-            hit, k = _found(_whole(r.x1), w)
+            (wt, wn), (pt, pn) = _texts(r.x2), _texts(r.x4)
+            text = np.union1d(wt, pt)
+            sums, n = np.zeros((len(text), 3)), len(text)
+            of = np.repeat(np.searchsorted(text, wt), wn)
+            hit, k = _found(np.frombuffer(r.x1, np.uint64), w)
             sums[:, 1] = np.bincount(of, np.where(hit, logp[k] if len(w) else 0.0, unknown), n)
             sums[:, 0] = sums[:, 1] + (np.bincount(of[hit], alpha[k[hit]], n) if len(w) else 0)
             sums[:, 2] = np.bincount(of[hit], (c[k[hit]] > 0).astype(float), n) if len(w) else 0
-            of = np.repeat(np.arange(n), pn)
-            hit, k = _found(_whole(r.x3), p)
+            of = np.repeat(np.searchsorted(text, pt), pn)
+            hit, k = _found(np.frombuffer(r.x3, np.uint64), p)
             if len(p):
                 sums[:, 0] += np.bincount(of[hit], delta[k[hit]], n)
-            out.append((r.block, r.bucket, 1, b"", b"", b"", sums.tobytes()))
+            out.append((r.block, r.bucket, 1, text.astype(np.uint32).tobytes(), b"", b"", sums.tobytes()))
         got = pd.DataFrame(out, columns=["block", "bucket", "own", "x1", "x2", "x3", "x4"])
         return pd.concat([got, ask[ask.own == 0]], ignore_index=True) if len(ask) else got
 
@@ -267,8 +317,8 @@ def _answered(norm: float):
 def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
     own = pdf[pdf.own == 0].iloc[0]
     total = np.frombuffer(own.x4, np.float64).reshape(-1, 3).copy()
-    for raw in pdf[pdf.own == 1].sort_values("bucket").x4:
-        total += np.frombuffer(raw, np.float64).reshape(-1, 3)
+    for r in pdf[pdf.own == 1].sort_values("bucket").itertuples(index=False):
+        total[np.frombuffer(r.x1, np.uint32)] += np.frombuffer(r.x4, np.float64).reshape(-1, 3)
     ids = pd.Series(np.frombuffer(own.x1, np.int64)).astype("Int64").mask(np.frombuffer(own.x2, np.uint8) == 1)
     return pd.DataFrame({"doc_id": ids, "n_tokens": np.frombuffer(own.x3, np.int64), "n_known": total[:, 2].astype(np.int64), "base_score": total[:, 1], "score": total[:, 0]})
 
@@ -284,10 +334,13 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
     col = lambda rows, k, t: np.array([r[k] for r in rows], t)
     hot = spark.sparkContext.broadcast((col(hw, 0, np.uint64), np.log10((col(hw, 1, float) + 0.5) / norm), col(hw, 2, float), col(hp, 0, np.uint64), col(hp, 1, float), bos))
     schema = "block long, bucket int, own int, x1 binary, x2 binary, x3 binary, x4 binary"
-    ask = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_asked(model.buckets, hot, norm, 0.0), schema)
     rows = model.words.select("bucket", F.lit(0).alias("kind"), "h", "c", F.col("alpha").alias("v")).unionByName(model.pairs.select("bucket", F.lit(1).alias("kind"), "h", F.col("n").alias("c"), F.col("delta").alias("v")))
-    got = materialize(ask.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInPandas(_answered(norm), schema))
-    return got.groupBy("block").applyInPandas(_gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    got = []
+    for first, end in _slices(model.buckets, SCORE_SLICES):
+        ask = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_asked(model.buckets, first, end, hot), schema)
+        part = rows.where((F.col("bucket") >= first) & (F.col("bucket") < end))
+        got.append(materialize(ask.groupBy("bucket").cogroup(part.groupBy("bucket")).applyInPandas(_answered(norm), schema)))
+    return reduce(DataFrame.unionByName, got).groupBy("block").applyInPandas(_gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def buckets_for(docs: DataFrame, tokens: int = TOKENS) -> int:
@@ -302,5 +355,5 @@ def learn_and_score(docs: DataFrame, learn: str) -> DataFrame:
     All counted pairs are kept, those counted once discounted like the others.
     """
     buckets = buckets_for(docs)
-    model = train(docs.where(learn), buckets, min_count=1)
+    model = train(docs.where(learn), buckets)
     return score(docs, model).withColumn("train_tokens", F.lit(model.n).cast("long"))

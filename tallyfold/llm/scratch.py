@@ -25,8 +25,8 @@ def shuffle_files_dropped(spark: SparkSession):
             spark.conf.set(_CLEAN, before)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back.
+def materialize(df: DataFrame, partition: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder, in folders by partition if given, and read it back.
 
     Unlike a cache it survives lost executors, and unlike recomputation it makes
     later reads cheap. The table has a fresh name, so retries never meet.
@@ -34,14 +34,14 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyfold-{uuid.uuid4().hex}"
     with shuffle_files_dropped(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by materialize, once nothing reads it any more."""
+def drop(df: DataFrame, part: str = "") -> None:
+    """Delete a table made by materialize, or a folder of it, once nothing reads it any more."""
     sc = df.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{df.scratch_path}/{part}" if part else df.scratch_path)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
