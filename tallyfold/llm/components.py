@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is one grouped minimum and one join, so that no component, however
-large, is ever gathered in a task or on the driver.
+Every step is one grouped minimum and one join, in which nodes with very many
+neighbours are broadcast, so that no component, however large, is ever gathered in a
+task or on the driver.
 """
 
 from __future__ import annotations
@@ -9,21 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot_keys import join_groups
 from .scratch import drop, materialize
 
 
-def _large(e: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are tied to its smallest one."""
+def _large(e: DataFrame, n: int) -> DataFrame:
+    """Each node's larger neighbours are tied to its smallest one; n: the number of edges."""
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a"))
+    least = both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")).select("u", "n", F.least("u", "m").alias("m"))
+    return join_groups(both.where("v > u"), least, "u", "n", 2 * n).select(F.col("v").alias("b"), F.col("m").alias("a"))
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of them."""
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").where("v <> m").select(F.col("v").alias("b"), F.col("m").alias("a"))
+    least = down.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+    tied = join_groups(down, least, "u", "n", n).where("v <> m").select(F.col("v").alias("b"), F.col("m").alias("a"))
     return tied.union(least.select(F.col("u").alias("b"), F.col("m").alias("a")))
 
 
@@ -34,14 +36,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     mark, now = None, materialize(e)
-    while True:
-        stars = _small(_large(now)).select("a", "b").distinct()
+    n = now.count()
+    while n:
+        stars = _small(_large(now, n), n).select("a", "b").distinct()
         new = materialize(stars)
         seen = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(now)
         now = new
         if seen == mark or not seen[0]:
             break
-        mark = seen
+        mark, n = seen, seen[0]
     nodes = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return nodes.union(now.select("a", "a").distinct())

@@ -14,11 +14,12 @@ are led anew by the most shared of them, against all members of other components
 left after ROUNDS leaders is paired with every member of another component, unless the
 shingles that either has alone among all texts in question rule a link out, or fewer than
 LONG_MATCH of LONG more coordinates agree. So a large group of copies costs a few links
-each, and components that touch are found.
+each, and components that touch are found. Coordinates are compared by an int each, their
+number and the rest of their value's hash.
 
 What signatures lose is the method's only loss: a pair at the threshold of 0.75 agrees in
-fewer than 34 of 64 coordinates with probability 4e-05, in fewer than 76 of 128 with
-5e-05; both are below 1e-6 at 0.8.
+fewer than 34 of 64 coordinates with probability 4e-05, in fewer than 254 of 384 with
+4e-05; both are below 1e-6 at 0.8.
 
 Null and empty texts have an empty set and are linked with nothing. Repeated rows
 are copies of each other. An empty table gives no rows.
@@ -33,11 +34,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import drop, materialize
+from .sieve import sifted
 from .words import U64, mix, seeds, shingle_sets, text_blocks, words
 
 K, MATCH, ROUNDS = 64, 34, 2
 #: Coordinates, and those that must agree, of the longer signatures that only what leaders leave over is tried with.
-LONG, LONG_MATCH = 128, 76
+LONG, LONG_MATCH = 384, 254
 _XOR, _MUL, _PLACE = seeds(K + LONG, 100), seeds(K + LONG, 1300) | U64(1), seeds(K + LONG, 2900)
 
 
@@ -95,20 +97,6 @@ def _confirm(percent: int):
     return run
 
 
-#: Most bits of the sieve of wanted documents, 32 MB; it lets more pass beyond that, never less.
-SIEVE = 1 << 28
-
-
-def _sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most of those whose doc_id is not among ids, found by a broadcast bitmap of bounded size."""
-    bits = min(SIEVE, 1 << max(15, (16 * ids.count()).bit_length()))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    maps = ids.select(slot("id").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__map"))
-    met = docs.withColumn("__at", F.bitmap_bit_position(slot("doc_id"))).join(F.broadcast(maps), F.bitmap_bucket_number(slot("doc_id")) == F.col("__b"))
-    byte = F.conv(F.hex(F.substr("__map", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return met.where(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1).select(*docs.columns)
-
-
 def _colliding(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of class ids that agree in MATCH coordinates or more."""
     s = sigs.select("id", "sig")
@@ -118,8 +106,8 @@ def _colliding(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def _linked(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of class ids that are near in full."""
-    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    sets = materialize(_sifted(docs, wanted).select("doc_id", "text").mapInArrow(_sets, "id long, words binary"))
+    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    sets = materialize(sifted(docs, wanted, ["doc_id"]).select("doc_id", "text").mapInArrow(_sets, "id long, words binary"))
     full = near.join(sets.withColumnRenamed("id", "a"), "a").withColumnRenamed("words", "x").join(sets.withColumnRenamed("id", "b"), "b").select("a", "b", "x", F.col("words").alias("y"))
     out = materialize(full.mapInArrow(_confirm(percent), "a long, b long"))
     drop(sets)
@@ -153,9 +141,10 @@ def _words_of(batches):
         lens = np.array([len(words_[i]) for i in full], np.int32)
         at = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
         flat = np.concatenate([words_[i] for i in full]) if full else np.zeros(0, np.int64)
-        sig = mix(_least(flat.view(np.uint64), at[:-1], K, K + LONG) ^ _PLACE[K:]) if full else np.zeros((0, LONG), np.uint64)
+        sig = mix(_least(flat.view(np.uint64), at[:-1], K, K + LONG)) >> U64(41) if full else np.zeros((0, LONG), np.uint64)
+        sig = (sig | np.arange(LONG, dtype=np.uint64) << U64(23)).astype(np.uint32).view(np.int32)
         ends = pa.array(np.arange(len(full) + 1, dtype=np.int32) * LONG)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full, pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(sig.ravel().view(np.int64)))], names=["id", "words", "long"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full, pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(sig.ravel()))], names=["id", "words", "long"])
 
 
 def _rest(p: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -168,16 +157,16 @@ def _rest(p: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int) -> DataF
     p = p.withColumn("lead", F.max(F.struct("pop", (-F.col("id")).alias("neg"), "comp")).over(w))
     p = materialize(p.withColumn("left", F.max(F.col("comp") != F.col("lead.comp")).over(w)).where("left").select("v", "id", "comp", (F.col("comp") != F.col("lead.comp")).alias("out")))
     ids = p.select("id").distinct()
-    sets = materialize(_sifted(docs, ids).select("doc_id", "text").mapInArrow(_words_of, "id long, words array<long>, long array<long>").join(ids, "id", "left_semi"))
+    sets = materialize(sifted(docs, ids.withColumnRenamed("id", "doc_id"), ["doc_id"]).select("doc_id", "text").mapInArrow(_words_of, "id long, words array<long>, long array<int>").join(ids, "id", "left_semi"))
     each = sets.select("id", F.explode("words").alias("s"))
     own = each.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("own"))
-    sized = materialize(ids.join(sigs, "id").join(sets.groupBy("id").agg(F.min("long").alias("long")), "id").join(own, "id", "left").select("id", "sig", "long", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")))
+    sized = materialize(ids.join(sigs, "id").join(sets.groupBy("id").agg(F.min("long").alias("long")), "id").join(own, "id", "left").select("id", "long", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")))
     met = p.groupBy("id").agg(F.collect_list("v").alias("vs"))  # a class's prefix: K - MATCH + 1 postings at most
     q = p.join(sized, "id").join(met, "id")
-    mine = q.where("out").select("v", F.col("id").alias("i"), F.col("comp").alias("c"), F.col("vs").alias("us"), F.col("sig").alias("s"), F.col("long").alias("l"), F.col("n").alias("m"), F.col("most").alias("most_i"))
+    mine = q.where("out").select("v", F.col("id").alias("i"), F.col("comp").alias("c"), F.col("vs").alias("us"), F.col("long").alias("l"), F.col("n").alias("m"), F.col("most").alias("most_i"))
     both = F.least("most", "most_i")
     once = (F.array_min(F.array_intersect("vs", "us")) == F.col("v")) & (~F.col("out") | (F.col("i") < F.col("id")))
-    fits = (F.col("comp") != F.col("c")) & (100 * both >= percent * (F.col("n") + F.col("m") - both)) & (F.size(F.array_intersect("s", "sig")) >= MATCH) & once & (F.size(F.array_intersect("l", "long")) >= LONG_MATCH)
+    fits = (F.col("comp") != F.col("c")) & (100 * both >= percent * (F.col("n") + F.col("m") - both)) & once & (F.size(F.array_intersect("l", "long")) >= LONG_MATCH)
     return q.join(mine, "v").where(fits).select(F.col("i").alias("a"), F.col("id").alias("b"))
 
 
@@ -185,8 +174,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Two documents are linked if 100 * intersection >= percent * union of their 5-word
-    shingle sets; component_id is the smallest doc_id reachable. A doc_id that repeats with
-    different texts is linked by any of them.
+    shingle sets; component_id is the smallest doc_id reachable. A doc_id should name one
+    text: of several, near copies are looked for with one, and the others are linked with
+    their exact copies. Rows without doc_id are linked through other rows' ids, and those
+    that have no other company get no component and a null kept.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = materialize(d.mapInArrow(_signatures, "doc_id long, n long, c1 long, c2 long, sig array<long>"))
@@ -210,6 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             continue
         links = new if links is None else links.unionByName(new)
         comp = connected_components(links)
+    drop(posts), drop(sigs)
     if comp is None:
         comp = classes.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("c1", "c2", "n", F.coalesce("component", "id").alias("comp"))
