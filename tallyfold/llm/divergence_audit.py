@@ -23,6 +23,7 @@ table gives no rows. Other columns play no part.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,11 @@ from .hot_keys import join_groups
 from .scratch import materialize
 from .sieve import sifted
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK, TILE, PART, CHUNK = 512, 256, 1 << 16, 512
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BLOCK, TILE, PART, CHUNK = 512, 256, 1 << 14, 512
+#: Entries of a task's counts at which they are passed on.
+HELD = 1 << 19
+#: Bytes of terms, lower-cased, or blanks.
+_TERM = bytes(k if 97 <= k <= 122 or k >= 128 else k + 32 if 65 <= k <= 90 else 32 for k in range(256))
 
 
 def share(count: str, total: str, terms: str) -> Column:
@@ -49,13 +52,34 @@ def _group() -> Column:
     return F.struct("lang", "source")
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of the terms of a task's rows, by lang and source."""
+    held, size = defaultdict(lambda: (Counter(), Counter())), 0
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (c, df) in held.items():
+            columns = [pa.repeat(lang, len(c)), pa.repeat(source, len(c)), pa.array(c.keys(), pa.binary()).cast(pa.string())]
+            yield pa.record_batch([*columns, pa.array(c.values(), pa.int64()), pa.array(map(df.__getitem__, c), pa.int64())], names=["lang", "source", "term", "c", "df"])
+        held.clear()
+
+    for b in batches:
+        for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            terms = text.translate(_TERM).split()
+            c, df = held[lang, source]
+            size -= len(c)
+            c.update(terms)
+            df.update(set(terms))
+            size += len(c)
+            if size >= HELD:
+                yield from passed()
+                size = 0
+    yield from passed()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, c (occurrences), df (documents). A text's terms are sorted, so that each one's first is known."""
-    all_of = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, UPPER.lower()), F.lit(TERM), F.lit(0)))
-    rows = docs.select("lang", "source", all_of.alias("terms"))
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("terms", i - 1) != t)).cast("int").alias("first")))
-    each = rows.select("lang", "source", F.explode(marked).alias("t")).select("lang", "source", "t.term", "t.first")
-    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("c"), F.sum("first").alias("df"))
+    """lang, source, term, c (occurrences), df (documents), summed from the tasks' partial counts."""
+    each = docs.select("lang", "source", "text").mapInArrow(_counts, "lang string, source string, term string, c long, df long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("df").alias("df"))
 
 
 def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
