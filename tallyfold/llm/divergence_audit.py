@@ -102,14 +102,20 @@ def _tiles() -> Column:
 
 
 def _distances(table: pa.Table) -> pa.Table:
-    """Sums of |p - q| of one block of terms, for the pairs of sources of two tiles."""
-    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    """Sums of |p - q| of one block of terms, for the pairs of sources of two tiles.
+
+    Terms that none of these sources has are not among the rows; the first block adds the
+    share of all terms, and each block takes off that of its own.
+    """
+    i, j, block, v = (table[c][0].as_py() for c in ("i", "j", "block", "v"))
     zero = table.filter(pc.is_null(table["term"]))
     zero = zero.take(pc.sort_indices(zero, [("source", "ascending")]))
     names, tile = zero["source"].combine_chunks(), zero["own"].to_numpy()
     rows = table.filter(pc.is_valid(table["term"]))
     terms = rows["term"].combine_chunks().dictionary_encode()
-    p = np.repeat(zero["p"].to_numpy()[:, None], len(terms.dictionary), axis=1)
+    none = zero["p"].to_numpy()
+    absent = (v if block == 0 else 0) - len(terms.dictionary)
+    p = np.repeat(none[:, None], len(terms.dictionary), axis=1)
     p[pc.index_in(rows["source"], names).to_numpy(), terms.indices.to_numpy(False)] = rows["p"].to_numpy()
     a, b, values = [], [], []
     for k in range(len(p)):
@@ -117,7 +123,7 @@ def _distances(table: pa.Table) -> pa.Table:
         if (i == j or tile[k] == i) and len(to):
             a.append(np.full(len(to), k))
             b.append(to)
-            values.append(np.abs(p[to] - p[k]).sum(axis=1))
+            values.append(np.abs(p[to] - p[k]).sum(axis=1) + absent * np.abs(none[to] - none[k]))
     a, b, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, values))
     lang = pa.repeat(table["lang"][0], len(a))
     return pa.table({"lang": lang, "a": names.take(pa.array(a)), "b": names.take(pa.array(b)), "value": pa.array(values, pa.int64())})
@@ -128,10 +134,10 @@ def pairs(own: DataFrame, groups: DataFrame) -> DataFrame:
     blocks, tiles = F.ceil(F.greatest("v", F.lit(1)) / BLOCK).alias("blocks"), F.ceil(F.col("peers") / TILE).alias("tiles")
     sizes = groups.select("g", "n", "v", "size", blocks, tiles)
     met = join_groups(own, sizes, "g", "size", own.count())
-    some = met.select("g", "tiles", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "term", share("c", "n", "v").alias("p"))
-    none = sizes.select("g", "tiles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("string").alias("term"), share("0", "n", "v").alias("p"))
-    rows = some.unionByName(none).select("g", "block", "term", "p", _tiles().alias("t"))
-    rows = rows.select("g.lang", "g.source", "block", "term", "p", "t.i", "t.j", "t.own")
+    some = met.select("g", "v", "tiles", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "term", share("c", "n", "v").alias("p"))
+    none = sizes.select("g", "v", "tiles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("string").alias("term"), share("0", "n", "v").alias("p"))
+    rows = some.unionByName(none).select("g", "v", "block", "term", "p", _tiles().alias("t"))
+    rows = rows.select("g.lang", "g.source", "v", "block", "term", "p", "t.i", "t.j", "t.own")
     sums = rows.groupBy("lang", "block", "i", "j").applyInArrow(_distances, "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     sums = materialize(sums)
     return sums.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(sums.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
