@@ -23,14 +23,11 @@ def _pages(spark, sf):
 
 def _headings(spark, sf):
     """All headings of pages in order, with the page they are on."""
-    p = _pages(spark, sf)
-    h = H.dedupe_headings(H.ordered(H.level_headings(p).unionByName(H.bold_headings(p))))
-    texts = p.select("page_id", H.html_text(F.col("html")).alias("__text"))
-    return h.join(texts, "page_id").withColumn("page", H.page_number(F.col("__text"), F.substring("text", 1, 30))).drop("__text")
+    return H.dedupe_headings(H.ordered(H.page_headings(_pages(spark, sf))))
 
 
 def _texts(spark, sf):
-    return _pages(spark, sf).select("page_id", H.html_text(F.col("html")).alias("text"))
+    return H.parsed(_pages(spark, sf)).select("page_id", "text")
 
 
 def html_text(spark, sf):
@@ -38,7 +35,7 @@ def html_text(spark, sf):
 
 
 def html_headings(spark, sf):
-    return H.level_headings(_pages(spark, sf))
+    return H.level_headings(_pages(spark, sf)).drop("page")
 
 
 def _bolder(spark, sf):
@@ -48,12 +45,11 @@ def _bolder(spark, sf):
 
 
 def html_bold_headings(spark, sf):
-    return H.bold_headings(_bolder(spark, sf))
+    return H.bold_headings(_bolder(spark, sf)).drop("page")
 
 
 def heading_dedupe(spark, sf):
-    p = _pages(spark, sf)
-    return H.dedupe_headings(H.ordered(H.level_headings(p).unionByName(H.bold_headings(p)))).select("page_id", "ord", "text", "font_size")
+    return _headings(spark, sf).select("page_id", "ord", "text", "font_size")
 
 
 def page_estimate(spark, sf):
@@ -219,15 +215,18 @@ def ixbrl_facts(spark, sf):
     """Pages' own byte counts, written as inline facts and read back."""
     p = _pages(spark, sf)
     scale = F.element_at(F.array(*map(F.lit, ["0", "-3", "-6", "6", "-2"])), (F.pmod("page_id", F.lit(5)) + 1).cast("int"))
-    fact = F.concat(F.lit('<div><ix:nonFraction name="us-gaap:Revenues" contextRef="c-'), (F.pmod("page_id", F.lit(3)) + 1).cast("string"), F.lit('" unitRef="USD" scale="'), scale, F.lit('">'), F.format_number(F.length("html"), 0), F.lit("</ix:nonFraction></div>"))
+    number = F.format_number(F.length("html"), 0)
+    fact = F.concat(F.lit('<div><ix:nonFraction name="us-gaap:Revenues" contextRef="c-'), (F.pmod("page_id", F.lit(3)) + 1).cast("string"), F.lit('" unitRef="USD" scale="'), scale, F.lit("\"><span>$</span> <div>"), F.substring(number, 1, 1), F.lit("</div>"), F.expr("substring(format_number(length(html), 0), 2)"), F.lit("</ix:nonFraction></div><ix:nonFraction name='dei:Title' contextRef='c-0' unitRef=shares>&#49;&nbsp;</ix:nonFraction><ix:nonFraction name='' contextRef='c-0'>5</ix:nonFraction>"))
     return H.facts(p.select("page_id", F.concat("html", fact).alias("html"))).select("page_id", "pos", "name", "context", "value", "unit", F.round("scaled", 9).alias("scaled"))
 
 
 def html_table_cells(spark, sf):
-    """Pages' urls and sizes, written as a table and read back."""
+    """Pages' urls and sizes, written as a table with inner elements and references, and read back."""
     row = lambda a, b, c: F.concat(F.lit("<tr><td>"), a, F.lit("</td><td>"), b, F.lit("</td><td>"), c, F.lit("</td></tr>"))
     p = _t(spark, sf, "pages")
-    t = F.concat(F.lit("<table><tr><th>Metric</th><th>FY2023</th><th>FY2022</th></tr>"), row(F.lit("Bytes"), F.length("html").cast("string"), F.lit("-")), row(F.lit("Url"), F.col("url"), F.length("url").cast("string")), F.lit("</table>"))
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    inner = F.concat(F.lit("<div>at <div><b>"), host, F.lit("</b></div> now</div>"))
+    t = F.concat(F.lit("<table><tr><th>Metric</th><th>FY2023</th><th>FY&#50;022</th></tr>"), row(F.lit("Bytes"), F.length("html").cast("string"), F.lit("&mdash;")), row(F.lit("R&amp;D caf&eacute;"), inner, F.lit("&#36;")), F.lit("<tr><td>Url<td>"), F.col("url"), F.lit("<td>"), F.length("url").cast("string"), F.lit("</table>"))
     return H.table_cells(p.select("page_id", F.concat("html", t).alias("html"))).select("page_id", "row_header", "col_header", "value")
 
 
@@ -238,19 +237,27 @@ QUERIES = {
     "quality_filter": quality_filter, "tag_counts": tag_counts, "ixbrl_facts": ixbrl_facts, "html_table_cells": html_table_cells,
 }
 
-_TEXT = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+_BARE = r"regexp_replace(html, '(?s)<!--.*?-->', '<!>', 'g')"
 for _tag in ("script", "style", "noscript"):
-    _TEXT = rf"regexp_replace({_TEXT}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
-_TEXT = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_TEXT}, '(?is)<(meta|link)[^>]*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))"
-_PLAIN = r"trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
+    _BARE = rf"regexp_replace({_BARE}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', '<!>', 'g')"
+#: The character references that the given pages hold.
+_DECODED = "replace({0}, '&copy;', '©')"
+for _name, _char in (("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"), ("&amp", "&")):
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_char}')"
+_TEXT = rf"regexp_replace(regexp_replace({_DECODED.format(rf"array_to_string(list_filter(regexp_split_to_array({_BARE}, '<[^>]*(>|$)'), lambda x: x <> ''), chr(10))")}, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g')"
+_PLAIN = _DECODED.format(r"array_to_string(list_filter(list_transform(regexp_split_to_array({0}, '<[^>]*(>|$)'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), ' ')")
 
 
-def _runs(tag: str, level: int) -> str:
-    return rf"SELECT page_id, {level} AS level, i - 1 AS pos, {_PLAIN.format('r[i]')} AS text FROM (SELECT page_id, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>', 1) AS r FROM pages))"
+def _runs(tag: str, close: str) -> str:
+    """Elements of a tag up to what closes them, with their place."""
+    return rf"SELECT page_id, i, tags[i] AS tag, {_PLAIN.format('r[i]')} AS text FROM (SELECT page_id, tags, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<({tag})(?:\s[^>]*)?>(.*?)(?:{close}|$)', 1) AS tags, regexp_extract_all(html, '(?is)<({tag})(?:\s[^>]*)?>(.*?)(?:{close}|$)', 2) AS r FROM bare))"
 
 
-_LEVELS = "levels AS (" + " UNION ALL ".join(f"SELECT page_id, level, pos::INT AS pos, text, {size}::DOUBLE AS font_size, true AS is_bold FROM ({_runs(f'h{n}', n)}) WHERE length(text) BETWEEN 3 AND 200" for n, size in H.SIZES.items()) + ")"
-_BOLDS = rf"bolds AS (SELECT page_id, level, pos::INT AS pos, text, {H.BOLD}::DOUBLE AS font_size, true AS is_bold FROM ({_runs('b', 7)} UNION ALL {_runs('strong', 8)}) WHERE length(text) BETWEEN 3 AND 120 AND len(string_split(text, ' ')) <= 12 AND NOT regexp_matches(text, '^[\d\s,.\-$()]+$'))"
+_SIZED = "[" + ", ".join(f"{x}::DOUBLE" for x in H.SIZES.values()) + "]"
+_BAREP = f"bare AS (SELECT page_id, {_BARE} AS html FROM pages)"
+_LEVELS = rf"{_BAREP}, levels AS (SELECT page_id, tag[2]::INT AS level, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, text, {_SIZED}[tag[2]::INT] AS font_size, true AS is_bold FROM ({_runs('h[1-6]', '</h[1-6]>')}) WHERE length(text) BETWEEN 3 AND 200)"
+#: A bold run ends at its own end or where a paragraph begins or its block ends.
+_BOLDS = rf"bolds AS (SELECT page_id, 7 AS level, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, text, {H.BOLD}::DOUBLE AS font_size, true AS is_bold FROM ({_runs('b|strong', '</b>|</strong>|<p[ >]|</p>|</article>|</body>')}) WHERE length(text) BETWEEN 3 AND 120 AND len(regexp_split_to_array(text, '\s+')) <= 12 AND NOT regexp_matches(text, '^[\d\s,.\-$()]+$'))"
 _HEAD = f"""{_LEVELS}, {_BOLDS}, alls AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY level, pos, text)::INT AS ord FROM (SELECT * FROM levels UNION ALL SELECT * FROM bolds)),
 heads AS (SELECT * FROM alls QUALIFY row_number() OVER (PARTITION BY page_id, lower(trim(text)) ORDER BY ord) = 1), texts AS (SELECT page_id, {_TEXT} AS body FROM pages),
 placed AS (SELECT h.*, greatest(1, floor((instr(body, substr(text, 1, 30)) - 1) / 5000.0)::INT + 1) AS page FROM heads h JOIN texts USING (page_id)),
@@ -306,7 +313,7 @@ _FLAT = "replace(replace(upper(replace(substr(t, 1, 3000), 'ß', 'SS')), '-', ''
 ORACLES = {
     "html_text": f"SELECT page_id, length(t)::INT AS chars, md5(t) AS md5 FROM (SELECT page_id, {_TEXT} AS t FROM pages)",
     "html_headings": f"WITH {_LEVELS} SELECT * FROM levels",
-    "html_bold_headings": "WITH bolder AS (SELECT page_id, '<p><b>Site ' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || '</b> and <strong class=''x''>Page ' || page_id || '</strong><b>1,234.5</b></p>' || html AS html FROM pages), " + _BOLDS.replace("FROM pages", "FROM bolder") + " SELECT * FROM bolds",
+    "html_bold_headings": "WITH bare AS (SELECT page_id, '<p><b>Site ' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || '</b> and <strong class=''x''>Page ' || page_id || '</strong><b>1,234.5</b></p>' || " + _BARE + " AS html FROM pages), " + _BOLDS + " SELECT * FROM bolds",
     "heading_dedupe": f"WITH {_HEAD} SELECT page_id, ord, text, font_size FROM heads",
     "page_estimate": f"WITH {_HEAD} SELECT page_id, ord, page FROM placed",
     "clean_headings": f"WITH {_HEAD} SELECT page_id, ord, text, depth FROM clean",
@@ -337,6 +344,6 @@ ORACLES = {
         round(least(length(text) / 1000.0::DOUBLE, 1.0::DOUBLE), 6) AS f_length, CASE WHEN regexp_matches(text, '[$%|\t]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_table, CASE WHEN doc_id % 30 = 21 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_year, CASE WHEN contains(source, 'src1') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_company FROM h JOIN documents USING (doc_id)""",
     "quality_filter": "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Error: ' || text ELSE text END AS t FROM documents) WHERE length(trim(t)) >= 10 AND NOT regexp_matches(lower(t), 'error:|failed:|exception:')",
     "tag_counts": "SELECT lower(t) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) GROUP BY 1",
-    "ixbrl_facts": "SELECT page_id, 0 AS pos, 'us-gaap:Revenues' AS name, 'c-' || (page_id % 3 + 1) AS context, format('{:,}', length(html)) AS value, ['USD', 'thousand', 'million', 'x10^6', '%'][page_id % 5 + 1] AS unit, round(length(html) * pow(10.0, [0, -3, -6, 6, -2][page_id % 5 + 1]), 9) AS scaled FROM pages",
-    "html_table_cells": "SELECT page_id, unnest(['Bytes', 'Url', 'Url']) AS row_header, unnest(['FY2023', 'FY2023', 'FY2022']) AS col_header, unnest([length(html)::VARCHAR, url, length(url)::VARCHAR]) AS value FROM pages",
+    "ixbrl_facts": "SELECT page_id, 0 AS pos, 'us-gaap:Revenues' AS name, 'c-' || (page_id % 3 + 1) AS context, '$' || format('{:,}', length(html)) AS value, ['USD', 'thousand', 'million', 'x10^6', '%'][page_id % 5 + 1] AS unit, round(length(html) * pow(10.0, [0, -3, -6, 6, -2][page_id % 5 + 1]), 9) AS scaled FROM pages UNION ALL SELECT page_id, 1, 'dei:Title', 'c-0', '1', 'shares', 1.0 FROM pages",
+    "html_table_cells": "SELECT page_id, unnest(['Bytes', 'R&D café', 'Url', 'Url']) AS row_header, unnest(['FY2023', 'FY2023', 'FY2023', 'FY2022']) AS col_header, unnest([length(html)::VARCHAR, 'at ' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || ' now', url, length(url)::VARCHAR]) AS value FROM pages",
 }

@@ -1,82 +1,108 @@
-"""Text, headings and facts of HTML filings, as column expressions over whole pages."""
+"""Text, headings and facts of HTML filings: one pass over each page's markup, column expressions over what it gives."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import markup
+
 # Font sizes of heading levels, the size of bold runs, and characters on a page.
 SIZES = {1: 20.0, 2: 18.0, 3: 16.0, 4: 14.0, 5: 13.0, 6: 13.0}
 BOLD, PAGE = 13.5, 5000
 # Names of scales of inline facts.
 SCALES = {"-2": "%", "-3": "thousand", "-6": "million", "-9": "billion"}
-_HIDDEN = ("script", "style", "noscript")
 
 
-def plain(fragment: Column) -> Column:
-    """A fragment's text: tags become blanks, runs of white space one blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(fragment, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, text, elements, facts, cells of pages (page_id, html), in one pass over each page (see markup).
+
+    The text has a line for each piece, without scripts, styles, comments and tags. Null is an
+    empty page. What is parsed already stays as it is, so that several readers can share one
+    pass over a written table.
+    """
+    if "elements" in pages.columns:
+        return pages
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "html").mapInArrow(markup.read_batches, f"page_id {kind}, text string, elements {markup.ELEMENT}, facts {markup.FACT}, cells {markup.CELL}")
+
+
+def _words(text: Column) -> Column:
+    return F.size(F.split(text, r"\s+"))
+
+
+def _listed(kept: Column, level: Callable, size: Callable, bold: Callable) -> Column:
+    """Elements as headings, with the page that their first 30 characters stand on."""
+    row = lambda e, i: F.struct(level(e).alias("level"), i.alias("pos"), e["text"].alias("text"), size(e).alias("font_size"), bold(e).alias("is_bold"), page_number(F.col("text"), F.substring(e["text"], 1, 30)).alias("page"))
+    return F.transform(kept, row)
+
+
+def _levels() -> Column:
+    sizes = F.create_map(*(F.lit(x) for k in SIZES for x in (f"h{k}", SIZES[k])))
+    kept = F.filter("elements", lambda e: e["tag"].rlike("^h[1-6]$") & F.length(e["text"]).between(3, 200))
+    return _listed(kept, lambda e: F.substring(e["tag"], 2, 1).cast("int"), lambda e: sizes[e["tag"]], lambda e: F.lit(True))
+
+
+def _bolds() -> Column:
+    kept = F.filter("elements", lambda e: e["tag"].isin("b", "strong") & F.length(e["text"]).between(3, 120) & (_words(e["text"]) <= 12) & ~e["text"].rlike(r"^[\d\s,.\-$()]+$"))
+    return _listed(kept, lambda e: F.lit(7), lambda e: F.lit(BOLD), lambda e: F.lit(True))
 
 
-def html_text(html: Column) -> Column:
-    """A page's text without scripts, styles, comments and tags."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in _HIDDEN:
-        out = F.regexp_replace(out, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    out = F.regexp_replace(out, r"(?is)<(meta|link)[^>]*>", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"<[^>]*>", " "), r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+def _points(e: Column) -> Column:
+    return F.regexp_extract(F.lower(e["style"]), r"font-size\s*:\s*([\d.]+)\s*pt", 1).try_cast("double")
 
 
-def _runs(pages: DataFrame, tag: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-    return pages.select("page_id", F.posexplode(found).alias("pos", "raw")).select("page_id", "pos", plain(F.col("raw")).alias("text"))
+def _weighty(e: Column) -> Column:
+    weight = F.regexp_extract(F.lower(e["style"]), r"font-weight\s*:\s*(\w+)", 1)
+    return F.coalesce(weight.isin("bold", "bolder") | F.coalesce(weight.try_cast("int") >= 600, F.lit(False)), F.lit(False))
+
+
+def _styled() -> Column:
+    def fits(e: Column) -> Column:
+        text, words = e["text"], _words(e["text"])
+        low = (text == F.lower(text)) & text.rlike("[a-z]") & (words > 3)
+        return e["tag"].isin("span", "div", "p", "td") & F.coalesce((_points(e) >= 11) & (_weighty(e) | (_points(e) >= 14)), F.lit(False)) & F.length(text).between(3, 200) & (words <= 25) & ~text.rlike(r"^[\d\s,.\-$()%\\]+$") & ~low
+
+    return _listed(F.filter("elements", fits), lambda e: F.lit(9), _points, _weighty)
+
+
+def _markers() -> Column:
+    kept = F.filter("elements", lambda e: e["tag"].isin("span", "div", "p", "a", "td") & (F.length(e["text"]) <= 30) & e["text"].rlike(r"(?i)^(?:PART\s+(?:I|II|III|IV|V|VI|VII|VIII|IX|X)|Item\s+\d{1,2}[A-Z]?\.)\s*$"))
+    return _listed(kept, lambda e: F.lit(10), lambda e: F.lit(14.0), lambda e: F.lit(True))
+
+
+def headings(pages: DataFrame, *kinds: Callable) -> DataFrame:
+    """page_id, level, pos (order within a kind), text, font_size, is_bold, page of the kinds of headings, in one pass."""
+    rows = F.concat(*(k() for k in kinds or (_levels, _bolds, _styled, _markers)))
+    return parsed(pages).select("page_id", F.explode(rows).alias("h")).select("page_id", "h.*")
 
 
 def level_headings(pages: DataFrame) -> DataFrame:
-    """page_id, level, pos, text, font_size, is_bold of h1 to h6 of 3 to 200 characters."""
-    out = None
-    for level, size in SIZES.items():
-        got = _runs(pages, f"h{level}").where("length(text) between 3 and 200").select("page_id", F.lit(level).alias("level"), "pos", "text", F.lit(size).alias("font_size"), F.lit(True).alias("is_bold"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """h1 to h6 of 3 to 200 characters."""
+    return headings(pages, _levels)
 
 
 def bold_headings(pages: DataFrame) -> DataFrame:
-    """The same of b and strong: up to 120 characters and 12 words, not just numbers; level 7."""
-    both = _runs(pages, "b").withColumn("level", F.lit(7)).unionByName(_runs(pages, "strong").withColumn("level", F.lit(8)))
-    words = F.size(F.split("text", " "))
-    kept = both.where(F.length("text").between(3, 120) & (words <= 12) & ~F.col("text").rlike(r"^[\d\s,.\-$()]+$"))
-    return kept.select("page_id", "level", "pos", "text", F.lit(BOLD).alias("font_size"), F.lit(True).alias("is_bold"))
+    """b and strong of 3 to 120 characters and up to 12 words, not just numbers; level 7."""
+    return headings(pages, _bolds)
+
+
+def page_headings(pages: DataFrame) -> DataFrame:
+    """level_headings and bold_headings together."""
+    return headings(pages, _levels, _bolds)
 
 
 def styled_headings(pages: DataFrame) -> DataFrame:
-    """Runs whose inline style is large and bold: 11pt and weight 600, or 14pt; level 9."""
-    got = None
-    for tag in ("span", "div", "p", "td"):
-        found = F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}\s[^>]*style\s*=\s*[\"'][^\"'>]*[\"'][^>]*>[^<]*"), F.lit(0))
-        rows = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
-        got = rows if got is None else got.unionByName(rows)
-    style = F.lower(F.regexp_extract("raw", r"(?is)style\s*=\s*[\"']([^\"']*)", 1))
-    size = F.regexp_extract(style, r"font-size\s*:\s*([\d.]+)\s*pt", 1).try_cast("double")
-    weight = F.regexp_extract(style, r"font-weight\s*:\s*(\w+)", 1)
-    bold = weight.isin("bold", "bolder") | F.coalesce(weight.try_cast("int") >= 600, F.lit(False))
-    d = got.select("page_id", "pos", plain(F.col("raw")).alias("text"), size.alias("font_size"), bold.alias("is_bold"))
-    words = F.size(F.split("text", " "))
-    low = (F.col("text") == F.lower("text")) & F.col("text").rlike("[a-z]") & (words > 3)
-    kept = d.where((F.col("font_size") >= 11) & (F.col("is_bold") | (F.col("font_size") >= 14)) & F.length("text").between(3, 200) & (words <= 25) & ~F.col("text").rlike(r"^[\d\s,.\-$()%\\]+$") & ~low)
-    return kept.select("page_id", F.lit(9).alias("level"), "pos", "text", "font_size", "is_bold")
+    """Elements whose inline style is large and bold: 11pt and weight 600, or 14pt; level 9."""
+    return headings(pages, _styled)
 
 
 def section_markers(pages: DataFrame) -> DataFrame:
     """PART and Item markers of up to 30 characters, the first of equal ones; level 10."""
-    got = None
-    for tag in ("span", "div", "p", "a", "td"):
-        rows = _runs(pages, tag)
-        got = rows if got is None else got.unionByName(rows)
-    kept = got.where((F.length("text") <= 30) & F.col("text").rlike(r"(?i)^(?:PART\s+(?:I|II|III|IV|V|VI|VII|VIII|IX|X)|Item\s+\d{1,2}[A-Z]?\.)\s*$"))
-    one = kept.groupBy("page_id", F.lower("text").alias("__k")).agg(F.min(F.struct("pos", "text")).alias("f"))
-    return one.select("page_id", F.lit(10).alias("level"), "f.pos", "f.text", F.lit(14.0).alias("font_size"), F.lit(True).alias("is_bold"))
+    one = headings(pages, _markers).groupBy("page_id", F.lower("text").alias("__k")).agg(F.min(F.struct("pos", "level", "text", "font_size", "is_bold", "page")).alias("f"))
+    return one.select("page_id", "f.level", "f.pos", "f.text", "f.font_size", "f.is_bold", "f.page")
 
 
 def ordered(headings: DataFrame) -> DataFrame:
@@ -99,26 +125,26 @@ def page_number(text: Column, snippet: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((at - 1) / PAGE).cast("int") + 1)
 
 
+def _facts(pages: DataFrame, kind: str) -> DataFrame:
+    kept = F.filter("facts", lambda f: f["kind"] == kind)
+    return parsed(pages).select("page_id", F.posexplode(kept).alias("pos", "f")).select("page_id", "pos", "f.*").where("name <> '' and text <> ''")
+
+
 def facts(pages: DataFrame) -> DataFrame:
-    """page_id, pos, name, context, value, unit, scaled of inline numeric facts (ix:nonFraction)."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<ix:nonfraction\s[^>]*>.*?</ix:nonfraction>"), F.lit(0))
-    d = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
-    attr = lambda a: F.regexp_extract("raw", rf"(?is)^[^>]*?\s{a}\s*=\s*([\"'])(.*?)\1", 2)
-    scale = attr("scale")
-    unit = F.when(scale.isin("", "0"), attr("unitRef"))
+    """page_id, pos, name, context, value, unit, scaled of inline numeric facts (ix:nonFraction) with a name and a value."""
+    scale = F.col("scale")
+    unit = F.when(scale.isin("", "0"), F.col("unit"))
     for k, name in SCALES.items():
         unit = unit.when(scale == k, name)
     unit = unit.otherwise(F.concat(F.lit("x10^"), scale))
-    value = plain(F.col("raw"))
-    number = F.regexp_replace(value, "[,$ ]", "").try_cast("double")
-    return d.select("page_id", "pos", attr("name").alias("name"), attr("contextRef").alias("context"), value.alias("value"), unit.alias("unit"), (number * F.pow(F.lit(10.0), F.coalesce(scale.try_cast("double"), F.lit(0.0)))).alias("scaled"))
+    number = F.regexp_replace("text", "[,$ ]", "").try_cast("double")
+    scaled = number * F.pow(F.lit(10.0), F.coalesce(scale.try_cast("double"), F.lit(0.0)))
+    return _facts(pages, "number").select("page_id", "pos", "name", "context", F.col("text").alias("value"), unit.alias("unit"), scaled.alias("scaled"))
 
 
 def text_facts(pages: DataFrame) -> DataFrame:
-    """page_id, pos, name, value (200 characters) of inline text facts (ix:nonNumeric)."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<ix:nonnumeric\s[^>]*>.*?</ix:nonnumeric>"), F.lit(0))
-    d = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
-    return d.select("page_id", "pos", F.regexp_extract("raw", r"(?is)^[^>]*?\sname\s*=\s*([\"'])(.*?)\1", 2).alias("name"), F.substring(plain(F.col("raw")), 1, 200).alias("value"))
+    """page_id, pos, name, value (200 characters) of inline text facts (ix:nonNumeric) with a name and a value."""
+    return _facts(pages, "text").select("page_id", "pos", "name", F.col("text").alias("value"))
 
 
 def fact_metadata(texts: DataFrame) -> DataFrame:
@@ -129,18 +155,9 @@ def fact_metadata(texts: DataFrame) -> DataFrame:
 
 
 def table_cells(pages: DataFrame) -> DataFrame:
-    """page_id, table_number, row_header, col_header, value of HTML tables.
+    """page_id, table_number, row, i, row_header, col_header, value of HTML tables of two rows or more.
 
     The header is the first row with th, else the first; rows below it give cells; empty
     values and lone marks (— - $ ( )) are left out.
     """
-    all_of = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(1))
-    t = pages.select("page_id", F.posexplode(all_of("html", r"(?is)<table[^>]*>(.*?)</table>")).alias("table_number", "t"))
-    r = t.select("page_id", (F.col("table_number") + 1).alias("table_number"), F.posexplode(all_of("t", r"(?is)<tr[^>]*>(.*?)</tr>")).alias("row", "r"))
-    r = r.select("page_id", "table_number", "row", F.col("r").rlike("(?i)<th").alias("th"), F.transform(all_of("r", r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), plain).alias("cells"))
-    w = Window.partitionBy("page_id", "table_number")
-    head = F.coalesce(F.min(F.when(F.col("th"), F.col("row"))).over(w), F.lit(0))
-    r = r.withColumn("head", head).withColumn("names", F.max(F.when(F.col("row") == F.col("head"), F.col("cells"))).over(w)).where("row > head and size(cells) > 1")
-    c = r.select("page_id", "table_number", "row", "names", F.col("cells")[0].alias("row_header"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells"))).alias("i", "value"))
-    named = c.withColumn("col_header", F.coalesce(F.get("names", F.col("i") + 1), F.lit("")))
-    return named.where(~F.col("value").isin("", "—", "-", "$", "(", ")") & (F.col("row_header") != "")).select("page_id", "table_number", "row", "i", "row_header", "col_header", "value")
+    return parsed(pages).select("page_id", F.explode("cells").alias("c")).select("page_id", "c.*")
