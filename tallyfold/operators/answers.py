@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from .selection import at_ranks
 
 LOW, FALLBACK = 0.65, 0.8
-# Signs of contradiction in an answer's lines.
 # An evaluation's gates, confidence by attempt, and a validator's checks.
 GATES = {"accuracy": 0.82, "confidence": 0.65}
 DECAY = [1.0, 0.95, 0.85, 0.70]
@@ -25,6 +25,7 @@ TEMPLATES = {
     "mediate": "CONTEXT:\n{context}\n\nQUESTION:\n{question}\n\nANSWERS:\n{answers}\n\nReply with ANSWER, CONFIDENCE and CITATIONS of the best supported one.",
     "direct": "CONTEXT:\n{context}\n\nQUESTION:\n{question}\n\nAnswer from the context alone.",
 }
+# Signs of contradiction in an answer's lines.
 CONTRADICTION = ["contradict", "inconsistent", "discrepancy", "conflict", "mismatch", "however", "disagree", "differs", "incorrect", "error", "restated", "does not match", "unsupported", "misstated"]
 PRIVATE = "_rlef_"
 
@@ -175,12 +176,13 @@ def eval_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     ok = F.col("exact") | F.col("numeric")
     g = results.groupBy(*keys).agg(
         F.count("*").alias("n"), F.round(F.avg(ok.cast("int")), 6).alias("accuracy"), F.round(F.avg(F.col("numeric").cast("int")), 6).alias("numeric_accuracy"), F.count_if("error").alias("errors"),
-        F.round(F.avg(F.when(~F.col("error"), F.col("confidence"))), 6).alias("mean_confidence"), F.round(F.avg("latency"), 6).alias("mean_latency"), F.sort_array(F.collect_list("latency")).alias("ls"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"),
+        F.round(F.avg(F.when(~F.col("error"), F.col("confidence"))), 6).alias("mean_confidence"), F.round(F.avg("latency"), 6).alias("mean_latency"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"),
     )
-    at = lambda i: F.element_at("ls", i + 1)
-    n = F.col("n").cast("int")
-    p50, p95 = at(F.floor(n / 2).cast("int")), at(F.greatest(F.lit(0), F.floor(n * 0.95).cast("int") - 1))
-    return g.select(*keys, "n", "accuracy", "numeric_accuracy", "errors", "mean_confidence", "mean_latency", p50.alias("p50"), p95.alias("p95"), "hit_rate")
+    n, low = F.col("n"), F.lit(0)
+    ranks = {"p50": F.floor(n / 2), "p95": F.greatest(low, F.floor(n * 0.95) - 1)}
+    placed = at_ranks(results.select(F.struct(*keys).alias("__k"), "latency"), "__k", "latency", ranks).select("__k", *ranks)
+    out = g.withColumn("__own", F.struct(*keys)).join(placed, F.col("__own").eqNullSafe(F.col("__k")), "left")
+    return out.select(*keys, "n", "accuracy", "numeric_accuracy", "errors", "mean_confidence", "mean_latency", "p50", "p95", "hit_rate")
 
 
 def chi_square_accuracy(ok: int, n: int, baseline: float = 0.60) -> tuple[float, float]:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import garch as G
+from .selection import percentiles
+from .written import written
 
 # Weights and full-scale marks of the risk score.
 RISK = {"live": ((50.0, 40.0), (5.0, 35.0), (0.30, 25.0))}
@@ -56,8 +59,10 @@ def returns(series: DataFrame, key: str, order: str) -> DataFrame:
 
 def value_at_risk(rets: DataFrame, key: str) -> DataFrame:
     """key, n, var_95, var_99, mean_return: linear percentiles 5 and 1 of at least two returns."""
-    out = rets.where("ret is not null").groupBy(key).agg(F.count("*").alias("n"), F.percentile("ret", F.array(F.lit(0.05), F.lit(0.01))).alias("p"), F.avg("ret").alias("m")).where("n >= 2")
-    return out.select(key, "n", F.round(F.col("p")[0], 6).alias("var_95"), F.round(F.col("p")[1], 6).alias("var_99"), F.round("m", 6).alias("mean_return"))
+    r = written(rets.where("ret is not null").select(key, "ret"))
+    mean = r.groupBy(F.col(key).alias("__k")).agg(F.avg("ret").alias("m"))
+    out = percentiles(r, key, "ret", {"p5": 0.05, "p1": 0.01}).where("n >= 2").join(mean, F.col(key).eqNullSafe(F.col("__k")))
+    return out.select(key, "n", F.round("p5", 6).alias("var_95"), F.round("p1", 6).alias("var_99"), F.round("m", 6).alias("mean_return"))
 
 
 def volatility(rets: DataFrame, key: str) -> DataFrame:
@@ -66,31 +71,20 @@ def volatility(rets: DataFrame, key: str) -> DataFrame:
 
 
 def garch(rets: DataFrame, key: str, order: str, schema: str) -> DataFrame:
-    """key, cond_vol, omega, alpha, beta, n, converged: GARCH(1,1) by a likelihood grid per key.
+    """key, cond_vol, omega, alpha, beta, n, converged: GARCH(1,1) by maximum likelihood, many series at a time.
 
-    A key is one price series; schema names its type. Fewer than ten returns give the
-    population deviation and converged false.
+    A key is one price series, which is one row of an array here, as the model runs along it;
+    schema names its type. Fewer than ten returns give the population deviation and converged
+    false.
     """
+    rows = rets.where("ret is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("ret").cast("double").alias("r")))).alias("rows"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values(order)["ret"].dropna().to_numpy(float)
-        row = {key: pdf[key].iloc[0], "cond_vol": float(r.std()) if len(r) else 0.0, "omega": 0.0, "alpha": 0.0, "beta": 0.0, "n": len(r), "converged": False}
-        if len(r) >= 10 and r.var() > 0:
-            e2, var, top = (r - r.mean()) ** 2, r.var(), -np.inf
-            for a in np.arange(0.02, 0.31, 0.04):
-                for b in np.arange(0.50, 0.97, 0.04):
-                    if a + b >= 0.999:
-                        continue
-                    w, h, like = var * (1 - a - b), var, 0.0
-                    for x in e2:
-                        like -= math.log(h) + x / h
-                        h = w + a * x + b * h
-                    if like > top:
-                        top = like
-                        row |= {"cond_vol": math.sqrt(h), "omega": float(w), "alpha": float(a), "beta": float(b), "converged": True}
-        return pd.DataFrame([row])
-
-    return rets.select(key, order, "ret").groupBy(key).applyInPandas(fit, f"{key} {schema}, cond_vol double, omega double, alpha double, beta double, n int, converged boolean")
+    def run(batches):
+        for pdf in batches:
+            fitted = pd.DataFrame(G.fit([np.asarray(r, float) for r in pdf["series"]]))
+            yield pd.concat([pdf[[key]].reset_index(drop=True), fitted], axis=1)
+
+    return rows.select(key, F.col("rows.r").alias("series")).mapInPandas(run, f"{key} {schema}, cond_vol double, omega double, alpha double, beta double, n int, converged boolean")
 
 
 def monte_carlo(bases: DataFrame, key: str, n: int = 10_000, mean: float = 0.05, deviation: float = 0.15, seed: int = 42) -> DataFrame:
@@ -110,7 +104,8 @@ def monte_carlo(bases: DataFrame, key: str, n: int = 10_000, mean: float = 0.05,
 def ratio_consistency(values: DataFrame, key: str) -> DataFrame:
     """key, n, round_share, extreme, score: more than half round numbers 30, values beyond ten times the median 15."""
     v = values.where("value > 0")
-    mid = v.groupBy(key).agg(F.median("value").alias("mid"), F.count("*").alias("n"), F.avg((F.col("value") % 1000 == 0).cast("int")).alias("r"))
+    share = v.groupBy(key).agg(F.avg((F.col("value") % 1000 == 0).cast("int")).alias("r"))
+    mid = percentiles(v, key, "value", {"mid": 0.5}).join(share, key)
     odd = v.join(mid, key).groupBy(key).agg(F.first("n").alias("n"), F.first("r").alias("r"), F.count_if((F.col("value") > 10 * F.col("mid")) | (F.col("value") < 0.1 * F.col("mid"))).alias("extreme"))
     return odd.select(key, "n", F.round("r", 6).alias("round_share"), "extreme", (F.when(F.col("r") > 0.5, 30).otherwise(0) + F.when(F.col("extreme") > 0, 15).otherwise(0)).alias("score"))
 
@@ -136,39 +131,59 @@ def forensics(values: DataFrame, rets: DataFrame, key: str) -> DataFrame:
     return met.select(key, F.coalesce("chi2", F.lit(0.0)).alias("chi2"), F.coalesce("p_value", F.lit(1.0)).alias("p_value"), vol.alias("volatility"), score.alias("risk_score"), severity(score).alias("severity"), F.concat_ws(",", flags).alias("flags"), ((score > 0) | (F.size(flags) > 0)).alias("anomaly"))
 
 
-def isolation_forest(values: DataFrame, key: str, schema: str, trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """key, value, score, outlier: isolation depth of single values against per-key random trees.
+def _grown(values: np.ndarray, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over single values as a step function: cuts, and the score of what lies before, between and after them.
 
-    Trees are grown on a seeded sample per key, as the method says; every value is scored.
+    Every tree is a partition of the line, so the forest's mean depth is constant between
+    neighbouring cuts of all trees; scoring is one search among them.
+    """
+    c = lambda n: 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
+    values, rng = np.sort(values), np.random.default_rng(seed)
+    limit, cuts, steps, first = max(1, math.ceil(math.log2(max(len(values), 2)))), [], [], 0.0
+    for _ in range(trees):
+        todo, leaves = [(-math.inf, 0, len(values), 0)], []
+        while todo:
+            start, lo, hi, d = todo.pop()
+            if d >= limit or hi - lo < 2 or values[lo] == values[hi - 1]:
+                leaves.append((start, d + c(hi - lo)))
+                continue
+            at = rng.uniform(values[lo], values[hi - 1])
+            mid = int(np.searchsorted(values, at))
+            todo += [(start, lo, mid, d + 1), (at, mid, hi, d + 1)]
+        leaves.sort()
+        first += leaves[0][1]
+        cuts += [s for s, _ in leaves[1:]]
+        steps += [b[1] - a[1] for a, b in zip(leaves[:-1], leaves[1:], strict=True)]
+    order = np.argsort(cuts, kind="stable")
+    depth = first + np.concatenate([[0.0], np.cumsum(np.array(steps)[order])]) if cuts else np.array([first])
+    return np.array(cuts)[order] if cuts else np.zeros(0), 2.0 ** (-(depth / trees) / max(c(len(values)), 1e-9))
+
+
+def isolation_forest(values: DataFrame, key: str, schema: str, trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42, part: int = 1 << 20) -> DataFrame:
+    """key, id, value, score, outlier: isolation depth of single values against per-key random trees.
+
+    Trees are grown once a key, on a seeded sample of the least hashes of (seed, id), as the
+    method says, and kept as a step function of at most trees * (sample - 1) cuts. Every value
+    is scored, in groups of about part values of a key, each of which gets its key's function.
     """
     w = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    picked = values.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample).groupBy(key).agg(F.sort_array(F.collect_list("value")).alias("sample"))
-
-    def depths(v: np.ndarray, s: np.ndarray) -> np.ndarray:
-        rng, total = np.random.default_rng(seed), np.zeros(len(v))
-        limit = max(1, math.ceil(math.log2(max(len(s), 2))))
-        c = lambda n: 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
-        for _ in range(trees):
-            todo = [(np.arange(len(v)), rng.choice(s, min(len(s), sample), replace=False), 0)]
-            while todo:
-                rows, own, d = todo.pop()
-                if not len(rows):
-                    continue
-                if d >= limit or len(own) < 2 or own.min() == own.max():
-                    total[rows] += d + c(len(own))
-                    continue
-                at = rng.uniform(own.min(), own.max())
-                left = v[rows] < at
-                todo += [(rows[left], own[own < at], d + 1), (rows[~left], own[own >= at], d + 1)]
-        return 2.0 ** (-(total / trees) / max(c(len(s)), 1e-9))
-
-    def run(batches):
-        for pdf in batches:
-            pdf["score"] = 0.0
-            for _, part in pdf.groupby(key):
-                pdf.loc[part.index, "score"] = depths(part["value"].to_numpy(float), np.array(part["sample"].iloc[0], float))
-            yield pdf[[key, "id", "value", "score"]]
-
-    got = values.where("value is not null").join(picked, key).select(key, "id", "value", "sample").mapInPandas(run, f"{key} {schema}, id long, value double, score double")
-    mark = got.groupBy(key).agg(F.percentile("score", F.lit(1 - contamination)).alias("__mark"))
-    return got.join(mark, key).withColumn("outlier", F.col("score") > F.col("__mark")).drop("__mark")
+    known = values.where("value is not null").select(key, "id", F.col("value").cast("double").alias("value"))
+    picked = known.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample).select(key, "value")
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        cuts, scores = _grown(pdf["value"].to_numpy(float), trees, seed)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "cuts": [cuts], "scores": [scores]})
+
+    def score(pdf: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({key: [], "id": [], "value": [], "score": []})
+        at = np.searchsorted(np.asarray(forest["cuts"].iloc[0], float), pdf["value"].to_numpy(float), side="right")
+        return pd.DataFrame({key: pdf[key], "id": pdf["id"], "value": pdf["value"], "score": np.asarray(forest["scores"].iloc[0], float)[at]})
+
+    parts = written(known.groupBy(key).agg(F.ceil(F.count("*") / part).cast("int").alias("parts")))
+    forests = picked.groupBy(key).applyInPandas(grow, f"{key} {schema}, cuts array<double>, scores array<double>")
+    forests = written(forests.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+    dealt = known.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    got = written(dealt.groupBy(key, "part").cogroup(forests.groupBy(key, "part")).applyInPandas(score, f"{key} {schema}, id long, value double, score double"))
+    mark = percentiles(got, key, "score", {"__mark": 1 - contamination})
+    return got.join(mark, key).select(key, "id", "value", "score", (F.col("score") > F.col("__mark")).alias("outlier"))
