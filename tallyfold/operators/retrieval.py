@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -18,8 +17,8 @@ MISS, WEAK = "INSUFFICIENT_DATA", 0.3
 # Words of sections that weigh most, and second most.
 STATEMENTS = ["income", "financial", "balance", "cash"]
 DISCUSSION = ["md&a", "management", "operations"]
-#: Query sets up to this many vectors are broadcast; larger ones meet the rows block by block.
-FEW = 1000
+#: Query sets up to this many vectors are broadcast; larger ones meet blocks of so many rows.
+FEW, BLOCK = 1000, 1 << 14
 
 
 def tokens(text: Column) -> Column:
@@ -66,44 +65,9 @@ def _scores(asked: DataFrame, index: DataFrame, n: int, avg: float, key: str, k:
     return top(scores, key, k)
 
 
-def store_index(chunks: DataFrame, key: str, path: str, parts: int = 64) -> None:
-    """Write the index of chunks below path: postings by a hash of their term, and the corpus' size; replaces one that is there."""
-    seen = Observation()
-    words = _measured(chunks, key).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).select(key, "len", F.explode("ts").alias("term"))
-    by_term = _counted(words, key).withColumn("part", _part(F.col("term"), parts))
-    by_term.repartition("part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    got = seen.get
-    spark = chunks.sparkSession
-    spark.createDataFrame([(key, got["n"], got["total"] or 0, parts)], "key string, n long, total long, parts int").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
-
-
-def _part(term: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
-
-
-def index_size(spark: SparkSession, path: str) -> int | None:
-    """The number of chunks of a stored index; None if there is none."""
-    try:
-        return spark.read.parquet(f"{path}/corpus").first()["n"]
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def search_index(questions: DataFrame, path: str, k: int = POOL) -> DataFrame:
-    """bm25() of a stored index; only the questions' terms are read out of their parts."""
-    spark = questions.sparkSession
-    key, n, total, parts = spark.read.parquet(f"{path}/corpus").first()
-    asked = asked_terms(questions)
-    terms = asked.select("term").distinct().withColumn("part", _part(F.col("term"), parts))
-    index = spark.read.parquet(f"{path}/postings").join(terms, ["part", "term"], "left_semi").drop("part")
-    return _scores(asked, index, n, total / max(n, 1) or 1.0, key, k)
-
-
-def store_vectors(chunks: DataFrame, key: str, path: str, encode: Callable, prefix: str = "passage: ") -> None:
-    """Write key, embedding and metadata of chunks by encode, a pandas UDF from text to array<float>; replaces what is there."""
-    chunks.withColumn("embedding", encode(F.concat(F.lit(prefix), "text"))).write.mode("overwrite").parquet(path)
+def encoded(chunks: DataFrame, encode: Callable, prefix: str = "passage: ") -> DataFrame:
+    """chunks with embedding by encode, a pandas UDF from text to array<float>; vector_index stores them."""
+    return chunks.withColumn("embedding", encode(F.concat(F.lit(prefix), "text")))
 
 
 def metadata(chunks: DataFrame) -> DataFrame:
@@ -133,9 +97,14 @@ def retrieval_features(section: Column, page: Column, text: Column, fiscal_year:
 def top(scores: DataFrame, key: str, k: int) -> DataFrame:
     """The k best of (question_id, key, score), with norm (share of the best) and rank; ties by key."""
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
-    best = F.first("score").over(w)
-    ranked = scores.withColumn("rank", F.row_number().over(w)).withColumn("norm", F.round(F.col("score") / F.when(best > 0, best).otherwise(1.0), 6))
-    return ranked.where(F.col("rank") <= k).select("question_id", key, "score", "norm", "rank")
+    return _limited(scores, w, k).select("question_id", key, "score", "norm", "rank")
+
+
+def _limited(scores: DataFrame, w: Window, k: int) -> DataFrame:
+    """The first k rows of w with rank and norm. The limit comes first, so that it also holds before the shuffle."""
+    few = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = F.max("score").over(Window.partitionBy("question_id"))
+    return few.withColumn("norm", F.round(F.col("score") / F.when(best > 0, best).otherwise(1.0), 6))
 
 
 def word_overlap(questions: DataFrame, chunks: DataFrame, key: str, k: int = POOL) -> DataFrame:
@@ -149,15 +118,20 @@ def word_overlap(questions: DataFrame, chunks: DataFrame, key: str, k: int = POO
 def cosine(queries: DataFrame, vectors: DataFrame, key: str, k: int = POOL) -> DataFrame:
     """question_id, key, score (max(0, cosine)), norm, rank; queries: question_id, embedding.
 
-    Exact: every query is compared with every vector, whose rows are dealt into 64 blocks.
+    Exact: every query is compared with every vector. Up to FEW queries are broadcast, each
+    once; more meet the vectors in blocks of BLOCK rows. vector_index finds the same rows
+    without comparing all.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = lambda a: F.sqrt(dot(a, a))
     q = queries.select("question_id", F.col("embedding").alias("__q"), norm(F.col("embedding")).alias("__qn"))
-    v = vectors.select(key, F.col("embedding").alias("__v"), norm(F.col("embedding")).alias("__vn")).withColumn("__b", F.pmod(F.xxhash64(key), F.lit(64)))
-    few = queries.limit(FEW + 1).count() <= FEW
-    q = q.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    met = v.join(F.broadcast(q) if few else q, "__b")
+    v = vectors.select(key, F.col("embedding").alias("__v"), norm(F.col("embedding")).alias("__vn"))
+    if queries.limit(FEW + 1).count() <= FEW:
+        met = v.crossJoin(F.broadcast(q))
+    else:
+        blocks = max(1, -(-vectors.count() // BLOCK))
+        q = q.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = v.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).join(q, "__b")
     score = F.greatest(F.lit(0.0), F.try_divide(dot(F.col("__q"), F.col("__v")), F.col("__qn") * F.col("__vn")))
     return top(met.select("question_id", key, F.round(score, 6).alias("score")), key, k)
 
@@ -170,8 +144,7 @@ def fuse(lists: list[DataFrame], key: str, k: int = POOL, constant: int = RRF) -
         every = rows if every is None else every.unionByName(rows)
     fused = every.groupBy("question_id", key).agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("seen"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "seen", key)
-    best = F.first("score").over(w)
-    return fused.withColumn("rank", F.row_number().over(w)).withColumn("norm", F.round(F.col("score") / best, 6)).where(F.col("rank") <= k).select("question_id", key, "score", "norm", "rank")
+    return _limited(fused, w, k).select("question_id", key, "score", "norm", "rank")
 
 
 def rerank(hits: DataFrame, texts: DataFrame, key: str, score: Callable[[Column, Column], Column] | None = None, k: int = FINAL) -> DataFrame:

@@ -26,9 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written once and read back, so that later steps neither compute it anew nor depend on an executor."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..operators import block_index as I
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import sections as S
+from ..operators import vector_index as V
+from ..operators.written import scratch_path
 from ..sources import html as H
 from .finance import q
 
@@ -155,6 +158,15 @@ def bm25_topk(spark, sf):
     return R.bm25(_questions(spark, sf), _chunks(spark, sf), "doc_id")
 
 
+def bm25_index_topk(spark, sf):
+    """Of an index that was stored in one part and grown by another."""
+    d, path = _chunks(spark, sf), scratch_path(spark)
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    I.store_index(d.where(~late), "doc_id", path)
+    I.append_index(d.where(late), path)
+    return I.search_index(_questions(spark, sf), path)
+
+
 def term_overlap(spark, sf):
     return R.word_overlap(_questions(spark, sf), _chunks(spark, sf), "doc_id")
 
@@ -168,6 +180,12 @@ def cosine_topk(spark, sf):
     return R.cosine(_label_queries(spark, sf), _t(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
 
 
+def vector_index_topk(spark, sf):
+    path = scratch_path(spark)
+    V.store_vectors(_t(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", path)
+    return V.search_vectors(_label_queries(spark, sf), path)
+
+
 def rrf_fusion(spark, sf):
     return R.fuse([bm25_topk(spark, sf), term_overlap(spark, sf)], "doc_id")
 
@@ -233,7 +251,7 @@ def html_table_cells(spark, sf):
 QUERIES = {
     "html_text": html_text, "html_headings": html_headings, "html_bold_headings": html_bold_headings, "heading_dedupe": heading_dedupe, "page_estimate": page_estimate, "clean_headings": clean_headings, "section_ranges": section_ranges,
     "section_tree": section_tree, "section_count": section_count, "sec_type": sec_type, "section_text": section_text, "para_chunks": para_chunks, "sentence_chunks": sentence_chunks, "section_chunks": section_chunks, "fallback_chunks": fallback_chunks, "retrieval_features": retrieval_features, "chunk_stats": chunk_stats, "prefix_violations": prefix_violations,
-    "doc_metadata": doc_metadata, "bm25_topk": bm25_topk, "term_overlap": term_overlap, "cosine_topk": cosine_topk, "rrf_fusion": rrf_fusion, "rerank_topk": rerank_topk, "retrieval_gate": retrieval_gate, "early_exit": early_exit,
+    "doc_metadata": doc_metadata, "bm25_topk": bm25_topk, "bm25_index_topk": bm25_index_topk, "vector_index_topk": vector_index_topk, "term_overlap": term_overlap, "cosine_topk": cosine_topk, "rrf_fusion": rrf_fusion, "rerank_topk": rerank_topk, "retrieval_gate": retrieval_gate, "early_exit": early_exit,
     "quality_filter": quality_filter, "tag_counts": tag_counts, "ixbrl_facts": ixbrl_facts, "html_table_cells": html_table_cells,
 }
 
@@ -347,3 +365,4 @@ ORACLES = {
     "ixbrl_facts": "SELECT page_id, 0 AS pos, 'us-gaap:Revenues' AS name, 'c-' || (page_id % 3 + 1) AS context, '$' || format('{:,}', length(html)) AS value, ['USD', 'thousand', 'million', 'x10^6', '%'][page_id % 5 + 1] AS unit, round(length(html) * pow(10.0, [0, -3, -6, 6, -2][page_id % 5 + 1]), 9) AS scaled FROM pages UNION ALL SELECT page_id, 1, 'dei:Title', 'c-0', '1', 'shares', 1.0 FROM pages",
     "html_table_cells": "SELECT page_id, unnest(['Bytes', 'R&D café', 'Url', 'Url']) AS row_header, unnest(['FY2023', 'FY2023', 'FY2023', 'FY2022']) AS col_header, unnest([length(html)::VARCHAR, 'at ' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || ' now', url, length(url)::VARCHAR]) AS value FROM pages",
 }
+ORACLES |= {"bm25_index_topk": ORACLES["bm25_topk"], "vector_index_topk": ORACLES["cosine_topk"]}

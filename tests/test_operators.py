@@ -279,16 +279,6 @@ def test_cache_takes_live_rows(spark):
     assert K.summary_text(got, "key") == "k: 2 of 3 (0 cached, 2 live); without: d"
 
 
-def test_stored_index_answers_like_the_texts(spark, tmp_path):
-    chunks = spark.createDataFrame([(1, "revenue grew strongly this year"), (2, "costs grew"), (3, "weather report of the year"), (4, "")], "id int, text string")
-    q = spark.createDataFrame([(1, "how did revenue grow this year"), (2, "nothing matches zebra")], "question_id int, question string")
-    path = str(tmp_path / "index")
-    assert R.index_size(spark, path) is None
-    R.store_index(chunks, "id", path, parts=4)
-    got = sorted(map(tuple, R.search_index(q, path).collect()))
-    assert R.index_size(spark, path) == 4 and got and got == sorted(map(tuple, R.bm25(q, chunks, "id").collect()))
-
-
 def test_gate_without_hits_is_a_miss(spark):
     q = spark.createDataFrame([(1,), (2,), (3,)], "question_id int")
     hits = "question_id int, id int, score double, rank int"
