@@ -8,6 +8,8 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import answers as A
 from ..operators import transcripts as R
+from ..operators.keyed_table import KeyedTable
+from ..operators.written import scratch_path, written
 from .finance import q
 
 
@@ -228,6 +230,17 @@ def grade_upsert(spark, sf):
     return A.upsert(g.join(o, "question_id"), "o_custkey", "o_orderdate", "question_id").select("o_custkey", "question_id", "total", "label")
 
 
+def grade_store(spark, sf):
+    """The same from a stored table, which orders reach in four batches, the second one twice."""
+    g = _graded(spark, sf).where("pod_order = 1").select("question_id", "total", "label")
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), "o_custkey", "o_orderdate")
+    rows = written(g.join(o, "question_id").withColumn("batch", F.pmod(F.xxhash64("question_id"), F.lit(4)).cast("int")))
+    table = KeyedTable(spark, scratch_path(spark), "o_custkey", "o_orderdate", "question_id", buckets=8)
+    for batch in (0, 1, 1, 2, 3):
+        table.upsert(rows.where(F.col("batch") == batch).drop("batch"), batch)
+    return table.read().select("o_custkey", "question_id", "total", "label")
+
+
 def dpo_pairs(spark, sf):
     """Of all pods' answers, so that good and bad ones meet."""
     g = _graded(spark, sf)
@@ -302,7 +315,7 @@ def transcript_analysis(spark, sf):
     return a.select("conv_id", "net", "ceo_net", "cfo_net", F.size("guidance").alias("n_guidance"), F.size("risks").alias("n_risks"), F.concat_ws("|", "speakers").alias("speakers"))
 
 
-QUERIES = {f.__name__: f for f in (core_answer, answers_agree, majority_vote, mediate, answer_contradictions, contradiction_lines, word_overlap, candidate_features, arbiter_fallback, numbers_in_text, numbers_distinct, context_first, dag_nodes, dag_levels, dag_values, labels, final_answer, report_view, prompt, parse_llm, parse_plan, parse_answer, parse_verdict, parse_json, prompt_templates, arbiter_gate, offline_answer, grade, grade_distribution, grade_upsert, dpo_pairs, eval_match, eval_summary, eval_by_company, fb_score, gates, eval_resume_anti, questions_with_meta, segments, role, sentiment, transcript_analysis)}
+QUERIES = {f.__name__: f for f in (core_answer, answers_agree, majority_vote, mediate, answer_contradictions, contradiction_lines, word_overlap, candidate_features, arbiter_fallback, numbers_in_text, numbers_distinct, context_first, dag_nodes, dag_levels, dag_values, labels, final_answer, report_view, prompt, parse_llm, parse_plan, parse_answer, parse_verdict, parse_json, prompt_templates, arbiter_gate, offline_answer, grade, grade_distribution, grade_upsert, grade_store, dpo_pairs, eval_match, eval_summary, eval_by_company, fb_score, gates, eval_resume_anti, questions_with_meta, segments, role, sentiment, transcript_analysis)}
 
 _MED = f"""{_CAND}, c AS (SELECT *, {_CORE.format('answer')} AS core, row_number() OVER (PARTITION BY question_id ORDER BY pod_order) AS n FROM cand WHERE trim(answer) <> ''),
 g AS (SELECT question_id, count(*) AS n, max(core) FILTER (n = 1) AS c1, max(core) FILTER (n = 2) AS c2, max(core) FILTER (n = 3) AS c3 FROM c GROUP BY question_id),
@@ -387,3 +400,4 @@ ORACLES = {
     "transcript_analysis": f"WITH {_CALLS}, g AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY position) AS a, coalesce(string_agg(text, chr(10) ORDER BY position) FILTER (role = 'CEO'), '') AS ceo, coalesce(string_agg(text, chr(10) ORDER BY position) FILTER (role = 'CFO'), '') AS cfo, list(speaker ORDER BY position) AS who FROM segs GROUP BY conv_id) SELECT conv_id, {_NET.format('a')} AS net, {_NET.format('ceo')} AS ceo_net, {_NET.format('cfo')} AS cfo_net, {_SENT.format(w=' OR '.join(f'contains(lower(s), {q(w)})' for w in L.GUIDANCE))}::INT AS n_guidance, {_SENT.format(w=' OR '.join(f'contains(lower(s), {q(w)})' for w in L.RISKS))}::INT AS n_risks, (SELECT string_agg(w, '|' ORDER BY p) FROM (SELECT w, min(i) AS p FROM (SELECT unnest(who) AS w, unnest(range(1, len(who) + 1)) AS i) GROUP BY w)) AS speakers FROM g",
 }
 ORACLES["arbiter_gate"] = ORACLES["arbiter_gate"].replace("__DPO__", ORACLES["dpo_pairs"])
+ORACLES["grade_store"] = ORACLES["grade_upsert"]
