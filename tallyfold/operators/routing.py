@@ -6,12 +6,14 @@ Training rows are the caller's: (question, label).
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .attributions import mean_attributions
+
 SEED = 42
 
 
@@ -48,13 +50,54 @@ def classify(model: PipelineModel, questions: DataFrame, default: str) -> DataFr
     return out.select("question_id", F.when(empty, default).otherwise(F.col("predicted")).alias("predicted"), F.when(empty, 1.0).otherwise(F.array_max(vector_to_array("probability"))).alias("probability"))
 
 
-def train_arbiter(candidates: DataFrame, features: list[str]) -> PipelineModel:
-    """Boosted trees over candidate features; label: 1 for preferred answers."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTClassifier(maxIter=20, maxDepth=3, seed=SEED)]).fit(candidates)
+def _compared(a: list[str], b: list[str]) -> list[Column]:
+    return [(F.col(x).cast("double") - F.col(y).cast("double")).alias(x) for x, y in zip(a, b, strict=True)]
+
+
+def train_ranker(graded: DataFrame, group: str, grade: str, features: list[str], rounds: int = 40) -> PipelineModel:
+    """Boosted trees over differences of features: which of two candidates of a group has the better grade.
+
+    Of each group every candidate meets the one graded next below it, both ways round, so that
+    pairs grow with the rows. Null features count as 0. The model is saved and loaded as any
+    pipeline (save_ranker, load_ranker).
+    """
+    rows = graded.where(F.col(grade).isNotNull()).na.fill(0.0, features)
+    w = Window.partitionBy(group).orderBy(F.desc(grade), *features)
+    below = rows.select(group, grade, *features, F.lead(F.struct(grade, *features)).over(w).alias("__low"))
+    pairs = below.where(F.col(grade) > F.col(f"__low.{grade}"))
+    won = pairs.select(*_compared(features, [f"__low.{f}" for f in features]), F.lit(1.0).alias("label"))
+    lost = pairs.select(*((-c).alias(f) for c, f in zip(_compared(features, [f"__low.{f}" for f in features]), features, strict=True)), F.lit(0.0).alias("label"))
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.2, seed=SEED)]).fit(won.unionByName(lost))
+
+
+def save_ranker(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_ranker(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def ranked(model: PipelineModel, candidates: DataFrame, group: str, key: str, features: list[str]) -> DataFrame:
+    """group, key, score, rank: the mean probability of beating the group's other candidates; alone it is 1. Ties by key.
+
+    The candidates of a group are the answers to one question, a handful.
+    """
+    rows = candidates.na.fill(0.0, features).select(group, key, *features)
+    other = rows.select(group, F.col(key).alias("__other"), *(F.col(f).alias(f"__{f}") for f in features))
+    met = rows.join(other, group).where(F.col(key) != F.col("__other")).select(group, key, *_compared(features, [f"__{f}" for f in features]))
+    wins = model.transform(met).groupBy(group, key).agg(F.round(F.avg(vector_to_array("probability")[1]), 9).alias("score"))
+    scores = rows.select(group, key).join(wins, [group, key], "left").select(group, key, F.coalesce("score", F.lit(1.0)).alias("score"))
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), key)))
+
+
+def train_forest(rows: DataFrame, features: list[str], trees: int = 10, depth: int = 3) -> tuple[RandomForestClassificationModel, DataFrame]:
+    """A forest of shallow trees over features (label: 0 or 1), and rows with their vector."""
+    placed = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED).fit(placed), placed
 
 
-def feature_importance(rows: DataFrame, features: list[str], top: int = 10) -> list[tuple[str, float]]:
-    """Features by their importance in a forest of ten shallow trees: an approximation of mean attributions."""
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), RandomForestClassifier(numTrees=10, maxDepth=3, seed=SEED)]).fit(rows)
-    weights = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(features, map(float, weights), strict=True), key=lambda x: (-x[1], x[0]))[:top]
+def feature_importance(rows: DataFrame, key: str, features: list[str], top: int = 10) -> DataFrame:
+    """feature, importance, rank: mean Shapley attributions of a forest of ten shallow trees."""
+    model, placed = train_forest(rows, features)
+    return mean_attributions(model, placed, key, features, top)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import answers as A
+from ..operators import routing as G
 from ..operators import transcripts as R
 from ..operators.keyed_table import KeyedTable
 from ..operators.written import scratch_path, written
@@ -90,6 +91,27 @@ def candidate_features(spark, sf):
     return c.select("question_id", "pod_order", *(F.round(v, 6).alias(k) for k, v in f.items()))
 
 
+def _graded_features(spark, sf):
+    """Candidates with their seven numbers and their grade against the order's price."""
+    return candidate_features(spark, sf).join(_graded(spark, sf).select("question_id", "pod_order", "total"), ["question_id", "pod_order"])
+
+
+FEATURES = ["f_confidence", "f_citations", "f_length", "f_numeric", "f_overlap", "f_attempts", "f_sure"]
+
+
+def answer_ranker(spark, sf):
+    """Every candidate's place by a ranker that is trained on four fifths of the questions."""
+    rows = written(_graded_features(spark, sf))
+    model = G.train_ranker(rows.where(F.pmod(F.xxhash64("question_id"), F.lit(5)) > 0), "question_id", "total", FEATURES, rounds=10)
+    return G.ranked(model, rows, "question_id", "pod_order", FEATURES)
+
+
+def mean_attributions(spark, sf):
+    """What a forest that tells good grades from others goes by."""
+    rows = written(_graded_features(spark, sf).withColumn("label", (F.col("total") >= 8).cast("double")).withColumn("id", F.col("question_id") * 10 + F.col("pod_order")))
+    return G.feature_importance(rows, "id", FEATURES)
+
+
 def arbiter_fallback(spark, sf):
     return A.arbiter(_candidates(spark, sf)).select("question_id", "pod_name", "arbiter_score")
 
@@ -315,7 +337,7 @@ def transcript_analysis(spark, sf):
     return a.select("conv_id", "net", "ceo_net", "cfo_net", F.size("guidance").alias("n_guidance"), F.size("risks").alias("n_risks"), F.concat_ws("|", "speakers").alias("speakers"))
 
 
-QUERIES = {f.__name__: f for f in (core_answer, answers_agree, majority_vote, mediate, answer_contradictions, contradiction_lines, word_overlap, candidate_features, arbiter_fallback, numbers_in_text, numbers_distinct, context_first, dag_nodes, dag_levels, dag_values, labels, final_answer, report_view, prompt, parse_llm, parse_plan, parse_answer, parse_verdict, parse_json, prompt_templates, arbiter_gate, offline_answer, grade, grade_distribution, grade_upsert, grade_store, dpo_pairs, eval_match, eval_summary, eval_by_company, fb_score, gates, eval_resume_anti, questions_with_meta, segments, role, sentiment, transcript_analysis)}
+QUERIES = {f.__name__: f for f in (core_answer, answers_agree, majority_vote, mediate, answer_contradictions, contradiction_lines, word_overlap, candidate_features, answer_ranker, mean_attributions, arbiter_fallback, numbers_in_text, numbers_distinct, context_first, dag_nodes, dag_levels, dag_values, labels, final_answer, report_view, prompt, parse_llm, parse_plan, parse_answer, parse_verdict, parse_json, prompt_templates, arbiter_gate, offline_answer, grade, grade_distribution, grade_upsert, grade_store, dpo_pairs, eval_match, eval_summary, eval_by_company, fb_score, gates, eval_resume_anti, questions_with_meta, segments, role, sentiment, transcript_analysis)}
 
 _MED = f"""{_CAND}, c AS (SELECT *, {_CORE.format('answer')} AS core, row_number() OVER (PARTITION BY question_id ORDER BY pod_order) AS n FROM cand WHERE trim(answer) <> ''),
 g AS (SELECT question_id, count(*) AS n, max(core) FILTER (n = 1) AS c1, max(core) FILTER (n = 2) AS c2, max(core) FILTER (n = 3) AS c3 FROM c GROUP BY question_id),
