@@ -54,9 +54,13 @@ def parse_numeric(text: Column) -> Column:
 
 def query_year(text: Column) -> Column:
     """FY and four digits, from the first year pattern that matches; null without one."""
-    norm = normalise(text)
-    year = first_of(*(F.regexp_extract(norm, p, 1) for p in L.FISCAL_YEARS))
-    return F.concat(F.lit("FY"), F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year))
+    return norm_year(normalise(text))
+
+
+def norm_year(norm: Column) -> Column:
+    """query_year of a text that is normalised already."""
+    years = F.filter(F.array(*(F.regexp_extract(norm, p, 1) for p in L.FISCAL_YEARS)), lambda y: y != "")
+    return F.get(F.transform(years, lambda y: F.concat(F.when(F.length(y) == 2, "FY20").otherwise("FY"), y)), 0)
 
 
 def answer_year(text: Column) -> Column:
@@ -72,22 +76,20 @@ def query_unit(text: Column) -> Column:
     return out.otherwise("units")
 
 
-def metric(norm: Column) -> Column:
-    """The first metric whose pattern the normalised question matches; null without one."""
-    out = None
-    for name, p in L.METRICS.items():
-        hit = norm.rlike("(?i)" + p)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+def metric_place(norm: Column) -> Column:
+    """The place, from 1 on, of the first metric whose pattern the normalised question matches; 0 without one."""
+    return F.array_position(F.array(*(norm.rlike("(?i)" + p) for p in L.METRICS.values())), F.lit(True)).cast("int")
 
 
-def metric_text(norm: Column) -> Column:
+def metric(norm: Column, place: Column | None = None) -> Column:
+    """The name of that metric; null without one. place: metric_place, where it is known."""
+    return F.get(F.array(*map(F.lit, L.METRICS)), (metric_place(norm) if place is None else place) - 1)
+
+
+def metric_text(norm: Column, place: Column | None = None) -> Column:
     """What that pattern matched, normalised."""
-    out = None
-    for p in L.METRICS.values():
-        hit, text = norm.rlike("(?i)" + p), F.regexp_extract(norm, "(?i)" + p, 0)
-        out = F.when(hit, text) if out is None else out.when(hit, text)
-    return normalise(out)
+    pattern = F.get(F.array(*(F.lit("(?i)" + p) for p in L.METRICS.values())), (metric_place(norm) if place is None else place) - 1)
+    return normalise(F.regexp_substr(norm, pattern))
 
 
 def numbers(text: Column, pattern: str = r"\$?([\d,]+(?:\.\d+)?)", cap: int | None = 10, positive: bool = True) -> Column:

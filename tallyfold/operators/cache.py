@@ -45,10 +45,12 @@ def written_back(cache: DataFrame, results: DataFrame, key: str, now: Column) ->
 
 def summary_text(results: DataFrame, key: str) -> str:
     """One line for each kind of request: how many came, and from where; the keys that failed are named, ten at most."""
+    w = Window.partitionBy("kind").orderBy(key)
+    lost = results.where("source = 'none'").withColumn("__r", F.row_number().over(w)).where("__r <= 10").groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("__r", F.col(key).cast("string").alias("k")))).alias("lost"))
     lines = []
-    for r in summary(results).orderBy("kind").collect():  # one row a kind
-        lost = [x[0] for x in results.where((F.col("kind") == r["kind"]) & (F.col("source") == "none")).select(key).orderBy(key).limit(10).collect()]
-        lines.append(f"{r['kind']}: {r['success']} of {r['n']} ({r['cached']} cached, {r['live']} live)" + (f"; without: {', '.join(map(str, lost))}" if lost else ""))
+    for r in summary(results).join(lost, "kind", "left").orderBy("kind").collect():  # one row a kind
+        named = ", ".join(x.k for x in r["lost"] or [])
+        lines.append(f"{r['kind']}: {r['success']} of {r['n']} ({r['cached']} cached, {r['live']} live)" + (f"; without: {named}" if named else ""))
     return "\n".join(lines)
 
 

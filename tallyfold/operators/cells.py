@@ -7,6 +7,8 @@ cell order; it decides ties.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,9 +84,9 @@ def contexts(cells: DataFrame) -> DataFrame:
 
 def parsed(questions: DataFrame) -> DataFrame:
     """questions with norm, metric, phrase, asked_year, asked_unit."""
-    q = questions.withColumn("norm", T.normalise(F.col("question")))
-    q = q.withColumn("metric", T.metric(F.col("norm"))).withColumn("phrase", T.metric_text(F.col("norm")))
-    return q.withColumn("asked_year", T.query_year(F.col("question"))).withColumn("asked_unit", T.query_unit(F.col("question")))
+    q = questions.withColumn("norm", T.normalise(F.col("question"))).withColumn("__place", T.metric_place(F.col("norm")))
+    q = q.withColumn("metric", T.metric(F.col("norm"), F.col("__place"))).withColumn("phrase", T.metric_text(F.col("norm"), F.col("__place"))).drop("__place")
+    return q.withColumn("asked_year", T.norm_year(F.col("norm"))).withColumn("asked_unit", T.query_unit(F.col("question")))
 
 
 def _tagged() -> Column:
@@ -101,7 +103,8 @@ def candidates(questions: DataFrame, cells: DataFrame) -> DataFrame:
         .when(F.exists("keys", lambda k: k.startswith(F.col("phrase"))), 2)
         .when((F.length(word) >= 4) & F.exists("keys", lambda k: k.contains(word)), 3)
     )
-    met = parsed(questions).where("metric is not null").join(with_keys(cells), "doc_id").withColumn("way", way).where("way is not null")
+    asked = questions if "phrase" in questions.columns else parsed(questions)
+    met = asked.where("metric is not null").join(with_keys(cells), "doc_id").withColumn("way", way).where("way is not null")
     return met.withColumn("__way", F.min("way").over(Window.partitionBy("question_id"))).where("way = __way").drop("__way")
 
 
@@ -117,17 +120,18 @@ def scored(found: DataFrame) -> DataFrame:
     has = lambda k: F.coalesce(F.exists(_map({m: _words(p[k]) for m, p in L.PREFER.items()})[F.col("metric")], lambda t: F.col("tag").contains(t)), F.lit(False))
     base = F.when(F.col("way") < 2, L.EXACT).when(F.col("way") == 2, L.PREFIX).otherwise(L.CONTAINS)
     far = F.col("asked_year").isNotNull() & F.col("ctx").isNull() & ~F.coalesce("fiscal_year", F.lit("")).isin("", "UNKNOWN") & ~F.col("fiscal_year").contains(F.col("asked_year")) & ~F.col("asked_year").contains(F.col("fiscal_year"))
-    steps = [
-        lambda c: F.when(F.col("same"), F.least(c + L.CONTEXT_BONUS, F.lit(1.0))).otherwise(c),
-        lambda c: F.when(has(0), F.least(c + L.PREFER_BONUS, F.lit(1.0))).when(has(1), F.greatest(c - L.AVOID_COST, F.lit(0.0))).otherwise(c),
-        lambda c: F.when((F.col("asked_unit") != "units") & (F.col("asked_unit") == F.coalesce("unit", F.lit(""))), F.least(c + L.UNIT_BONUS, F.lit(1.0))).otherwise(c),
-        lambda c: F.when(far, c - L.YEAR_COST).otherwise(c),
-        lambda c: F.when(F.trim(F.coalesce("value", F.lit(""))).isin("", "—", "-", "N/A"), c - L.EMPTY_COST).otherwise(c),
-    ]
-    out = found.withColumn("numeric", T.parse_numeric(F.col("value"))).withColumn("confidence", base)
-    for step in steps:
-        out = out.withColumn("confidence", step(F.col("confidence")))
-    return out.withColumn("confidence", F.round("confidence", 4))
+    # Each step adds to the confidence within bounds. They are folded over an array, so that none is written out within the next.
+    step = lambda add, low=-math.inf, high=math.inf: F.struct(F.lit(float(add)).alias("add"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"))
+    none = step(0)
+    steps = F.array(
+        F.when(F.col("same"), step(L.CONTEXT_BONUS, high=1)).otherwise(none),
+        F.when(has(0), step(L.PREFER_BONUS, high=1)).when(has(1), step(-L.AVOID_COST, low=0)).otherwise(none),
+        F.when((F.col("asked_unit") != "units") & (F.col("asked_unit") == F.coalesce("unit", F.lit(""))), step(L.UNIT_BONUS, high=1)).otherwise(none),
+        F.when(far, step(-L.YEAR_COST)).otherwise(none),
+        F.when(F.trim(F.coalesce("value", F.lit(""))).isin("", "—", "-", "N/A"), step(-L.EMPTY_COST)).otherwise(none),
+    )
+    total = F.aggregate(steps, base.cast("double"), lambda c, s: F.greatest(s["low"], F.least(c + s["add"], s["high"])))
+    return found.withColumn("numeric", T.parse_numeric(F.col("value"))).withColumn("confidence", F.round(total, 4))
 
 
 def best(found: DataFrame) -> DataFrame:
@@ -140,25 +144,26 @@ def citation() -> Column:
     return F.concat_ws("/", "company", "doc_type", "fiscal_year", "section", F.col("page").cast("string"))
 
 
-def _primitive(questions: DataFrame, cells: DataFrame, name: str) -> DataFrame:
-    """question_id, number, cite of the best tagged cell for a metric, if it is a hit."""
-    q = questions.select("question_id", "doc_id", "asked_year", "asked_unit").withColumn("metric", F.lit(name)).withColumn("phrase", F.lit(""))
-    met = q.join(with_keys(cells), "doc_id").where(_tagged()).withColumn("way", F.lit(0))
-    got = best(scored(in_context(met, contexts(cells)))).where(F.col("confidence") >= L.HIT)
-    return got.select("question_id", F.col("numeric").alias(f"n_{name}"), citation().alias(f"c_{name}"))
+def derived(questions: DataFrame, cells: DataFrame, ctx: DataFrame | None = None) -> DataFrame:
+    """question_id, metric, value, citation of questions for derived metrics whose needs all hit.
 
-
-def derived(questions: DataFrame, cells: DataFrame) -> DataFrame:
-    """question_id, metric, value, citation of questions for derived metrics whose needs all hit."""
-    q, out = parsed(questions), None
-    for name, (needs, of) in DERIVED.items():
-        asked = q.where(F.col("metric") == name)
-        met = asked
-        for n in needs:
-            met = met.join(_primitive(asked, cells, n), "question_id")
-        got = met.select("question_id", "metric", of(*(F.col(f"n_{n}") for n in needs)).alias("value"), F.col(f"c_{needs[0]}").alias("citation")).where("value is not null")
-        out = got if out is None else out.unionByName(got)
-    return out
+    All needs of all derived metrics are looked up in one pass, as questions of their own.
+    """
+    q = questions if "phrase" in questions.columns else parsed(questions)
+    needs = _map({name: F.array(*map(F.lit, n)) for name, (n, _) in DERIVED.items()})
+    asked = q.where(F.col("metric").isin(*DERIVED)).select("question_id", "doc_id", "asked_year", "asked_unit", "metric")
+    wants = asked.select("question_id", "doc_id", "asked_year", "asked_unit", F.explode(needs[F.col("metric")]).alias("metric"))
+    wants = wants.select(F.struct("question_id", F.col("metric").alias("need")).alias("question_id"), "doc_id", "asked_year", "asked_unit", "metric", F.lit("").alias("phrase"))
+    met = wants.join(with_keys(cells), "doc_id").where(_tagged()).withColumn("way", F.lit(0))
+    got = best(scored(in_context(met, contexts(cells) if ctx is None else ctx))).where(F.col("confidence") >= L.HIT)
+    every = sorted({n for needs_of, _ in DERIVED.values() for n in needs_of})
+    found = got.select("question_id.question_id", F.col("question_id.need").alias("need"), "numeric", citation().alias("cite"))
+    wide = found.groupBy("question_id").agg(*(F.max(F.when(F.col("need") == n, F.struct("numeric", "cite"))).alias(f"n_{n}") for n in every))
+    value, cite = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for name, (needs_of, of) in DERIVED.items():
+        value = F.when(F.col("metric") == name, of(*(F.col(f"n_{n}.numeric") for n in needs_of))).otherwise(value)
+        cite = F.when(F.col("metric") == name, F.col(f"n_{needs_of[0]}.cite")).otherwise(cite)
+    return asked.join(wide, "question_id").select("question_id", "metric", value.alias("value"), cite.alias("citation")).where("value is not null")
 
 
 def lookup(questions: DataFrame, cells: DataFrame) -> DataFrame:
@@ -166,13 +171,14 @@ def lookup(questions: DataFrame, cells: DataFrame) -> DataFrame:
 
     Derived metrics come first; a question without a metric or cell is a miss of confidence 0.
     """
-    cells = written(with_keys(cells))  # read by every way of looking below
-    plain = best(scored(in_context(candidates(questions, cells), contexts(cells))))
+    cells, asked = written(with_keys(cells)), written(parsed(questions))  # read by every way of looking below
+    ctx = written(contexts(cells))
+    plain = best(scored(in_context(candidates(asked, cells), ctx)))
     hit = F.col("confidence") >= L.HIT
     rows = plain.select("question_id", hit.alias("hit"), F.when(hit, T.answer_format(F.col("value"), F.col("numeric"), F.col("unit"), citation())).otherwise("").alias("answer"), "value", "unit", "confidence", citation().alias("citation"))
-    made = derived(questions, cells).select("question_id", F.col("value").alias("made"), F.col("citation").alias("made_from"))
+    made = derived(asked, cells, ctx).select("question_id", F.col("value").alias("made"), F.col("citation").alias("made_from"))
     shown = F.when(F.col("made") < 0, F.concat(F.lit("-"), F.format_number(F.abs("made"), 0))).otherwise(F.format_number("made", 0))
-    every = parsed(questions).select("question_id", "metric").join(rows, "question_id", "left").join(made, "question_id", "left")
+    every = asked.select("question_id", "metric").join(rows, "question_id", "left").join(made, "question_id", "left")
     is_made = F.col("made").isNotNull()
     return every.select(
         "question_id",

@@ -58,6 +58,19 @@ def prices(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("ticker string, date date, close double, volume long").json(folder)
 
 
+def benchmark_questions(spark: SparkSession, questions: str, documents: str) -> DataFrame:
+    """question_id, doc_name, question, gold_answer, company_name, doc_type, fiscal_year of a benchmark's JSON lines.
+
+    A document that the second file lacks is of an unknown company, a 10-K, of year FY0; a
+    missing answer is empty.
+    """
+    q = spark.read.schema("financebench_id string, doc_name string, question string, answer string").json(questions)
+    d = spark.read.schema("doc_name string, company string, doc_type string, doc_period string").json(documents).dropDuplicates(["doc_name"])
+    met = q.join(d, "doc_name", "left")
+    or_else = lambda c, default: F.coalesce(c, F.lit(default))
+    return met.select(F.col("financebench_id").alias("question_id"), "doc_name", "question", or_else("answer", "").alias("gold_answer"), or_else("company", "UNKNOWN").alias("company_name"), or_else("doc_type", "10-K").alias("doc_type"), F.concat(F.lit("FY"), or_else("doc_period", "0")).alias("fiscal_year"))
+
+
 def within(seconds: float, call: Callable[[], Any]) -> Any:
     """call(), or TimeoutError after so many seconds; its thread is left behind and ends with the worker."""
     out: dict[str, Any] = {}

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.written import written
+
 # Extensions of known formats; others are read as text.
 FORMATS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "xlsx": "xlsx", "xls": "xlsx", "csv": "csv", "pptx": "pptx", "html": "html", "htm": "html", "json": "json"}
 CELLS = "path string, row_header string, col_header string, value string, section string, table_number int"
@@ -80,25 +82,40 @@ def grid_cells(path: str, grid: list[list[str]], section: str, number: int) -> l
     return [(path, row[0], head[k] if k < len(head) else "", v, section, number) for row in grid[1:] if row and row[0] for k, v in enumerate(row[1:], 1) if v]
 
 
+def _csv_cells(path: str, records: Iterator[list[str]], names: list[str]) -> list[tuple]:
+    return [(path, row[0], n, v) for row in records for n, v in zip(names[1:], row[1:], strict=False) if row[0].strip() and v.strip()]
+
+
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """path, row_header, col_header, value of CSV files: each file's own header against its first column.
 
-    Lines are taken as records, so that files of any size are split among tasks.
+    Lines are taken as records, so that files of any size are split among tasks; a file with
+    a line break within quotes, which leaves a line with an odd number of them, is read whole
+    in one task.
     """
+    kinds, schema = ["path", "row_header", "col_header", "value"], "path string, row_header string, col_header string, value string"
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value").where("trim(value) <> ''")
-    first = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "n")).alias("head"), F.min(F.struct("block", "n")).alias("at"))
-    rows = lines.join(first, "path").where(F.struct("block", "n") > F.col("at")).select("path", "head", "value")
+    first = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "n")).alias("head"), F.min(F.struct("block", "n")).alias("at"), F.max(F.length(F.regexp_replace("value", '[^"]', "")) % 2).alias("odd"))
+    first = written(first)
+    rows = lines.join(first.where("odd = 0"), "path").where(F.struct("block", "n") > F.col("at")).select("path", "head", "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").join(first.where("odd = 1").select("path"), "path", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for (path, head), part in pdf.groupby(["path", "head"], sort=False):
-                names = next(csv.reader([head]))
-                for row in csv.reader(part["value"]):
-                    out += [(path, row[0], n, v) for n, v in zip(names[1:], row[1:], strict=False) if row[0].strip() and v.strip()]
-            yield pd.DataFrame(out, columns=["path", "row_header", "col_header", "value"])
+                out += _csv_cells(path, csv.reader(part["value"]), next(csv.reader([head])))
+            yield pd.DataFrame(out, columns=kinds)
+
+    def run_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, text in zip(pdf["path"], pdf["value"], strict=True):
+                records = (r for r in csv.reader(io.StringIO(text, newline="")) if "".join(r).strip())
+                out += _csv_cells(path, records, next(records, []))
+            yield pd.DataFrame(out, columns=kinds)
 
-    return rows.mapInPandas(run, "path string, row_header string, col_header string, value string")
+    return rows.mapInPandas(run, schema).unionByName(whole.mapInPandas(run_whole, schema))
 
 
 def _tag(e: ElementTree.Element) -> str:

@@ -309,7 +309,7 @@ def test_facts_with_nested_tags_and_single_quotes(spark):
 def test_checks_of_a_validator():
     assert D.checked("V1_SCOPE Result: PASS") == (True, "") == D.checked("")
     passed, why = D.checked("V3_SIGN: wrong. Result: FAIL\nREJECT_REASONS: sign\nRETRY_INSTRUCTIONS: again")
-    assert not passed and why.startswith("V3_SIGN sign again") or "V3_SIGN" in why
+    assert not passed and why == "V3_SIGN sign again"
 
 
 def test_router_on_questions_it_was_not_trained_on(spark):
