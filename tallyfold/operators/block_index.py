@@ -29,7 +29,7 @@ def _weight(tf: Column, length: Column, avg: float) -> Column:
     return tf / (tf + K1 * (1 - B + B * length / avg))
 
 
-def store_index(chunks: DataFrame, key: str, path: str, parts: int = 64, docs: int = DOCS) -> None:
+def store_index(chunks: DataFrame, key: str, path: str, parts: int = 16, docs: int = DOCS) -> None:
     """Write the index of chunks (key, text) below path; replaces one that is there."""
     _add(chunks, key, path, parts, docs, "overwrite")
 
