@@ -6,9 +6,10 @@ one, equal values get equal pseudonyms in every document, and the key's holder c
 it back. Kept: lengths, separators, check digits and validity.
 
 - payment cards (13 to 19 digits, Luhn): all but the first digit, check digit renewed
-- IBANs (mod 97): the digits of the account part, check digits renewed
+- IBANs (mod 97): letters and digits of the account part, check digits renewed
 - US social security numbers (valid area, group, serial)
-- telephone numbers with a country code or in North American writing: all after the code
+- telephone numbers with a country code or in North American writing: all after the assigned
+  code, whatever the separators; a trunk zero written (0) is no part of a number
 - IPv4 addresses, but not dotted numbers after "version", "release", "section" or "build"
 - dates from 1900-01-01 to 2100-05-01, written y-m-d, y/m/d, d.m.y or m/d/y, or d/m/y where
   the first number is over 12 (its pseudonym's is, too); a time may follow after T
@@ -44,6 +45,8 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?[0-9]{2,4}|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?<sep>[ -])[0-9]{4}(?:\k<sep>)[0-9]{4}(?:\k<sep>)[0-9]{1,7}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
+#: The assigned country codes of telephone numbers, as a pattern; what begins no code of one or two digits begins one of three.
+COUNTRY_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 #: Characters that no text has (Unicode non-characters): around a value, between kinds, and before either in texts that have them after all.
 _AROUND, _BETWEEN, _ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2"
 
@@ -66,9 +69,14 @@ def _chars(s: Column, of) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: of(F.substr(s, i, F.lit(1)), i))
 
 
-def _feistel(x: Column, y: Column, a: Column, b: Column, kind: str, key: Column) -> Column:
+def _noise(key: Column, kind: Column, i: Column, v: Column) -> Column:
+    """A keyed hash of v in round or at place i."""
+    return F.conv(F.substr(F.sha2(F.concat_ws("|", key, kind, i.cast("string"), v.cast("string")), 256), F.lit(1), F.lit(14)), 16, 10).cast("long")
+
+
+def _feistel(x: Column, y: Column, a: Column, b: Column, kind: str | Column, key: Column) -> Column:
     """struct<x, y>: (x, y) of Z_a x Z_b under the keyed permutation of that kind."""
-    noise = lambda i, v: F.conv(F.substr(F.sha2(F.concat_ws("|", key, F.lit(kind), i.cast("string"), v.cast("string")), 256), F.lit(1), F.lit(14)), 16, 10).cast("long")
+    noise = lambda i, v: _noise(key, F.lit(kind), i, v)
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -77,7 +85,7 @@ def _feistel(x: Column, y: Column, a: Column, b: Column, kind: str, key: Column)
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")), step)
 
 
-def _permuted(d: Column, kind: str, key: Column) -> Column:
+def _permuted(d: Column, kind: str | Column, key: Column) -> Column:
     """A string of up to 34 digits under the permutation of strings of its length."""
     n = F.length(d)
     u = F.floor(n / 2).cast("int")
@@ -114,10 +122,20 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: Column) -> Column:
+    """Letters are shifted by a keyed hash of the digits, then digits permuted under the new letters, so that both can be turned back."""
+
+    def shifted(body: Column) -> Column:
+        moved = lambda c, i: F.char(65 + (F.ascii(c) - 65 + _noise(key, F.lit("iban letter"), i, _digits(body)) % 26) % 26)
+        return F.when(body.rlike("[A-Z]"), F.array_join(_chars(body, lambda c, i: F.when(c.rlike("[A-Z]"), moved(c, i)).otherwise(c)), "")).otherwise(body)
+
+    def permuted(body: Column) -> Column:
+        kind = F.concat(F.lit("iban"), F.regexp_replace(body, "[0-9]", ""))
+        return _let(_digits(body), lambda d: F.when(F.length(d) > 0, _refill(body, _permuted(d, kind, key))).otherwise(body))
+
     def renew(s: Column) -> Column:
         body = F.substr(s, F.lit(5), F.length(s))
         land = F.substr(s, F.lit(1), F.lit(2))
-        fresh = _let(_digits(body), lambda d: F.when(F.length(d) > 0, _refill(body, _permuted(d, "iban", key))).otherwise(body))
+        fresh = _let(shifted(body), permuted)
         checked = _let(fresh, lambda b: F.concat(land, F.lpad((98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))
         spaced = lambda t: F.array_join(_chars(m, lambda c, i: F.when(c == " ", c).otherwise(F.substr(t, F.length(F.replace(F.substr(m, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1)))), "")
         return _let(checked, spaced)
@@ -171,9 +189,11 @@ def _date(m: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
-    code = F.regexp_extract(m, r"^(\+[0-9]{1,3})?", 0)
-    rest = F.substr(m, F.length(code) + 1, F.length(m))
-    return _let(_digits(rest), lambda d: F.when(F.length(d) >= 6, F.concat(code, _refill(rest, _permuted(d, "phone", key)))).otherwise(m))
+    """All after the country code, 1 where none is written, under the permutation of that country's numbers."""
+    head = F.regexp_extract(m, rf"^(?:\+(?:{COUNTRY_CODE})(?:[ .-]?\(0\))?)?", 0)
+    code = F.when(head == "", "1").otherwise(F.regexp_extract(head, rf"^\+({COUNTRY_CODE})", 1))
+    rest = F.substr(m, F.length(head) + 1, F.length(m))
+    return _let(_digits(rest), lambda d: F.when(F.length(d) >= 6, F.concat(head, _refill(rest, _permuted(d, F.concat(F.lit("phone"), code), key)))).otherwise(m))
 
 
 def _email(m: Column, key: Column) -> Column:

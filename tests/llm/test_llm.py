@@ -497,6 +497,27 @@ def test_pii_leaks_and_columns(spark):
             pii_feistel.pseudonymise(d, key)
 
 
+def test_pii_phones_and_ibans_are_linked_over_writings(spark):
+    same = ["+14155551234", "+1 415 555 1234", "+1 (415) 555-1234", "+1-415-555-1234", "(415) 555-1234", "415-555-1234", "415.555.1234"]
+    german = ["+4915112345678", "+49 151 1234 5678", "+49 (0)151 1234 5678"]
+    other = ["+353 41 5551234", "+7 415 555 1234", "+358415551234"]
+    ibans = ["GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19"]
+    texts = same + german + other + ibans
+    d = spark.createDataFrame([(i, f"of {t} end") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.text[3:-4], r.n_found) for r in pii_feistel.counted(d, "key").collect()}
+    got = [got[i] for i in range(len(texts))]
+    assert all(n == 1 for _, n in got)
+    number = lambda t, code: re.sub("[^0-9]", "", t.replace("(0)", "").removeprefix("+" + code))
+    a = {number(t, "1") for t, _ in got[:7]}
+    b = {number(t, "49") for t, _ in got[7:10]}
+    assert len(a) == len(b) == 1 and a.pop() != "4155551234" and b.pop() != "15112345678"
+    assert all(t.startswith("+49") for t, _ in got[7:10]) and "(0)" in got[9][0]
+    assert [t[:4] for t, _ in got[10:13]] == ["+353", "+7 " + got[11][0][3], "+358"] and number(got[11][0], "7") != number(got[0][0], "1")
+    assert all([c for c in t if not c.isdigit()] == [c for c in was if not c.isdigit()] for (t, _), was in zip(got[:13], texts, strict=False))
+    x, y = (t.replace(" ", "") for t, _ in got[13:])
+    assert x == y and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 and x[:2] == "GB" and x[4:8] != "NWBK" and x[4:8].isalpha() and x[8:] != "60161331926819"
+
+
 def mask_by_hand(text, key):
     """The same pseudonyms, worked out one value at a time in Python."""
     digits = lambda t: re.sub("[^0-9]", "", t)
@@ -530,7 +551,10 @@ def mask_by_hand(text, key):
         t = m.replace(" ", "")
         if len(t) < 15 or mod97(t[4:] + t[:4]) != 1:
             return m
-        body = refill(t[4:], permuted(digits(t[4:]), "iban")) if digits(t[4:]) else t[4:]
+        d, body = digits(t[4:]), t[4:]
+        moved = lambda i, c: chr(65 + (ord(c) - 65 + int(sha(key, "iban letter", str(i), d)[:14], 16)) % 26)
+        body = "".join(moved(i, c) if c.isalpha() else c for i, c in enumerate(body, 1))
+        body = refill(body, permuted(d, "iban" + re.sub("[0-9]", "", body))) if d else body
         it = iter(t[:2] + f"{98 - mod97(body + t[:2] + '00'):02d}" + body)
         return "".join(c if c == " " else next(it) for c in m)
 
@@ -570,9 +594,13 @@ def mask_by_hand(text, key):
         return sep.join([yy, mm, dd] if ymd else [dd, mm, yy] if dmy else [mm, dd, yy])
 
     def phone(m):
-        code = re.match(r"(\+[0-9]{1,3})?", m)[0]
-        rest = m[len(code) :]
-        return code + refill(rest, permuted(digits(rest), "phone")) if len(digits(rest)) >= 6 else m
+        two = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+        code, head = "1", ""
+        if m[0] == "+":
+            code = m[1] if m[1] in "17" else m[1:3] if m[1:3] in two else m[1:4]
+            head = "+" + code + (re.match(r"[ .-]?\(0\)", m[1 + len(code) :]) or [""])[0]
+        rest = m[len(head) :]
+        return head + refill(rest, permuted(digits(rest), "phone" + code)) if len(digits(rest)) >= 6 else m
 
     email = lambda m: "u" + sha(key, "email", m.lower())[:12] + m[m.index("@") :]
 
@@ -597,7 +625,7 @@ def mask_by_hand(text, key):
 
 
 def test_pii_equals_one_by_one(spark, sf, docs):
-    more = ["card 4041894974608795 3782 822463 10005 378282246310005", "1/2/1999 13/2/1999 02.03.2001 2099/1/2 1850-01-01", "+49 30 901820 (212) 555-0100", "GB29 NWBK 6016 1331 9268 19", "x@y.org 192.168.0.1 123-45-6789"]
+    more = ["card 4041894974608795 3782 822463 10005 378282246310005", "1/2/1999 13/2/1999 02.03.2001 2099/1/2 1850-01-01", "+49 30 901820 (212) 555-0100 +14155551234 +353 1 234 5678 +44 (0)20 7946 0958 +800 1234 5678 +35 3 12 34 56", "GB29 NWBK 6016 1331 9268 19", "x@y.org 192.168.0.1 123-45-6789"]
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
     rows, changed = {r.doc_id: r.text for r in d.collect()}, 0
     for r in pii_feistel.counted(d, "some key").collect():
