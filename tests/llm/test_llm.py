@@ -268,6 +268,30 @@ def test_line_components_equal_brute_force(spark, sf):
     assert all(whole[k] == whole[c] for k, c in comp.items())
 
 
+#: Shortest and longest line of a class, how many characters are replaced, and how many of the last ones may be.
+CLASSES = {"short, at its end": (24, 30, 1, 3), "up to 40, at its end": (24, 40, 1, 3), "up to 60": (30, 60, 1, 60), "around both limits": (72, 110, 2, 110), "up to 200": (110, 200, 3, 200), "long": (240, 400, 6, 400)}
+
+
+def test_line_recall_in_each_length_class(spark):
+    """Edited lines of random words that are near: at least 99 in 100 end with their original."""
+    random.seed(5)
+    letters, pairs = "abcdefghijklmnopqrstuvwxyz", defaultdict(list)
+    for name, (lo, hi, edits, last) in CLASSES.items():
+        while len(pairs[name]) < 200:
+            a = " ".join("".join(random.choices(letters, k=random.randrange(2, 9))) for _ in range(hi // 2))[: random.randrange(lo, hi + 1)].strip().ljust(lo, "q")
+            b = list(a)
+            for _ in range(edits):
+                b[random.randrange(max(0, len(a) - last), len(a))] = random.choice(letters)
+            x, y = windows(a), windows("".join(b))
+            if a != "".join(b) and 100 * len(x & y) >= 75 * len(x | y):
+                pairs[name].append((a, "".join(b)))
+    d = spark.createDataFrame(list(enumerate(t for ps in pairs.values() for p in ps for t in p)), "doc_id long, text string")
+    comp = {r.node: r.component for r in line_dedup.similar_lines(d)[1].collect()}
+    key = {r.line: r.key for r in line_dedup._lines(d, line_dedup.MIN_CHARS).collect()}
+    for name, ps in pairs.items():
+        assert sum(key[a] in comp and comp[key[a]] == comp.get(key[b]) for a, b in ps) >= 0.99 * len(ps), name
+
+
 def test_lines_of_a_hot_band_all_meet(spark):
     """Many lines around one common phrase: every near pair that shares a band ends in one component."""
     random.seed(11)
@@ -282,7 +306,9 @@ def test_lines_of_a_hot_band_all_meet(spark):
     d = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
     _, comp = line_dedup.similar_lines(d)
     comp = {r.node: r.component for r in comp.collect()}
-    bands = {r.key: {r[f"b{k}"] for k in range(line_dedup.BANDS)} - {None} for r in line_dedup._marked(d, line_dedup.MIN_CHARS).collect()}
+    bands = defaultdict(set)
+    for r in line_dedup._marked(d, line_dedup.MIN_CHARS).collect():
+        bands[r.key] |= {r[f"b{k}"] for k in range(line_dedup.BANDS)} - {None}
     sets = {r.key: windows(r.line) for r in line_dedup._lines(d, line_dedup.MIN_CHARS).collect()}
     keys = sorted(sets)
     links = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
