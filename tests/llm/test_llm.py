@@ -138,6 +138,24 @@ def test_graph_recall(spark):
     assert all(s == pytest.approx(float(x[i] @ x[q])) for q in got for i, s in got[q])
 
 
+def test_graph_recall_on_the_given_table(spark, sf):
+    """op7 itself, with production parameters, against brute force over all rows; ranks follow score, then vec_id."""
+    sf = sf.replace("0.001", "0.01")
+    rows = sorted(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = defaultdict(list)
+    for r in queries.op7_graph_ann(spark, sf).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id, r.rank))
+    hit = total = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[at]
+        best = [int(ids[k]) for k in np.lexsort((ids, -score)) if k != at][:20]
+        found = got[ids[at]]
+        assert len(found) == len(best) and [k for *_, k in found] == list(range(1, len(best) + 1)) and found == sorted(found)
+        hit, total = hit + len({i for _, i, _ in found} & set(best)), total + len(best)
+    assert hit >= 0.95 * total, hit / total
+
+
 def test_graph_recall_among_copies(spark):
     """A third of the rows is one vector."""
     rng = np.random.default_rng(2)
