@@ -48,3 +48,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark, n = seen, seen[0]
     nodes = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return nodes.union(now.select("a", "a").distinct())
+
+
+def mains(p: DataFrame, key: str) -> DataFrame:
+    """key, main, n, out: the component that most rows of a key have, the number of rows, and how many have another; keys of several components."""
+    each = p.groupBy(key, "comp").agg(F.count("*").alias("n"))
+    most = each.groupBy(key).agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps"))
+    return most.where("comps > 1").select(key, F.col("m.comp").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("out"))

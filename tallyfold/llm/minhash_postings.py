@@ -29,10 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, mains
+from .hot_keys import hot_counts, join_groups
 from .scratch import drop, materialize
 from .sieve import sifted
 from .words import U64, mix, seeds, shingle_sets, text_blocks, words
@@ -52,6 +53,11 @@ def _least(sets: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> np.ndarray
     return out
 
 
+def _names(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit name of each set; the sets begin at starts."""
+    return tuple(np.add.reduceat(mix(sets ^ U64(salt)), starts) for salt in (7, 77))
+
+
 def _signatures(batches):
     """doc_id, size, a 128-bit name of the set, and its signature: hashes of K coordinates with their least values."""
     for batch in batches:
@@ -65,8 +71,7 @@ def _signatures(batches):
             if len(full):
                 starts = at[:-1][full]
                 sig[full] = _least(sets, starts, 0, K)
-                name[full, 0] = np.add.reduceat(mix(sets ^ U64(7)), starts)
-                name[full, 1] = np.add.reduceat(mix(sets ^ U64(77)), starts)
+                name[full, 0], name[full, 1] = _names(sets, starts)
             rows = mix(sig ^ _PLACE[:K])
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(lo, n).cast(pa.int64()), pa.array(np.diff(at)), pa.array(name[:, 0].copy().view(np.int64)), pa.array(name[:, 1].copy().view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * K), pa.array(rows.ravel().view(np.int64)))],
@@ -74,6 +79,17 @@ def _signatures(batches):
             )
 
 
+def _named(batches):
+    """doc_id, text and the name of its set, of every text with words."""
+    for batch in batches:
+        for lo, hi, buf, offs in text_blocks(batch.column(1)):
+            sets, at = shingle_sets(*words(buf, offs))
+            full = np.flatnonzero(np.diff(at))
+            if len(full):
+                rows = batch.slice(lo, hi - lo).take(pa.array(full))
+                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), *(pa.array(c.view(np.int64)) for c in _names(sets, at[:-1][full]))], names=["doc_id", "text", "c1", "c2"])
+
+
 def _sets(batches):
     for batch in batches:
         for lo, hi, buf, offs in text_blocks(batch.column(1)):
@@ -116,21 +132,31 @@ def _linked(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def _posted(sigs: DataFrame) -> DataFrame:
     """v, id, pop: the postings in each class's prefix, and how shared its coordinates are."""
-    each = sigs.select("id", F.explode("sig").alias("v")).withColumn("len", F.count("*").over(Window.partitionBy("v"))).where("len > 1")
+    each, counted = sigs.select("id", F.explode("sig").alias("v")), Window.partitionBy("v")
+    hot = hot_counts(each, "v", "len", K * sigs.count())
+    if hot is None:
+        each = each.withColumn("len", F.count("*").over(counted))
+    else:
+        cold = each.join(F.broadcast(hot.select("v")), "v", "left_anti").select("id", "v").withColumn("len", F.count("*").over(counted))
+        each = cold.unionByName(each.join(F.broadcast(hot), "v"))
+    each = each.where("len > 1")
     w, skip = Window.partitionBy("id"), MATCH - 1  # a class's unshared coordinates come first in its prefix
     ranked = each.withColumn("m", F.count("*").over(w)).withColumn("pop", F.sum("len").over(w)).where(f"m > {skip}").withColumn("r", F.row_number().over(w.orderBy("len", "v")))
     return ranked.where(f"r <= m - {skip}").select("v", "id", "pop")
 
 
-def _led(p: DataFrame, known: bool) -> DataFrame:
+def _rank() -> Column:
+    """What makes a posting's leader: its coordinates are the most shared; ties to the least id."""
+    return F.struct("pop", (-F.col("id")).alias("neg"), "comp")
+
+
+def _led(p: DataFrame, known: bool, total: int) -> DataFrame:
     """Pairs (a, b) of each posting's leader, or of the leader of those outside its component, with members of other components."""
-    w = Window.partitionBy("v")
-    rank = F.struct("pop", (-F.col("id")).alias("neg"), "comp")
-    p = p.withColumn("lead", F.max(rank).over(w))
+    lead = p.groupBy("v").agg(F.max(_rank()).alias("lead"), F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     if known:
-        out = F.col("comp") != F.col("lead.comp")
-        p = p.withColumn("lead", F.max(F.when(out, rank)).over(w)).where("lead is not null and comp <> lead.comp")
-    return p.select((-F.col("lead.neg")).alias("a"), F.col("id").alias("b"))
+        met = join_groups(p, lead.select("v", "lead", "n"), "v", "n", total)
+        lead = met.where("comp <> lead.comp").groupBy("v").agg(F.max(_rank()).alias("lead"), F.first("n").alias("n"))
+    return join_groups(p, lead.select("v", "lead", "n"), "v", "n", total).where("comp <> lead.comp").select((-F.col("lead.neg")).alias("a"), F.col("id").alias("b"))
 
 
 def _words_of(batches):
@@ -147,15 +173,14 @@ def _words_of(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full, pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(sig.ravel()))], names=["id", "words", "long"])
 
 
-def _rest(p: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _rest(p: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, total: int) -> DataFrame:
     """Pairs (a, b) of members outside their posting's main component with members of other components.
 
     own counts the shingles that a text has alone among all texts in such postings. Two
     sets share no more than what either has not alone, which bounds their similarity.
     """
-    w = Window.partitionBy("v")
-    p = p.withColumn("lead", F.max(F.struct("pop", (-F.col("id")).alias("neg"), "comp")).over(w))
-    p = materialize(p.withColumn("left", F.max(F.col("comp") != F.col("lead.comp")).over(w)).where("left").select("v", "id", "comp", (F.col("comp") != F.col("lead.comp")).alias("out")))
+    main = mains(p, "v").select("v", "main", "n")
+    p = materialize(join_groups(p, main, "v", "n", total).select("v", "id", "comp", (F.col("comp") != F.col("main")).alias("out")))
     ids = p.select("id").distinct()
     sets = materialize(sifted(docs, ids.withColumnRenamed("id", "doc_id"), ["doc_id"]).select("doc_id", "text").mapInArrow(_words_of, "id long, words array<long>, long array<int>").join(ids, "id", "left_semi"))
     each = sets.select("id", F.explode("words").alias("s"))
@@ -167,28 +192,45 @@ def _rest(p: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int) -> DataF
     both = F.least("most", "most_i")
     once = (F.array_min(F.array_intersect("vs", "us")) == F.col("v")) & (~F.col("out") | (F.col("i") < F.col("id")))
     fits = (F.col("comp") != F.col("c")) & (100 * both >= percent * (F.col("n") + F.col("m") - both)) & once & (F.size(F.array_intersect("l", "long")) >= LONG_MATCH)
-    return q.join(mine, "v").where(fits).select(F.col("i").alias("a"), F.col("id").alias("b"))
+    pairs = materialize(q.join(mine, "v").where(fits).select(F.col("i").alias("a"), F.col("id").alias("b")))
+    drop(p), drop(sets), drop(sized)
+    return pairs
+
+
+def _renamed(classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """classes and docs with an id that names one text, and whether any doc_id names several.
+
+    Where it does, its classes go by half of their sets' names, a hash of 64 bits, and their texts are added to docs.
+    """
+    clash = materialize(classes.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1 and doc_id is not null"))
+    if clash.isEmpty():
+        return classes.withColumn("id", F.col("doc_id")), docs, False
+    split = join_groups(classes, clash, "doc_id", "texts", classes.count()).drop("texts").withColumn("id", F.col("c1"))
+    texts = sifted(docs, clash.select("doc_id"), ["doc_id"]).mapInArrow(_named, "doc_id long, text string, c1 long, c2 long")
+    again = materialize(texts.join(split, ["doc_id", "c1", "c2"]).select(F.col("id").alias("doc_id"), "text"))
+    whole = classes.join(clash, "doc_id", "left_anti").select(*classes.columns).withColumn("id", F.col("doc_id"))
+    return materialize(whole.unionByName(split)), docs.unionByName(again), True
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Two documents are linked if 100 * intersection >= percent * union of their 5-word
-    shingle sets; component_id is the smallest doc_id reachable. A doc_id should name one
-    text: of several, near copies are looked for with one, and the others are linked with
-    their exact copies. Rows without doc_id are linked through other rows' ids, and those
+    shingle sets; component_id is the smallest doc_id reachable. Of several texts with one
+    doc_id, each is a document of its own, and no link between them. Rows without doc_id are linked through other rows' ids, and those
     that have no other company get no component and a null kept.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = materialize(d.mapInArrow(_signatures, "doc_id long, n long, c1 long, c2 long, sig array<long>"))
-    classes = materialize(rows.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("id")))
-    first = rows.join(classes.select(F.col("id").alias("doc_id"), "c1", "c2", "n"), ["doc_id", "c1", "c2", "n"])
-    sigs = materialize(first.groupBy(F.col("doc_id").alias("id")).agg(F.min("sig").alias("sig"), F.max("n").alias("n")))
+    classes, d, several = _renamed(materialize(rows.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("doc_id"))), d)
+    first = rows.join(classes, ["doc_id", "c1", "c2", "n"])
+    sigs = materialize(first.groupBy("id").agg(F.min("sig").alias("sig"), F.max("n").alias("n")))
     posts = materialize(_posted(sigs))
+    total = posts.count()
     links, comp, tried = None, None, None
     for turn in range(ROUNDS + 1):
         p = posts.withColumn("comp", F.col("id")) if comp is None else posts.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "pop", F.coalesce("component", "id").alias("comp"))
-        pairs = _led(p, turn > 0) if turn < ROUNDS else _rest(p, sigs, d, percent)
+        pairs = _led(p, turn > 0, total) if turn < ROUNDS else _rest(p, sigs, d, percent, total)
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -204,6 +246,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     drop(posts), drop(sigs)
     if comp is None:
         comp = classes.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
-    named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("c1", "c2", "n", F.coalesce("component", "id").alias("comp"))
+    named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("c1", "c2", "n", "doc_id", F.coalesce("component", "id").alias("comp"))
+    if several:  # the least id of a component may not be a doc_id
+        named = materialize(named)
+        least = named.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("classes"))
+        named = join_groups(named, least, "comp", "classes", named.count()).withColumn("comp", F.col("least"))
+    named = named.select("c1", "c2", "n", "comp")
     out = rows.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyfold.llm import bpe_prefix, chat_prefixes, components, cover_tree_topk, document_packing, graph_ann, katz_lm, line_dedup, minhash_postings, pii_feistel, quality_nbsvm, queries
+from tallyfold.llm import bpe_prefix, chat_prefixes, components, cover_tree_topk, document_packing, graph_ann, hot_keys, katz_lm, line_dedup, minhash_postings, pii_feistel, quality_nbsvm, queries
 
 DOC = "doc_id long, text string, extra int, key string"
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -377,6 +377,20 @@ def near_by_hand(rows):
     return {i: (len(sets[i]), find(parent, i)) for i in sets}
 
 
+def test_minhash_of_ids_with_several_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, b), (7, c), (7, d), (6, d + " more"), (7, d), (9, "alone it stands here today")]
+    got = minhash_postings.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (4, 56, 1), (6, 57, 6), (7, 56, 6), (7, 56, 6), (7, 56, 7), (9, 1, 9)]
+
+
+def test_hot_counts_are_exact(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 50 == 1, -2).otherwise(F.col("id")).alias("v"))
+    want = rows.groupBy("v").count().where("count > 1").collect()
+    assert sorted(map(tuple, hot_keys.hot_counts(rows, "v", "n", 30_000).collect())) == sorted(map(tuple, want)) and len(want) == 2
+    assert hot_keys.hot_counts(rows, "v", "n", 100) is None
+
+
 def test_minhash_equals_brute_force(spark, docs, none):
     rows = {r.doc_id: r.text for r in docs.collect()}
     got = minhash_postings.near_duplicates(docs).collect()
