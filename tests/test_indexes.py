@@ -1,6 +1,7 @@
 """Stored text and vector indexes against the operators that compare everything."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -93,3 +94,17 @@ def test_ranks_are_limited_before_the_shuffle(spark):
     hits = scores.withColumn("rank", F.lit(1))
     for df in (R.top(scores, "id", 5), R.fuse([hits, hits], "id", 5)):
         assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("asked, dealt, pairs", [(1 << 18, 1 << 12, 1 << 19), (1 << 18, 50, 20), (0, 50, 20)])
+def test_pairs_are_added_up_where_they_arise(spark, monkeypatch, asked, dealt, pairs):
+    chunks, q = texts(spark, 200)
+    want = [rows(f(q, chunks, "id", 4)) for f in (R.bm25, R.word_overlap)]
+    monkeypatch.setattr(R, "ASKED", asked)
+    monkeypatch.setattr(R, "DEALT", dealt)
+    monkeypatch.setattr(R, "PAIRS", pairs)
+    for f, same in zip((R.bm25, R.word_overlap), want, strict=True):
+        got = f(q, chunks, "id", 4)
+        dealt_by_pair = re.search(r"hashpartitioning\(question_id#\d+, id#", got._jdf.queryExecution().executedPlan().toString())
+        assert bool(dealt_by_pair) == (asked == 0)
+        assert rows(got) == same
