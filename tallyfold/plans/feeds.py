@@ -8,6 +8,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import cache as K
 from ..operators import routing as R
+from ..operators.written import written
 from ..sources import feeds as S
 from ..sources import files as X
 from ..streaming import streams as W
@@ -150,7 +151,7 @@ def _labelled(spark, sf):
     p = F.regexp_extract("question_id", r"#(\d+)$", 1).cast("int")
     kind = F.when(p <= 2, "numerical").when(p <= 6, "ratio").when(p <= 11, "multi_doc").when(p <= 14, "text").otherwise("forensic")
     hard = F.when(F.length("question") < 45, "easy").when(F.length("question") < 55, "medium").otherwise("hard")
-    return d.select("question_id", "question", kind.alias("label"), hard.alias("difficulty"))
+    return written(d.select("question_id", "question", kind.alias("label"), hard.alias("difficulty")))  # each step of training reads them
 
 
 def query_router(spark, sf):
