@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .attributions import mean_attributions
+from .written import written
 
 SEED = 42
+#: Rows that a task of a tree's training holds.
+DEALT = 1 << 18
 
 
 def _features(size: int, longest: int = 3) -> list:
@@ -58,16 +61,23 @@ def train_ranker(graded: DataFrame, group: str, grade: str, features: list[str],
     """Boosted trees over differences of features: which of two candidates of a group has the better grade.
 
     Of each group every candidate meets the one graded next below it, both ways round, so that
-    pairs grow with the rows. Null features count as 0. The model is saved and loaded as any
-    pipeline (save_ranker, load_ranker).
+    pairs grow with the rows. Equal pairs are one row, weighted by their number. Null features
+    count as 0. The model is saved and loaded as any pipeline (save_ranker, load_ranker).
     """
     rows = graded.where(F.col(grade).isNotNull()).na.fill(0.0, features)
     w = Window.partitionBy(group).orderBy(F.desc(grade), *features)
     below = rows.select(group, grade, *features, F.lead(F.struct(grade, *features)).over(w).alias("__low"))
     pairs = below.where(F.col(grade) > F.col(f"__low.{grade}"))
-    won = pairs.select(*_compared(features, [f"__low.{f}" for f in features]), F.lit(1.0).alias("label"))
-    lost = pairs.select(*((-c).alias(f) for c, f in zip(_compared(features, [f"__low.{f}" for f in features]), features, strict=True)), F.lit(0.0).alias("label"))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.2, seed=SEED)]).fit(won.unionByName(lost))
+    won = written(pairs.select(*_compared(features, [f"__low.{f}" for f in features])).groupBy(*features).agg(F.count("*").cast("double").alias("__n")))
+    lost = won.select(*((-F.col(f)).alias(f) for f in features), "__n", F.lit(0.0).alias("label"))
+    both = _dealt(won.withColumn("label", F.lit(1.0)).unionByName(lost), [*features, "label"])
+    trees = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.2, seed=SEED, weightCol="__n")
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(both)
+
+
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows in parts of about DEALT, however many there are, since training holds a part in memory."""
+    return rows.repartition(max(1, -(-rows.count() // DEALT)), *by).sortWithinPartitions(*by)
 
 
 def save_ranker(model: PipelineModel, path: str) -> None:
@@ -99,5 +109,5 @@ def train_forest(rows: DataFrame, features: list[str], trees: int = 10, depth: i
 
 def feature_importance(rows: DataFrame, key: str, features: list[str], top: int = 10) -> DataFrame:
     """feature, importance, rank: mean Shapley attributions of a forest of ten shallow trees."""
-    model, placed = train_forest(rows, features)
+    model, placed = train_forest(_dealt(rows, [key]), features)
     return mean_attributions(model, placed, key, features, top)

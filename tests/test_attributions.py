@@ -85,3 +85,22 @@ def test_ranker_orders_held_out_questions_better_than_confidence(spark, tmp_path
     sure = {r.q: r.pod for r in d.where("q >= 200").groupBy("q").agg(F.max_by("pod", "f_confidence").alias("pod")).collect()}
     right = lambda x: sum(x[q] == best[q] for q in best)
     assert right(ours) > right(sure) + 20 and right(ours) > 75 and ours[900] == 0
+
+
+def test_training_holds_equal_pairs_once_and_bounded_parts(spark, monkeypatch):
+    seen, dealt = [], G._dealt
+
+    def spied(rows, by):
+        out = dealt(rows, by)
+        seen.append((rows.count(), out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(G, "_dealt", spied)
+    monkeypatch.setattr(G, "DEALT", 100)
+    d = spark.range(1200).selectExpr("id div 3 as q", "id % 3 as pod", "(id % 3) / 2.0D as f", "id % 3 as grade")
+    got = G.ranked(G.train_ranker(d, "q", "grade", ["f"], rounds=2), d, "q", "pod", ["f"])
+    assert seen == [(2, 1)]  # every pair differs by 0.5: one row for the won ones, one for the lost
+    assert got.where("rank = 1").select("pod").distinct().collect() == [(2,)]
+    forest = d.selectExpr("q * 3 + pod as id", "cast(f as double) as f", "cast(pod = 2 as double) as label")
+    assert G.feature_importance(forest, "id", ["f"]).count() == 1
+    assert seen[1] == (1200, 12)
