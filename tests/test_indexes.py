@@ -108,3 +108,26 @@ def test_pairs_are_added_up_where_they_arise(spark, monkeypatch, asked, dealt, p
         dealt_by_pair = re.search(r"hashpartitioning\(question_id#\d+, id#", got._jdf.queryExecution().executedPlan().toString())
         assert bool(dealt_by_pair) == (asked == 0)
         assert rows(got) == same
+
+
+@pytest.mark.parametrize("asked", [1 << 18, 20, 0])
+def test_index_adds_up_pairs_where_their_block_lies(spark, tmp_path, monkeypatch, asked):
+    chunks, q = texts(spark, 200)
+    more = [(7, "w250 w7 w7"), (7, "w1 " * 40), (201, "needle " * 70), (7, "w7 haystack")]  # texts of one key are one chunk
+    chunks = chunks.unionByName(spark.createDataFrame(more, chunks.schema))
+    q = q.unionByName(spark.createDataFrame([(6, "w7 w8"), (None, "w1")], q.schema))
+    want = rows(R.bm25(q.where("question_id is not null"), chunks, "id", 4))
+    path, plans, searched = str(tmp_path / "index"), [], I.searched
+
+    def spied(bounds, score, *rest):
+        every = bounds.select("question_id", "block")
+        plans.append(R.top(score(every), "id", 4)._jdf.queryExecution().executedPlan().toString())
+        return searched(bounds, score, *rest)
+
+    monkeypatch.setattr(I, "searched", spied)
+    monkeypatch.setattr(R, "ASKED", asked)
+    I.store_index(chunks.where("id % 3 > 0"), "id", path, parts=4, docs=5)
+    I.append_index(chunks.where("id % 3 = 0"), path, docs=5)
+    assert rows(I.search_index(q, path, 4)) == want
+    by_pair = re.search(r"hashpartitioning\(question_id#\d+, block#\d+L?, (key|id|_groupingexpression)#", plans[0])
+    assert bool(by_pair) == (asked != 20)  # few pairs are dealt by pair, more by block
