@@ -59,24 +59,26 @@ def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tok, ctx, at
 
 
-def _together(batches, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
-    """Tokens, contexts, numbers of tokens and doc_ids (where there is such a column) of runs of texts of about TOGETHER tokens."""
-    parts, size = [], 0
+def _blocks(batches, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Tokens, contexts, numbers of tokens and doc_ids (where there is such a column) of runs of texts of about BLOCK bytes."""
     for batch in batches:
         for lo, hi, buf, offs in text_blocks(batch.column(column), BLOCK):
             tok, ctx, at = _tokens(buf, offs)
-            parts.append((tok, ctx, np.diff(at), batch.column(0).slice(lo, hi - lo).cast(pa.int64()) if column else None))
-            size += len(tok)
-            if size >= TOGETHER:
-                yield _joined(parts)
-                parts, size = [], 0
-    if parts:
-        yield _joined(parts)
+            yield tok, ctx, np.diff(at), batch.column(0).slice(lo, hi - lo).cast(pa.int64()) if column else None
 
 
-def _joined(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    tok, ctx, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    return tok, ctx, n, pa.concat_arrays([p[3] for p in parts]) if parts[0][3] is not None else None
+def _runs(parts: Iterator[tuple]) -> Iterator[tuple]:
+    """Tuples of arrays, the first their number of tokens, put together in runs of about TOGETHER tokens."""
+    held, size = [], 0
+    for n, *part in parts:
+        held.append(part)
+        size += n
+        if size >= TOGETHER:
+            together = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+            yield together
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 _P1, _P2, _P3, _P4, _P5 = (U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -114,13 +116,26 @@ def _parts(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
+def _within(h: np.ndarray, buckets: int, first: int, end: int) -> np.ndarray:
+    bucket = _bucket(h, buckets)
+    return (bucket >= first) & (bucket < end)
+
+
 def _counted(buckets: int, first: int, end: int):
-    """Words and pairs of each block with their counts, by bucket, of the buckets from first to below end."""
+    """Words and pairs of each run of texts with their counts, by bucket, of the buckets from first to below end.
+
+    What other buckets count goes block by block, before a run is put together.
+    """
+
+    def own(batches) -> Iterator[tuple]:
+        for tok, ctx, _, _ in _blocks(batches, 0):
+            mask = _within(_pair(ctx, tok), buckets, first, end)
+            yield len(tok), tok[_within(tok, buckets, first, end)], ctx[mask], tok[mask]
 
     def run(batches):
-        for tok, ctx, _, _ in _together(batches, 0):
+        for word, ctx, tok in _runs(own(batches)):
             rows: dict[int, list] = {b: [b, b"", b"", b"", b"", b""] for b in range(first, end)}
-            w, n = np.unique(tok, return_counts=True)
+            w, n = np.unique(word, return_counts=True)
             order, cut = _parts(_bucket(w, buckets), buckets)
             for b in range(first, end):
                 o = order[cut[b] : cut[b + 1]]
@@ -153,12 +168,10 @@ def _summed(min_count: int):
         p, at, m = _added(_pair(ctx, tok), join("pn", np.uint32).astype(np.int64))
         kept = m >= min_count
         some = np.bincount(np.minimum(m, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-        frames = [
-            pd.DataFrame({"a": w.view(np.int64), "b": np.int64(0), "n": n, "kind": 0}),
-            pd.DataFrame({"a": ctx[at[kept]].view(np.int64), "b": tok[at[kept]].view(np.int64), "n": m[kept], "kind": 1}),
-            pd.DataFrame({"a": np.arange(1, DISCOUNTED + 2), "b": np.int64(0), "n": some, "kind": 2}),
-        ]
-        return pd.concat(frames, ignore_index=True)
+        a, b, n = [w.view(np.int64), ctx[at[kept]].view(np.int64), np.arange(1, DISCOUNTED + 2)], tok[at[kept]].view(np.int64), [n, m[kept], some]
+        sizes = [len(x) for x in a]
+        del w, ctx, tok, p, at, m, kept  # so that the rows are held once
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate([np.zeros(sizes[0], np.int64), b, np.zeros(sizes[2], np.int64)]), "n": np.concatenate(n), "kind": np.repeat(np.arange(3, dtype=np.int32), sizes)}, copy=False)
 
     return run
 
@@ -246,30 +259,36 @@ def _texts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _asked(buckets: int, first: int, end: int, hot):
     """Rows for each bucket from first to below end that a block of texts asks (words and pairs by text); from 0 on, one of the block's own sums, too."""
 
-    def run(batches):
+    def own(batches) -> Iterator[tuple]:
         hw, hw_p, hw_a, hp, hp_d, bos = hot.value
-        block = TaskContext.get().partitionId() << 32
-        for tok, ctx, size, ids in _together(batches, 1):
+        for tok, ctx, size, ids in _blocks(batches, 1):
             n = len(size)
             text = np.repeat(np.arange(n), size)
             sums = np.zeros((n, 3))  # model, base, known
-            rows: dict[int, list] = {}
             is_hot, k = _found(tok, hw)
-            own = hw_p[k[is_hot]]
-            sums[:, 1] = np.bincount(text[is_hot], own, n)
+            sums[:, 1] = np.bincount(text[is_hot], hw_p[k[is_hot]], n)
             sums[:, 0] = sums[:, 1] + np.bincount(text[is_hot], hw_a[k[is_hot]], n) + bos
             sums[:, 2] = np.bincount(text[is_hot], minlength=n)
             pair = _pair(ctx, tok)
             pair_hot, k = _found(pair, hp)
             sums[:, 0] += np.bincount(text[pair_hot], hp_d[k[pair_hot]], n)
-            for keys, mask, col in ((tok, ~is_hot, 3), (pair, ~pair_hot, 5)):
-                key, of = keys[mask], text[mask]
+            asked = []
+            for key, mask in ((tok, ~is_hot), (pair, ~pair_hot)):
+                mask &= _within(key, buckets, first, end)
+                asked += [key[mask], np.bincount(text[mask], minlength=n)]
+            yield len(tok), *asked, size, sums, np.asarray(ids.fill_null(0)), np.asarray(ids.is_null().cast(pa.uint8()))
+
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+        for word, words_of, pair, pairs_of, size, sums, ids, null in _runs(own(batches)):
+            rows: dict[int, list] = {}
+            for key, n, col in ((word, words_of, 3), (pair, pairs_of, 5)):
                 order, cut = _parts(_bucket(key, buckets), buckets)
-                key, of = key[order], of[order]
+                key, of = key[order], np.repeat(np.arange(len(n), dtype=np.uint32), n)[order]
                 for b in (first + np.flatnonzero(np.diff(cut[first : end + 1]))).tolist():
                     part = slice(cut[b], cut[b + 1])
                     rows.setdefault(b, [block, b, 1, b"", b"", b"", b""])[col : col + 2] = key[part].tobytes(), _by_text(of[part])
-            own_row = [block, int(np.bitwise_and(block, 0x7FFFFFFF) % buckets), 0, np.asarray(ids.fill_null(0)).tobytes(), np.asarray(ids.is_null().cast(pa.uint8())).tobytes(), size.astype(np.int64).tobytes(), sums.tobytes()]
+            own_row = [block, int(np.bitwise_and(block, 0x7FFFFFFF) % buckets), 0, ids.tobytes(), null.tobytes(), size.astype(np.int64).tobytes(), sums.tobytes()]
             some = [*rows.values(), *([] if first else [own_row])]
             cols = list(zip(*some, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:])], names=["block", "bucket", "own", "x1", "x2", "x3", "x4"])
@@ -283,13 +302,13 @@ def _answered(norm: float):
     unknown = math.log10(0.5 / norm)
 
     def run(ask: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        def table(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            m = model[model.kind == kind]
-            h = m.h.to_numpy(np.int64).view(np.uint64)
+        def table(kind: int, *columns: str) -> list[np.ndarray]:
+            own = np.flatnonzero(model.kind.to_numpy() == kind)
+            h = model.h.to_numpy(np.int64)[own].view(np.uint64)
             o = np.argsort(h, kind="stable")
-            return h[o], m.c.to_numpy(np.float64)[o], m.v.to_numpy(np.float64)[o]
+            return [h[o], *(model[x].to_numpy(np.float64)[own[o]] for x in columns)]
 
-        (w, c, alpha), (p, _, delta) = table(0), table(1)
+        (w, c, alpha), (p, delta) = table(0, "c", "v"), table(1, "v")
         logp = np.log10((c + 0.5) / norm) if len(c) else c
         out = []
         for r in ask.itertuples(index=False):

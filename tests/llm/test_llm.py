@@ -828,3 +828,20 @@ def test_log_count_ratios_by_hand():
     cols = [np.array([0, 1]), np.array([1, 2]), np.array([2]), np.array([0, 2])]
     model = quality_nbsvm.fit(cols, np.array([1, 1, 0, 0]))
     assert model.ratio[1] == pytest.approx(math.log(3 / 3) - math.log(1 / 3)) and model.ratio[2] == pytest.approx(math.log(2 / 3) - math.log(3 / 3))
+
+
+def test_katz_holds_only_the_slice_of_a_run(spark):
+    """Counting a slice of the buckets takes no memory for what the other buckets count."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(500)) for _ in range(2_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    peaks = []
+    list(katz_lm._counted(16, 0, 1)([batch.slice(0, 1)]))
+    for end in (1, 16):
+        tracemalloc.start()
+        list(katz_lm._counted(16, 0, end)([batch]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[0] < 0.6 * peaks[1]
