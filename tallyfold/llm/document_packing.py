@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_prefix import block_encoder
-from .scratch import materialize
+from .scratch import materialize, small_batches
 
 CAPACITY, END = 4096, 1
 
@@ -185,4 +185,6 @@ def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Da
     Null and empty texts are a single end id; repeated rows are packed each. An empty
     table gives no rows.
     """
-    return pack(materialize(pieces(docs, path, capacity)), capacity)
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, path, capacity))
+    return pack(cut, capacity)

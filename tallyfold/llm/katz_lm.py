@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialize
+from .scratch import drop, materialize, small_batches
 from .words import U64, mix, text_blocks, words
 
 MIN_COUNT, DISCOUNTED, HOT = 1, 5, 65536
@@ -204,7 +204,8 @@ def train(docs: DataFrame, buckets: int, min_count: int = MIN_COUNT) -> KatzMode
     counts = []
     for first, end in _slices(buckets, COUNT_SLICES):
         got = text.mapInArrow(_counted(buckets, first, end), shape).groupBy("bucket").applyInPandas(_summed(min_count), "a long, b long, n long, kind int")
-        counts.append(materialize(got.withColumn("slice", F.pmod("a", F.lit(JOIN_SLICES)).cast("int")), ["kind", "slice"]))
+        with small_batches(spark):
+            counts.append(materialize(got.withColumn("slice", F.pmod("a", F.lit(JOIN_SLICES)).cast("int")), ["kind", "slice"]))
     every = reduce(DataFrame.unionByName, counts)
     uni = every.where("kind = 0").select(F.col("a").alias("h"), F.col("n").alias("c"))
     total, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -358,7 +359,8 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
     for first, end in _slices(model.buckets, SCORE_SLICES):
         ask = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_asked(model.buckets, first, end, hot), schema)
         part = rows.where((F.col("bucket") >= first) & (F.col("bucket") < end))
-        got.append(materialize(ask.groupBy("bucket").cogroup(part.groupBy("bucket")).applyInPandas(_answered(norm), schema)))
+        with small_batches(spark):
+            got.append(materialize(ask.groupBy("bucket").cogroup(part.groupBy("bucket")).applyInPandas(_answered(norm), schema)))
     return reduce(DataFrame.unionByName, got).groupBy("block").applyInPandas(_gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 

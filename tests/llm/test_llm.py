@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyfold.llm import bpe_prefix, chat_prefixes, components, cover_tree_topk, document_packing, graph_ann, hot_keys, katz_lm, line_dedup, minhash_postings, pii_feistel, quality_nbsvm, queries
+from tallyfold.llm import bpe_prefix, chat_prefixes, components, cover_tree_topk, document_packing, graph_ann, hot_keys, katz_lm, line_dedup, minhash_postings, pii_feistel, quality_nbsvm, queries, scratch
 
 DOC = "doc_id long, text string, extra int, key string"
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -845,3 +845,24 @@ def test_katz_holds_only_the_slice_of_a_run(spark):
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[0] < 0.6 * peaks[1]
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    before = spark.conf.get(scratch._BYTES)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    texts = spark.range(0, 4_000, 1, 1).selectExpr("repeat('some words ', 200) as text")
+    with scratch.small_batches(spark):
+        most = scratch.materialize(texts.mapInArrow(sizes, "n long")).agg({"n": "max"}).first()[0]
+    assert most < 2 * scratch.BATCH and spark.conf.get(scratch._BYTES) == before
+    seen, write = [], document_packing.materialize
+
+    def spied(df):
+        seen.append(spark.conf.get(scratch._BYTES))
+        return write(df)
+
+    document_packing.materialize = spied
+    try:
+        document_packing.packed_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), queries.vocabulary()).collect()
+    finally:
+        document_packing.materialize = write
+    assert seen == [str(scratch.BATCH)]
