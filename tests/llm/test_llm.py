@@ -336,6 +336,15 @@ def test_lines_of_a_hot_band_all_meet(spark):
     assert all(whole[k] == whole[c] for k, c in comp.items())
 
 
+def test_components_end_with_stars(spark):
+    """A chain, a star whose centre comes last, and a ring; edges that are stars already take one step."""
+    edges = [(k, k + 1) for k in range(1, 40)] + [(k, 99) for k in range(50, 60)] + [(200, 201), (201, 202), (202, 200)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 1 for k in range(1, 41)}, **{k: 50 for k in [*range(50, 60), 99]}, 200: 200, 201: 200, 202: 200}
+    assert components._shape(spark.createDataFrame([(1, 2), (1, 3), (5, 6)], "a long, b long")) == (3, 0)
+    assert components._shape(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")) == (2, 1) and components._shape(spark.createDataFrame([(1, 3), (2, 3)], "a long, b long")) == (2, 1)
+
+
 def test_lines_without_word_starts_and_clashing_columns(spark):
     run = "acgtacctgaagtcgatcgtacgatcgatgctagctagcatcgatcgatcagctacgatcagcatcagcatcagcatcaga" * 3
     rows = [(0, run, 1, "a"), (1, run[:100] + "x" + run[101:], 2, "b"), (2, "zz" + "".join(reversed(run)), 3, "c"), (None, run, 4, "d"), (3, "single" * 5, 5, "e"), (4, "single" * 5, 6, "f")]
