@@ -336,6 +336,12 @@ def test_lines_of_a_hot_band_all_meet(spark):
     assert all(whole[k] == whole[c] for k, c in comp.items())
 
 
+def test_periodic_lines_of_different_length_meet(spark):
+    """Lines of one repeated character have the same one-window set at every length, so they are near."""
+    d = spark.createDataFrame([(0, "q" * 40), (1, "q" * 4000)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()} == {0: "q" * 40, 1: ""}
+
+
 def test_components_end_with_stars(spark):
     """A chain, a star whose centre comes last, and a ring; edges that are stars already take one step."""
     edges = [(k, k + 1) for k in range(1, 40)] + [(k, 99) for k in range(50, 60)] + [(200, 201), (201, 202), (202, 200)]
