@@ -3,11 +3,15 @@
 import re
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 
+from tallyfold.plans import registry
 from tallyfold.sources import html as H
 from tallyfold.sources.markup import Page
 
+from .test_queries import rows
+
 
 class Pieces(HTMLParser):
     """Texts between tags, and bold runs, which end at their end tag, a paragraph's start or their block's end."""
@@ -110,3 +114,16 @@ def test_long_and_deep_markup_ends():
     assert len(Page("<div>" * 20_000 + "x").nodes) == 20_000
     assert Page("<a <a " * 20_000).raw == [] and Page('<a "' * 5_000 + "b").elements() is not None
     assert Page("<p>" * 50_000).flat == [] and Page("<" * 100_000).flat == ["<" * 100_000]
+
+
+@pytest.mark.parametrize("name", ["html_text", "html_headings", "heading_dedupe", "clean_headings", "section_text", "section_chunks"])
+def test_references_without_semicolon_against_sql(spark, tmp_path, name):
+    """Headings that were cut inside a reference."""
+    cut = ["token = &quot", "token = &quot;", "A &amp", "A &amp;", "A &ampx;", "A &quotx;", "&quot&amp;", "A &copy", "A &middot;", "a &quo", "a & b", "&amp;quot;"]
+    pages = [(i, "https://a.b/c", f"<title>{c}</title><h1>{c}</h1><p>{'word ' * 20}{c}</p>") for i, c in enumerate(cut)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    df = registry.queries()[name](spark, str(tmp_path))
+    got = duck.execute(registry.oracles()[name])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in got.description], got.fetchall())
