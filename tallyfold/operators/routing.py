@@ -57,18 +57,26 @@ def _compared(a: list[str], b: list[str]) -> list[Column]:
     return [(F.col(x).cast("double") - F.col(y).cast("double")).alias(x) for x, y in zip(a, b, strict=True)]
 
 
-def train_ranker(graded: DataFrame, group: str, grade: str, features: list[str], rounds: int = 40) -> PipelineModel:
+def train_ranker(graded: DataFrame, group: str, grade: str, features: list[str], rounds: int = 40, every: bool = False) -> PipelineModel:
     """Boosted trees over differences of features: which of two candidates of a group has the better grade.
 
-    Of each group every candidate meets the one graded next below it, both ways round, so that
-    pairs grow with the rows. Equal pairs are one row, weighted by their number. Null features
-    count as 0. The model is saved and loaded as any pipeline (save_ranker, load_ranker).
+    With every, each candidate of a group meets all those graded below it, both ways round;
+    equal candidates of a group are one row of the join. Without it, it meets the one graded
+    next below it, so that pairs grow with the rows. Equal pairs are one row, weighted by their
+    number. Null features count as 0. The model is saved and loaded as any pipeline
+    (save_ranker, load_ranker).
     """
     rows = graded.where(F.col(grade).isNotNull()).na.fill(0.0, features)
-    w = Window.partitionBy(group).orderBy(F.desc(grade), *features)
-    below = rows.select(group, grade, *features, F.lead(F.struct(grade, *features)).over(w).alias("__low"))
-    pairs = below.where(F.col(grade) > F.col(f"__low.{grade}"))
-    won = written(pairs.select(*_compared(features, [f"__low.{f}" for f in features])).groupBy(*features).agg(F.count("*").cast("double").alias("__n")))
+    low = [f"__low_{f}" for f in features]
+    if every:
+        each = rows.groupBy(group, grade, *features).agg(F.count("*").alias("__k"))
+        worse = each.select(group, F.col(grade).alias("__low"), *(F.col(f).alias(n) for f, n in zip(features, low, strict=True)), F.col("__k").alias("__m"))
+        pairs = each.join(worse, group).where(F.col(grade) > F.col("__low")).withColumn("__n", F.col("__k") * F.col("__m"))
+    else:
+        w = Window.partitionBy(group).orderBy(F.desc(grade), *features)
+        below = rows.select(group, grade, *features, F.lead(F.struct(F.col(grade).alias("__low"), *(F.col(f).alias(n) for f, n in zip(features, low, strict=True)))).over(w).alias("__next"))
+        pairs = below.select("*", "__next.*").where(F.col(grade) > F.col("__low")).withColumn("__n", F.lit(1))
+    won = written(pairs.select(*_compared(features, low), "__n").groupBy(*features).agg(F.sum("__n").cast("double").alias("__n")))
     lost = won.select(*((-F.col(f)).alias(f) for f in features), "__n", F.lit(0.0).alias("label"))
     both = _dealt(won.withColumn("label", F.lit(1.0)).unionByName(lost), [*features, "label"])
     trees = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.2, seed=SEED, weightCol="__n")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import attributions as S
 from tallyfold.operators import routing as G
+from tallyfold.plans import answers
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -104,3 +105,32 @@ def test_training_holds_equal_pairs_once_and_bounded_parts(spark, monkeypatch):
     forest = d.selectExpr("q * 3 + pod as id", "cast(f as double) as f", "cast(pod = 2 as double) as label")
     assert G.feature_importance(forest, "id", ["f"]).count() == 1
     assert seen[1] == (1200, 12)
+
+
+def test_ranker_learns_from_every_pair_of_different_grades(spark, monkeypatch):
+    seen, dealt = [], G._dealt
+
+    def spied(rows, by):
+        seen.append(sorted(tuple(r) for r in rows.select("f", "__n", "label").collect()))
+        return dealt(rows, by)
+
+    monkeypatch.setattr(G, "_dealt", spied)
+    # per question: 2 above 1 (twice) above 0, so two pairs 2-1, one 2-0, two 1-0
+    d = spark.createDataFrame([(q, f, g) for q in range(3) for f, g in ((4.0, 2), (3.0, 1), (3.0, 1), (None, 0))], "q int, f double, grade int")
+    G.train_ranker(d, "q", "grade", ["f"], rounds=1, every=True)
+    won = [(1.0, 6.0), (3.0, 6.0), (4.0, 3.0)]
+    assert seen == [sorted([(f, n, 1.0) for f, n in won] + [(-f, n, 0.0) for f, n in won])]
+
+
+def test_answer_ranker_trains_on_every_pair(spark, sf, monkeypatch):
+    weights, dealt = [], G._dealt
+
+    def spied(rows, by):
+        weights.append(rows.agg(F.sum("__n")).first()[0])
+        return dealt(rows, by)
+
+    monkeypatch.setattr(G, "_dealt", spied)
+    answers.answer_ranker(spark, sf)
+    rows = answers._graded_features(spark, sf).where("pmod(xxhash64(question_id), 5) > 0").select("question_id", "total")
+    pairs = rows.join(rows.select("question_id", F.col("total").alias("low")), "question_id").where("total > low").count()
+    assert weights == [2 * pairs]
