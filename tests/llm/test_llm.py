@@ -336,24 +336,15 @@ def test_lines_of_a_hot_band_all_meet(spark):
     assert all(whole[k] == whole[c] for k, c in comp.items())
 
 
-def test_hot_bands_are_parted_by_size(spark, monkeypatch):
-    """Lines of many sizes around one common start: none is posted under its shingles, and near ones still meet."""
-    asked, many = [], line_dedup._many_left
-    monkeypatch.setattr(line_dedup, "_many_left", lambda *a: asked.append(1) or many(*a))
-    random.seed(12)
-    words = lambda n: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=n))
-    start, lines, near = words(60), [], []
-    for k in range(40):
-        line = start + words(round(30 * 1.12**k))
-        lines += [line, line[:-2] + "07"]
-        near.append((line, line[:-2] + "07"))
-    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    comp = {r.node: r.component for r in line_dedup.similar_lines(d)[1].collect()}
-    key = {r.line: r.key for r in line_dedup._lines(d, line_dedup.MIN_CHARS).collect()}
-    marked = line_dedup._marked(d, line_dedup.MIN_CHARS).collect()
-    bands = Counter(b for r in marked for k in range(line_dedup.BANDS) if (b := r[f"b{k}"]) is not None)
-    assert max(bands.values()) > 2 * line_dedup.FEW and not asked
-    assert all(key[a] in comp and comp[key[a]] == comp.get(key[b]) for a, b in near)
+def test_hot_bands_are_parted_by_size(spark):
+    """Lines of many sizes in one hot band: no part is hot, and all pairs whose sizes fit are tried, no others."""
+    sizes = [1, 3, 4, 30, 40] + [round(50 * 1.2**k) for k in range(35)]
+    rows = [(7, k, 1, n, k, 0, len(sizes) - 1) for k, n in enumerate(sizes)]
+    p = spark.createDataFrame(rows, "v long, id long, pop long, size int, comp long, main long, out long")
+    parts = line_dedup._by_size(p, 75)
+    assert rows[0][-1] > line_dedup.FEW >= parts.agg({"out": "max"}).first()[0]
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in line_dedup._few_left(parts, 75).collect()}
+    assert got == {(a, b) for b, y in enumerate(sizes) for a, x in enumerate(sizes[:b]) if 100 * min(x, y) >= 75 * max(x, y)}
 
 
 def test_periodic_lines_of_different_length_meet(spark):
